@@ -150,12 +150,12 @@ def _vector_sides(spark, sf):
 
 def knn_join(spark, sf):
     q, p = _vector_sides(spark, sf)
-    return knn.topk_join(q, p, TOP_K).select("q_id", "p_id", _r6("score").alias("score"), "rank")
+    return knn.topk_join(q, p, TOP_K, dim=EMBEDDING_DIM).select("q_id", "p_id", _r6("score").alias("score"), "rank")
 
 
 def knn_mips_l2(spark, sf):
     q, p = _vector_sides(spark, sf)
-    found = knn.topk_join_l2(q, p, TOP_K)
+    found = knn.topk_join_l2(q, p, TOP_K, dim=EMBEDDING_DIM)
     return found.select("q_id", "p_id", _r6("l2").alias("l2"), _r6("ip").alias("ip"), "rank")
 
 
@@ -164,7 +164,7 @@ def external_id_join(spark, sf):
     names = fx.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("p_id"), F.concat(F.lit("label-"), "label", F.lit("/"), "vec_id").alias("external_id")
     )
-    return knn.external_ids(knn.topk_join(q, p, TOP_K), names).select("q_id", "p_id", "rank")
+    return knn.external_ids(knn.topk_join(q, p, TOP_K, dim=EMBEDDING_DIM), names).select("q_id", "p_id", "rank")
 
 
 def l2_normalized(spark, sf):
@@ -189,7 +189,7 @@ def masked_mean_pool(spark, sf):
 
 def retrieved_context(spark, sf):
     q = fx.qa_pairs(spark, sf).select(F.col("row_idx").alias("q_id"), models.embed(F.col("question")).alias("q_vec"))
-    return retrieval.collect_context(retrieval.retrieve(q, fx.passages(spark, sf), 3)).select("q_id", "retrieved")
+    return retrieval.collect_context(retrieval.retrieve(q, fx.passages(spark, sf), 3, dim=models.HASH_DIM)).select("q_id", "retrieved")
 
 
 def hashed_embed(spark, sf):
@@ -297,9 +297,9 @@ def nq_answers(spark, sf):
 
 
 def nq_prompts(spark, sf):
-    """The answer is in the document except where it is taken from the source name."""
+    """Every third answer is changed so that its document lacks it."""
     a = annotations.add_answer_texts(annotations.with_short_answer(fx.nq_raw(spark, sf)))
-    answer = F.when(F.col("example_id").cast("bigint") % 3 == 0, F.upper("short_answer_text")).otherwise(F.col("short_answer_text"))
+    answer = F.when(F.col("example_id").cast("bigint") % 3 == 0, F.concat("short_answer_text", F.lit(" #"))).otherwise(F.col("short_answer_text"))
     return a.select(
         "example_id", prompts.rewrite_prompt(F.col("document_text"), F.col("question_text"), answer).alias("prompt")
     )
@@ -329,7 +329,7 @@ def _echo_model():
     def reply(prompt: str) -> str:
         if len(prompt) > 4000:
             raise ValueError("prompt too long")
-        return prompt[-100:].upper()
+        return prompt[-100:]
 
     return reply
 
@@ -424,13 +424,13 @@ def _questions(spark, sf):
 
 def qa_rows(spark, sf):
     """Search, read every passage, keep the best answer."""
-    run = qa.qa_run(_questions(spark, sf), fx.passages(spark, sf), "k3", 3, reader="passages")
+    run = qa.qa_run(_questions(spark, sf), fx.passages(spark, sf), "k3", 3, reader="passages", dim=models.HASH_DIM)
     return run.select("row_idx", "config", "question", "retrieved", "summary", "predicted", _r6("score").alias("score"))
 
 
 def qa_metrics(spark, sf):
     """A condensed run end to end, scored."""
-    run = qa.qa_run(_questions(spark, sf), fx.passages(spark, sf), "k3_sum", 3, summarize=True)
+    run = qa.qa_run(_questions(spark, sf), fx.passages(spark, sf), "k3_sum", 3, summarize=True, dim=models.HASH_DIM)
     return _rounded_metrics(evaluate.run_metrics(run))
 
 
@@ -473,7 +473,7 @@ def stream_qa(spark, sf):
         F.col("text").alias("question"),
         F.array("role").alias("answer"),
     )
-    _finish(jobs.stream_qa(questions, fx.passages(spark, sf), out, state, "stream", top_k=3))
+    _finish(jobs.stream_qa(questions, fx.passages(spark, sf), out, state, "stream", top_k=3, dim=models.HASH_DIM))
     return spark.read.parquet(out).select("row_idx", "predicted", _r6("score").alias("score"))
 
 

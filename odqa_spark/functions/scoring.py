@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from odqa_spark.functions.binding import let
 from odqa_spark.functions.text import fold
 
 
@@ -19,7 +20,7 @@ def prediction_parts(prediction: Column) -> Column:
 
 def exact_match(answers_norm: Column, prediction_norm: Column, parts_norm: Column) -> Column:
     """1 if any answer equals the prediction, else the share of parts that equal an answer."""
-    hits = F.size(F.filter(parts_norm, lambda p: F.array_contains(answers_norm, p)))
+    hits = let(answers_norm, lambda known: F.size(F.filter(parts_norm, lambda p: F.array_contains(known, p))))
     return (
         F.when(F.array_contains(answers_norm, prediction_norm), F.lit(1.0))
         .when(F.size(parts_norm) > 0, hits.cast("double") / F.size(parts_norm))
@@ -29,7 +30,7 @@ def exact_match(answers_norm: Column, prediction_norm: Column, parts_norm: Colum
 
 def exact_contain(answers_norm: Column, context_norm: Column) -> Column:
     """True if any normalised answer occurs in the normalised context."""
-    return F.exists(answers_norm, lambda a: F.contains(context_norm, a))
+    return let(context_norm, lambda c: F.exists(answers_norm, lambda a: F.contains(c, a)))
 
 
 def answer_starts(answers: Column, context: Column) -> Column:
@@ -52,23 +53,24 @@ def _overlap_f1(gold: Column, predicted: Column) -> Column:
     return F.when(same > 0, F.lit(2.0) * same / total).otherwise(F.lit(0.0))
 
 
+def _overlap_or_both_empty(gold: Column, predicted: Column) -> Column:
+    one_empty = (F.size(gold) == 0) | (F.size(predicted) == 0)
+    return F.when(one_empty, (F.size(gold) == F.size(predicted)).cast("double")).otherwise(_overlap_f1(gold, predicted))
+
+
 def token_f1(answers: Column, prediction: Column, metric: str = "squad") -> Column:
     """Best token-overlap F1 over the answers, from 0 to 1.
 
     ``squad_v2`` lets an empty prediction match an answer that is empty too, and
     skips empty answers when others exist.
     """
-    predicted = _tokens(prediction)
     golds = F.transform(answers, _tokens)
     if metric == "squad":
-        return F.array_max(F.transform(golds, lambda g: _overlap_f1(g, predicted)))
-    if metric != "squad_v2":
+        score = _overlap_f1
+    elif metric == "squad_v2":
+        golds = let(golds, lambda all_: F.filter(all_, lambda g: F.size(g) > 0))
+        golds = let(golds, lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(F.array().cast("array<string>"))))
+        score = _overlap_or_both_empty
+    else:
         raise ValueError(f"unknown metric: {metric!r}")
-    filled = F.filter(golds, lambda g: F.size(g) > 0)
-    golds = F.when(F.size(filled) > 0, filled).otherwise(F.array(F.array().cast("array<string>")))
-
-    def score(g: Column) -> Column:
-        empty = (F.size(g) == 0) | (F.size(predicted) == 0)
-        return F.when(empty, (F.size(g) == F.size(predicted)).cast("double")).otherwise(_overlap_f1(g, predicted))
-
-    return F.array_max(F.transform(golds, score))
+    return let(_tokens(prediction), lambda predicted: F.array_max(F.transform(golds, lambda g: score(g, predicted))))

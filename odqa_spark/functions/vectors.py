@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from odqa_spark.functions.binding import let
+
 # Fixed value: smallest norm a vector is divided by.
 NORM_FLOOR = 1e-12
 
@@ -28,7 +30,7 @@ def squared_norm(vec: Column) -> Column:
 
 def l2_normalize(vec: Column) -> Column:
     norm = F.greatest(F.sqrt(squared_norm(vec)), F.lit(NORM_FLOOR))
-    return F.transform(vec, lambda x: x / norm)
+    return let(norm, lambda n: F.transform(vec, lambda x: x / n))
 
 
 def with_aux_dim(vec: Column, phi: Column) -> Column:
@@ -46,4 +48,4 @@ def masked_mean(hidden: Column, mask: Column) -> Column:
         lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y),
     )
     count = _sum(F.transform(mask, lambda m: m.cast("double")))
-    return F.when(count > 0, F.transform(total, lambda x: x / count))
+    return let(count, lambda n: F.when(n > 0, F.transform(total, lambda x: x / n)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from odqa_spark.functions.binding import let
 from odqa_spark.functions.text import drop_long_words, embed_input
 from odqa_spark.functions.tokens import Tokenizer, default_tokenizer
 
@@ -152,6 +153,10 @@ def ratio_groups(passages: Column, ratio: int, tail: str = "keep") -> Column:
     The tail repeats the last full group when the count divides evenly;
     ``tail="dedupe"`` leaves it out then.
     """
+    return let(passages, lambda p: _groups(p, ratio, tail))
+
+
+def _groups(passages: Column, ratio: int, tail: str) -> Column:
     n = F.size(passages)
     full = F.floor(n / ratio).cast("int")
     heads = F.when(
@@ -167,8 +172,10 @@ def ratio_groups(passages: Column, ratio: int, tail: str = "keep") -> Column:
 
 def seeded_order(passages: Column, seed_text: Column) -> Column:
     """Reproducible permutation of an array, fixed by a text; the same on any partitioning."""
-    seed = F.md5(seed_text)
-    keyed = F.transform(
-        passages, lambda p, i: F.struct(F.md5(F.concat(seed, F.lit(":"), i.cast("string"))).alias("k"), p.alias("p"))
+    keyed = let(
+        F.md5(seed_text),
+        lambda seed: F.transform(
+            passages, lambda p, i: F.struct(F.md5(F.concat(seed, F.lit(":"), i.cast("string"))).alias("k"), p.alias("p"))
+        ),
     )
     return F.transform(F.array_sort(keyed), lambda s: s["p"])

@@ -100,12 +100,14 @@ def topk_join(
     passages: DataFrame,
     k: int,
     metric: str = "ip",
+    dim: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``q_id, p_id, score, rank``: the ``k`` best passages of every question.
 
     Takes ``q_id, q_vec`` and ``p_id, p_vec`` (ids unique, vectors of one length).
     ``metric`` is ``ip`` (larger is better) or ``l2`` (score is the negated distance).
+    ``dim``, if known, saves a look at the first question.
 
     Passage vectors are read once and never shuffled: every task multiplies its
     Arrow batches with the question matrix and emits its own ``k`` best per
@@ -122,9 +124,8 @@ def topk_join(
         T.StructField("p_id", p.schema["p_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    # A vector takes at least 8 bytes, so this many rows show whether the matrix is within the limit.
-    dim = _dimension(p)
-    max_rows = max(1, broadcast_bytes // (8 * dim))
+    # one row more than fits shows that the matrix is over the limit, without fetching the rest
+    max_rows = max(1, broadcast_bytes // (8 * (dim or _dimension(q))))
     head = q.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
         partial = _broadcast_topk(head, p, k, metric, schema)
@@ -134,8 +135,8 @@ def topk_join(
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _dimension(p: DataFrame) -> int:
-    first = p.select(F.size("p_vec")).head()
+def _dimension(q: DataFrame) -> int:
+    first = q.select(F.size("q_vec")).head()
     return max(1, first[0]) if first else 1
 
 
@@ -184,7 +185,7 @@ def _grid_topk(q: DataFrame, p: DataFrame, k: int, metric: str, schema: T.Struct
     )
 
 
-def topk_join_l2(questions: DataFrame, passages: DataFrame, k: int, **options) -> DataFrame:
+def topk_join_l2(questions: DataFrame, passages: DataFrame, k: int, dim: int | None = None, **options) -> DataFrame:
     """The same search through distances: ``q_id, p_id, l2, ip, rank``.
 
     Passages get one more dimension, ``sqrt(phi - |v|^2)`` with ``phi`` the largest
@@ -199,6 +200,7 @@ def topk_join_l2(questions: DataFrame, passages: DataFrame, k: int, **options) -
         p.select("p_id", with_aux_dim(F.col("p_vec"), phi.scalar()).alias("p_vec")),
         k,
         metric="l2",
+        dim=dim + 1 if dim else None,
         **options,
     )
     l2 = -F.col("score")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from odqa_spark.functions.binding import let
 from odqa_spark.functions.text import clean_answer
 from odqa_spark.operators.chunk import ratio_groups, seeded_order
 
@@ -138,20 +139,25 @@ def terms(text: Column) -> Column:
 
 def _ranked(question_terms: Column, sentence_list: Column) -> Column:
     """Sentences as ``(-shared terms, position, text)``, best first."""
-    return F.array_sort(
-        F.transform(
-            sentence_list,
-            lambda s, i: F.struct(
-                (-F.size(F.array_intersect(terms(s), question_terms))).alias("o"), i.alias("i"), s.alias("s")
-            ),
-        )
+    return let(
+        question_terms,
+        lambda known: F.array_sort(
+            F.transform(
+                sentence_list,
+                lambda s, i: F.struct(
+                    (-F.size(F.array_intersect(terms(s), known))).alias("o"), i.alias("i"), s.alias("s")
+                ),
+            )
+        ),
     )
 
 
 def extract_sentences(question: Column, text: Column) -> Column:
     """Default condenser: the third of the sentences that shares most terms with the question, in text order."""
-    ranked = _ranked(terms(question), sentences(text))
-    kept = F.slice(ranked, 1, F.ceil(F.size(ranked) / 3).cast("int"))
+    kept = let(
+        _ranked(terms(question), sentences(text)),
+        lambda ranked: F.slice(ranked, 1, F.ceil(F.size(ranked) / 3).cast("int")),
+    )
     in_order = F.array_sort(F.transform(kept, lambda r: F.struct(r["i"].alias("i"), r["s"].alias("s"))))
     return F.array_join(F.transform(in_order, lambda r: r["s"]), " ")
 
@@ -201,17 +207,24 @@ def lexical_answer(question: Column, context: Column, max_words: int = MAX_ANSWE
 
     ``score`` is the share of question terms found in it; null if the context has no sentence.
     """
-    q_terms = terms(question)
-    best = F.get(_ranked(q_terms, sentences(context)), F.lit(0))
-    answer = F.substring_index(best["s"], " ", max_words)
-    start = F.instr(context, answer) - 1
-    return F.when(
-        best.isNotNull(),
-        F.struct(
-            (-best["o"] / F.greatest(F.size(q_terms), F.lit(1))).alias("score"),
-            start.alias("start"),
-            (start + F.length(answer)).alias("end"),
-            answer.alias("answer"),
+
+    def info(best: Column, n_terms: Column) -> Column:
+        answer = F.substring_index(best["s"], " ", max_words)
+        start = F.instr(context, answer) - 1
+        return F.when(
+            best.isNotNull(),
+            F.struct(
+                (-best["o"] / F.greatest(n_terms, F.lit(1))).alias("score"),
+                start.alias("start"),
+                (start + F.length(answer)).alias("end"),
+                answer.alias("answer"),
+            ),
+        )
+
+    return let(
+        terms(question),
+        lambda known: let(
+            F.get(_ranked(known, sentences(context)), F.lit(0)), lambda best: info(best, F.size(known))
         ),
     )
 
@@ -225,6 +238,10 @@ def read_answer(question: Column, context: Column, make_fn: Callable[[], ModelFn
         info = lexical_answer(question, context)
     else:
         info = model_column(make_fn, ANSWER_TYPE, question, context, batch_size=batch_size)
+    return let(info, _cleaned)
+
+
+def _cleaned(info: Column) -> Column:
     return info.withField("answer", clean_answer(info["answer"]))
 
 
@@ -233,7 +250,7 @@ def read_each(question: Column, passages: Column, make_fn: Callable[[], ModelFn]
     if make_fn is None:
         return F.transform(passages, lambda p: read_answer(question, p))
     infos = model_over_array(make_fn, ANSWER_TYPE, question, passages, batch_size)
-    return F.transform(infos, lambda a: a.withField("answer", clean_answer(a["answer"])))
+    return F.transform(infos, _cleaned)
 
 
 def best_answer(infos: Column) -> Column:
