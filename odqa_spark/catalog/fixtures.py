@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from odqa_spark.functions.text import embed_input
 from odqa_spark.operators.models import embed
 from odqa_spark.operators.rows import with_row_idx
+from odqa_spark.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Columns of ``documents``, on all cores even when the file is small."""
+    return spread(table(spark, sf, "documents").select(*columns))
+
+
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    return as_articles(table(spark, sf, "documents"))
+    return as_articles(documents(spark, sf, "doc_id", "source", "lang", "text"))
 
 
 def as_articles(documents: DataFrame) -> DataFrame:
@@ -26,7 +32,7 @@ def as_articles(documents: DataFrame) -> DataFrame:
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their default embedding."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("p_id"), F.col("source").alias("title"), "text")
+    d = documents(spark, sf, "doc_id", "source", "text").select(F.col("doc_id").alias("p_id"), F.col("source").alias("title"), "text")
     return d.withColumn("p_vec", embed(embed_input(F.col("title"), F.col("text"))))
 
 
@@ -82,7 +88,7 @@ def nq_raw(spark: SparkSession, sf: str) -> DataFrame:
         return F.struct(F.lit(a).alias("start_token"), F.lit(b).alias("end_token"))
 
     short = F.when(F.col("doc_id") % 4 == 0, F.array().cast(f"array<{span}>")).otherwise(F.array(tokens(5, 7)))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf, "doc_id", "text").select(
         F.col("doc_id").cast("string").alias("example_id"),
         F.col("text").alias("document_text"),
         _words(F.split("text", " ", -1), 1, 5).alias("question_text"),

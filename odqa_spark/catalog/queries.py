@@ -48,7 +48,7 @@ def token_chunks(spark, sf):
 
 
 def _sentence_groups(spark, sf, shuffled):
-    d = fx.table(spark, sf, "documents").select("doc_id", "text", models.sentences(F.col("text")).alias("psgs"))
+    d = fx.documents(spark, sf, "doc_id", "text").select("doc_id", "text", models.sentences(F.col("text")).alias("psgs"))
     psgs = chunk.seeded_order(F.col("psgs"), F.col("text")) if shuffled else F.col("psgs")
     groups = d.select("doc_id", F.posexplode(chunk.ratio_groups(psgs, 3)).alias("group_no", "g"))
     return groups.select("doc_id", "group_no", F.array_join("g", "\n").alias("text"))
@@ -72,12 +72,12 @@ def recursive_chunks(spark, sf):
 
 
 def normalized_text(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", text.normalize(F.col("text")).alias("normalized"))
+    return fx.documents(spark, sf, "doc_id", "text").select("doc_id", text.normalize(F.col("text")).alias("normalized"))
 
 
 def filtered_words(spark, sf):
     """Word filter at a limit that the data reaches."""
-    return fx.table(spark, sf, "documents").select(
+    return fx.documents(spark, sf, "doc_id", "text").select(
         "doc_id", text.drop_long_words(F.col("text"), 12).alias("text")
     )
 
@@ -198,7 +198,7 @@ def hashed_embed(spark, sf):
 
 
 def _checkable_rows(spark, sf):
-    d = fx.table(spark, sf, "documents")
+    d = fx.documents(spark, sf, "doc_id", "source", "text")
     e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
     return d.join(e, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("id"), "vec", F.col("source").alias("title"), "text"
@@ -261,7 +261,7 @@ def best_spans(spark, sf):
 
 def best_passage(spark, sf):
     """Per document, the sentence with most terms; the first one on ties."""
-    d = fx.table(spark, sf, "documents").select("doc_id", F.posexplode(models.sentences(F.col("text"))).alias("rank", "answer"))
+    d = fx.documents(spark, sf, "doc_id", "text").select("doc_id", F.posexplode(models.sentences(F.col("text"))).alias("rank", "answer"))
     scored = d.select(
         F.col("doc_id").alias("row_idx"), "rank", F.size(models.terms(F.col("answer"))).cast("double").alias("score"), "answer"
     )
@@ -276,7 +276,7 @@ def packed_ids(spark, sf):
         return F.transform(tok.pieces(c), lambda p: F.ascii(p))
 
     trimmed = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
-    packed = fx.table(spark, sf, "documents").select(
+    packed = fx.documents(spark, sf, "doc_id", "source", "text").select(
         "doc_id", spans.pack_ids(ids(trimmed), PACK_LENGTH, PAD, SEP, CLS, ids(F.col("source"))).alias("ids")
     )
     mask = spans.attention_mask(F.col("ids"), PAD)

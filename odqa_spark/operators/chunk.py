@@ -35,12 +35,12 @@ def token_chunks(articles: DataFrame, window: int = 256, tokenizer: Tokenizer |
 
     pieces = articles.select(
         "id", "title", "url", tok.pieces(drop_long_words(embed_input(F.col("title"), F.col("text")))).alias("tok")
-    ).where(F.size("tok") > 0)
+    )
 
     marked = pieces.select(
         "*",
         F.size("tok").alias("n"),
-        F.floor((F.size("tok") - 1) / size).cast("int").alias("m"),
+        F.greatest(F.floor((F.size("tok") - 1) / size).cast("int"), F.lit(0)).alias("m"),
         F.transform("tok", tok.starts_word).alias("word"),
     )
 
@@ -83,7 +83,11 @@ def token_chunks(articles: DataFrame, window: int = 256, tokenizer: Tokenizer |
             F.when(is_tail, F.col("n")).otherwise(end).cast("int").alias("end"),
         )
 
-    spans = blocks.withColumn("spans", F.transform(F.sequence(F.lit(0), F.col("m")), bounds))
+    # An article without tokens has no chunk. This is not a filter on ``tok``: that would be
+    # pushed below the tokenizer and run it twice.
+    spans = blocks.withColumn(
+        "spans", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("m")), bounds))
+    )
     texts = F.transform("spans", lambda s: tok.join(F.slice("tok", s["start"] + 1, s["end"] - s["start"])))
     return spans.select("id", "title", "url", F.posexplode(texts).alias("pos", "text")).select(
         F.concat_ws("_", "id", F.col("pos").cast("string")).alias("id"), "title", "url", "text"

@@ -49,7 +49,9 @@ def model_column(make_fn: Callable[[], ModelFn], return_type: T.DataType, *input
     # the annotations pick the iterator form of the UDF
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     run_one.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run_one if len(inputs) == 1 else run, return_type)(*inputs)
+    # Not deterministic to the optimizer: otherwise a filter on the result, or one inferred from
+    # exploding it, is pushed below and calls the model a second time.
+    return F.arrow_udf(run_one if len(inputs) == 1 else run, return_type).asNondeterministic()(*inputs)
 
 
 def model_over_array(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odqa_spark.functions.binding import let
+
 TOP_SPANS = 10  # fixed value: spans returned per passage
 
 
@@ -82,6 +84,18 @@ def pack_ids(
     What does not fit is cut from the longer of the two parts first, then from
     both in turn, text first. The last id is ``sep`` when the row is full.
     """
+
+    def padded(packed: Column) -> Column:
+        return F.concat(packed, F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(packed), F.lit(0))))
+
+    if title_ids is None:
+        packed = _joined(None, text_ids, length, sep, cls)
+    else:
+        packed = let(title_ids, lambda a: let(text_ids, lambda b: _joined(a, b, length, sep, cls)))
+    return let(packed, padded) if pad_to_max else packed
+
+
+def _joined(title_ids: Column | None, text_ids: Column, length: int, sep: int, cls: int) -> Column:
     none = F.array().cast("array<int>")
     mark = F.array(F.lit(sep))
     if title_ids is None:
@@ -99,10 +113,7 @@ def pack_ids(
         text = F.when(paired, F.slice(text_ids, 1, F.greatest(n_text - cut_text, F.lit(0)))).otherwise(
             F.slice(text_ids, 1, length - 2)
         )
-    packed = F.concat(F.array(F.lit(cls)), head, text, mark)
-    if not pad_to_max:
-        return packed
-    return F.concat(packed, F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(packed), F.lit(0))))
+    return F.concat(F.array(F.lit(cls)), head, text, mark)
 
 
 def attention_mask(ids: Column, pad: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from odqa_spark.schemas import ID_MAX, TEXT_MAX, TITLE_MAX, VECTOR_DIM, VECTOR_PASSAGE
 
 METHODS = ("exact",)
+ACCEPTED, REJECTED = "accepted", "rejected"
 
 
 def check_method(method: str) -> str:
@@ -32,39 +33,50 @@ def checked(rows: DataFrame, dim: int = VECTOR_DIM, max_text: int = TEXT_MAX) ->
     return rows.withColumn("reject_reason", reject_reason(dim, max_text))
 
 
-def new_rows(rows: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose key is not in ``existing`` yet; reads only the key column of it."""
-    return rows.join(existing.select(key), key, "left_anti")
+def new_rows(rows: DataFrame, existing: DataFrame, *key: str) -> DataFrame:
+    """Rows whose key is not in ``existing`` yet; reads only the key columns of it."""
+    return rows.join(existing.select(*key), list(key), "left_anti")
 
 
 def create_if_absent(spark: SparkSession, name: str, path: str, method: str = "exact") -> None:
-    """Create the vector table, and its table of rejected rows, unless they exist."""
+    """Create the vector table unless it exists.
+
+    ``name_rows`` holds every row, one partition for accepted and one for rejected
+    rows, so a load writes both in one pass; ``name`` and ``name_rejected`` are
+    views that each read one partition.
+    """
     check_method(method)
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in VECTOR_PASSAGE.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{path}/accepted'")
+    fields = ", ".join(f.name for f in VECTOR_PASSAGE.fields)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name}_rows ({columns}, reject_reason string, status string) "
+        f"USING parquet PARTITIONED BY (status) LOCATION '{path}'"
+    )
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name}_rejected ({columns}, reject_reason string) "
-        f"USING parquet LOCATION '{path}/rejected'"
+        f"CREATE VIEW IF NOT EXISTS {name} AS SELECT {fields} FROM {name}_rows WHERE status = '{ACCEPTED}'"
+    )
+    spark.sql(
+        f"CREATE VIEW IF NOT EXISTS {name}_rejected AS "
+        f"SELECT {fields}, reject_reason FROM {name}_rows WHERE status = '{REJECTED}'"
     )
 
 
 def append_passages(
     rows: DataFrame, name: str, dim: int = VECTOR_DIM, max_text: int = TEXT_MAX, mode: str = "skip_existing"
 ) -> None:
-    """Append valid rows to ``name`` and the others to ``name_rejected``.
+    """Append valid rows to ``name`` and the others to ``name_rejected``, in one pass.
 
     ``skip_existing`` leaves out ids the table has, so a repeated load changes
-    nothing; ``append_all`` adds every row again.
+    nothing (an id rejected before may still be accepted later); ``append_all``
+    adds every row again.
     """
     if mode not in ("skip_existing", "append_all"):
         raise ValueError(f"unknown mode: {mode!r}")
-    spark = rows.sparkSession
-    fields = [f.name for f in VECTOR_PASSAGE.fields]
-    typed = checked(rows.select(*[F.col(f.name).cast(f.dataType) for f in VECTOR_PASSAGE.fields]), dim, max_text)
-    good = typed.where(F.col("reject_reason").isNull()).select(*fields)
-    bad = typed.where(F.col("reject_reason").isNotNull())
+    typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in VECTOR_PASSAGE.fields])
+    status = F.when(F.col("reject_reason").isNull(), ACCEPTED).otherwise(REJECTED)
+    out = checked(typed, dim, max_text).withColumn("status", status)
+    stored = f"{name}_rows"
     if mode == "skip_existing":
-        good = new_rows(good, spark.table(name))
-        bad = new_rows(bad, spark.table(f"{name}_rejected"))
-    good.select(*fields).write.mode("append").insertInto(name)
-    bad.select(*fields, "reject_reason").write.mode("append").insertInto(f"{name}_rejected")
+        out = new_rows(out, rows.sparkSession.table(stored), "id", "status")
+    fields = [f.name for f in VECTOR_PASSAGE.fields]
+    out.select(*fields, "reject_reason", "status").write.mode("append").insertInto(stored)

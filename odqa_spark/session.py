@@ -59,6 +59,17 @@ def materialize(df, label: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df):
+    """Spread a small table over all cores before heavy row-local work.
+
+    A table of few files gives few tasks. Only then are its rows shuffled; a scan
+    with at least as many partitions as the cluster has cores is left alone, so
+    this never moves a large table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application."""
     app = spark.sparkContext.applicationId
