@@ -84,7 +84,7 @@ def _result(top: _TopK, q_ids: pa.Array, schema: pa.Schema) -> pa.Table:
     return pa.table(
         [
             q_ids.take(pa.array(best["q"].to_numpy(), pa.int64())).cast(schema.field(0).type),
-            pa.array(best["p"].to_numpy(), schema.field(1).type),
+            pa.array(best["p"].tolist(), schema.field(1).type),
             pa.array(best["score"].to_numpy(), pa.float64()),
         ],
         schema=schema,
