@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from odqa_spark.functions.binding import let
+from odqa_spark.functions.binding import let, pinned
 from odqa_spark.functions.text import clean_answer
 from odqa_spark.operators.chunk import ratio_groups, seeded_order
 
@@ -184,14 +184,14 @@ def condense_passages(
     """
     q = F.col("question")
     if ratio == 1:
-        return df.withColumn("summary", condense(q, F.array_join("psgs", "\n"), make_fn, batch_size))
+        return df.withColumn("summary", pinned(condense(q, F.array_join("psgs", "\n"), make_fn, batch_size)))
     psgs = seeded_order(F.col("psgs"), F.array_join("psgs", "\n")) if shuffle else F.col("psgs")
     inputs = F.transform(ratio_groups(psgs, ratio, tail), lambda g: F.array_join(g, "\n"))
     if make_fn is None:
-        return df.withColumn("summary", F.array_join(F.transform(inputs, lambda t: extract_sentences(q, t)), "\n"))
-
-    each = model_over_array(make_fn, T.StringType(), q, inputs, batch_size)
-    return df.withColumn("summary", F.array_join(each, "\n"))
+        summary = F.array_join(F.transform(inputs, lambda t: extract_sentences(q, t)), "\n")
+        return df.withColumn("summary", pinned(summary))
+    each = model_over_array(make_fn, T.StringType(), q, F.col("_inputs"), batch_size)
+    return df.withColumn("_inputs", pinned(inputs)).withColumn("summary", F.array_join(each, "\n")).drop("_inputs")
 
 
 # --- reading -------------------------------------------------------------------------------------

@@ -51,11 +51,10 @@ def test_embed_if_missing_asks_only_for_missing_rows(spark):
     assert bare == [[3.0]]
 
 
-def _joined():
-    return lambda questions, texts: [f"<{q}|{t}>" for q, t in zip(questions, texts)]
-
-
 def test_grouped_condensing_keeps_the_question_with_its_groups(spark):
+    def _joined():
+        return lambda questions, texts: [f"<{q}|{t}>" for q, t in zip(questions, texts)]
+
     rows = [("q1", ["a", "b", "c"]), ("q2", ["d", "e"]), ("q3", [])]
     df = spark.createDataFrame(rows, "question string, psgs array<string>").coalesce(1)
     got = [r.summary for r in models.condense_passages(df, 2, _joined, shuffle=False).collect()]
@@ -69,6 +68,19 @@ def test_grouped_condensing_keeps_the_question_with_its_groups(spark):
     assert alone[0] == batched[1]
 
 
+def test_a_native_summary_can_feed_a_model(spark):
+    def shout():
+        return lambda texts: [t.upper() for t in texts]
+
+    spark.createDataFrame([("burn", "ids")], "a string, b string").collect()
+    rows = [("cat", ["The cat sat. Dogs bark. More."]), ("x", ["y", "z"])]
+    df = spark.createDataFrame(rows, "question string, psgs array<string>").coalesce(1)
+    for ratio in (1, 2):
+        s = models.condense_passages(df, ratio, shuffle=False)
+        got = s.select(models.model_column(shout, T.StringType(), F.col("summary")).alias("x")).collect()
+        assert [r.x for r in got] == [r.summary.upper() for r in s.collect()]
+
+
 def test_default_condenser(spark):
     text = "Nothing here. The cat sat! Dogs bark.\nA cat and a dog. More. End"
     df = spark.createDataFrame([("cat dog", text), ("x", "")], "q string, t string").coalesce(1)
