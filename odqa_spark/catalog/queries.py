@@ -315,7 +315,7 @@ def summarizer_prompts(spark, sf):
     n = len(prompts.INSTRUCTION_VERSIONS) + 1
     version = F.element_at(versions, (F.col("row_idx") % n + 1).cast("int"))
     r = fx.qa_runs(spark, sf).withColumn("summarizer", F.concat(F.lit("gpt-3.5."), version))
-    out = prompts.with_instruction(r, prompts.default_instructions(spark))
+    out = prompts.with_instruction(r)
     return out.select(
         "row_idx", "model", "system_prompt", "error",
         prompts.summarizer_prompt(F.col("question"), F.col("retrieved")).alias("prompt"),
@@ -442,26 +442,30 @@ def _stream(spark, sf, name="documents"):
     return tables.stream_parquet(spark, sf, schema, max_files=1, pattern=f"{name}.parquet")
 
 
+def _cores(spark):
+    return spark.sparkContext.defaultParallelism
+
+
 def _finish(query):
     query.awaitTermination()
 
 
 def stream_chunks(spark, sf):
     out, state = scratch_path(spark, "chunks"), scratch_path(spark, "state")
-    _finish(jobs.stream_chunks(fx.as_articles(_stream(spark, sf)), out, state))
+    _finish(jobs.stream_chunks(fx.as_articles(_stream(spark, sf)), out, state, partitions=_cores(spark)))
     return spark.read.parquet(out)
 
 
 def stream_histogram(spark, sf):
     out, state = scratch_path(spark, "histogram"), scratch_path(spark, "state")
-    _finish(jobs.stream_histogram(fx.as_articles(_stream(spark, sf)), out, state))
+    _finish(jobs.stream_histogram(fx.as_articles(_stream(spark, sf)), out, state, partitions=_cores(spark)))
     return profile.histogram_table(spark.read.parquet(out), "token_counts", profile.TOKEN_EDGES)
 
 
 def stream_index(spark, sf):
     name, _ = _new_table(spark)
     state = scratch_path(spark, "state")
-    _finish(jobs.stream_index(fx.as_articles(_stream(spark, sf)), name, state, dim=EMBEDDING_DIM, max_text=SHORT_TEXT))
+    _finish(jobs.stream_index(fx.as_articles(_stream(spark, sf)), name, state, dim=EMBEDDING_DIM, max_text=SHORT_TEXT, partitions=_cores(spark)))
     return spark.table(name).select("id", "title", F.size("vec").alias("dim"), F.length("text").alias("n_chars"))
 
 

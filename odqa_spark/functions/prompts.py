@@ -6,7 +6,9 @@ package's own, and every builder takes the user's wording instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tags and separators of the prompt formats.
@@ -66,10 +68,9 @@ def instruction_text(length: str, min_words: int, bullets: bool) -> str:
     return "\n".join(lines) + "\n"
 
 
-def default_instructions(spark: SparkSession) -> DataFrame:
-    """``version, instruction`` for every known version."""
-    rows = [(v, instruction_text(*spec)) for v, spec in INSTRUCTION_VERSIONS.items()]
-    return spark.createDataFrame(rows, "version string, instruction string")
+def default_instructions() -> dict[str, str]:
+    """Instruction text of every known version."""
+    return {version: instruction_text(*spec) for version, spec in INSTRUCTION_VERSIONS.items()}
 
 
 def model_input(question: Column, text: Column, special_token: bool = False) -> Column:
@@ -85,24 +86,24 @@ def summarizer_prompt(question: Column, passages: Column) -> Column:
     return F.concat(F.lit(QUESTION_TAG), question, F.lit(f"\n\n{PASSAGES_TAG}\n"), passages)
 
 
-def with_instruction(rows: DataFrame, instructions: DataFrame, model_col: str = "summarizer") -> DataFrame:
+def with_instruction(
+    rows: DataFrame, instructions: Mapping[str, str] | None = None, model_col: str = "summarizer"
+) -> DataFrame:
     """Split ``model.version``, look the version up: adds ``model, system_prompt, error``.
 
-    An unknown version gives a row with ``error`` and no prompt. The lookup table
-    is one row per version; the optimizer broadcasts it by its real size.
+    An unknown version gives a row with ``error`` and no prompt. The instructions
+    are a map literal in the plan, so the lookup moves no rows.
     """
-    parts = F.split(F.col(model_col), r"\.", -1)
-    keyed = rows.withColumn("version", F.element_at(parts, -1)).withColumn(
-        "model", F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".")
-    )
-    known = F.col("instruction").isNotNull()
-    return (
-        keyed.join(instructions, "version", "left")
-        .withColumn("error", F.when(~known, F.concat(F.lit("unknown instruction version: "), F.col("version"))))
-        .withColumn("model", F.when(known, F.col("model")).otherwise(F.col(model_col)))
-        .withColumnRenamed("instruction", "system_prompt")
-        .drop("version")
-    )
+    known_texts = instructions or default_instructions()
+    table = F.create_map(*[F.lit(x) for pair in known_texts.items() for x in pair])
+    version = F.substring_index(F.col(model_col), ".", -1)
+    name = F.col(model_col).substr(F.lit(1), F.greatest(F.length(model_col) - F.length(version) - 1, F.lit(0)))
+    known = version.isin(list(known_texts))
+    return rows.withColumns({
+        "model": F.when(known, name).otherwise(F.col(model_col)),
+        "system_prompt": F.try_element_at(table, version),
+        "error": F.when(~known, F.concat(F.lit("unknown instruction version: "), version)),
+    })
 
 
 def rewrite_prompt(document: Column, question: Column, answer: Column, template: str = REWRITE_TEMPLATE,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from odqa_spark.functions.scoring import answer_starts, exact_contain, exact_match, prediction_parts, token_f1
 from odqa_spark.functions.text import normalize, normalize_each
 from odqa_spark.functions.tokens import Tokenizer, default_tokenizer
+from odqa_spark.session import materialize
 
 
 def judge_rows(
@@ -120,8 +121,9 @@ def run_metrics(
 def error_samples(runs: DataFrame, by: str = "config", **columns) -> DataFrame:
     """The first row, by ``row_idx``, of every error class of every run.
 
-    Only row numbers are aggregated (hash aggregate on longs); the few winners
-    then fetch their text with an equi join.
+    Only row numbers are aggregated (hash aggregate on longs). The winners, at most
+    four per run, are written first, so the planner knows how few they are and
+    broadcasts them instead of shuffling the run texts.
     """
     predict_col = columns.get("predict_col", "predicted")
     context_col = columns.get("context_col", "retrieved")
@@ -154,9 +156,9 @@ def error_samples(runs: DataFrame, by: str = "config", **columns) -> DataFrame:
         entry("read_fp", F.when(s, F.col("fp_s")).otherwise(F.col("fp_r"))),
         entry("read_tn", F.when(s, F.col("tn_s")).otherwise(F.col("tn_r"))),
     )
-    winners = firsts.select(by, F.inline(classes)).where(F.col("row_idx").isNotNull())
+    winners = materialize(firsts.select(by, F.inline(classes)).where(F.col("row_idx").isNotNull()), "samples")
     texts = runs.select(by, "row_idx", "question", context_col, summary_col, label_col, predict_col)
-    return winners.join(texts, [by, "row_idx"])
+    return texts.join(winners, [by, "row_idx"])
 
 
 def squad_references(runs: DataFrame, label_col: str = "answer", context_col: str = "retrieved") -> DataFrame:

@@ -16,7 +16,7 @@ from odqa_spark.functions.vectors import as_double, squared_norm, with_aux_dim
 BROADCAST_BYTES = 64 << 20  # question matrices up to this size are sent to every executor
 BLOCK_BYTES = 64 << 20  # largest score matrix or product held at once inside a task
 GRID_QUESTIONS = 8192  # rows of one grid cell, for question sets beyond the broadcast limit
-GRID_PASSAGES = 65536
+GRID_PASSAGES = 32768
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -117,8 +117,7 @@ def topk_join(
     """
     if metric not in ("ip", "l2"):
         raise ValueError(f"metric must be 'ip' or 'l2', not {metric!r}")
-    q = questions.select("q_id", as_double(F.col("q_vec")).alias("q_vec")).where(F.col("q_vec").isNotNull())
-    p = passages.select("p_id", as_double(F.col("p_vec")).alias("p_vec")).where(F.col("p_vec").isNotNull())
+    q, p = _vectors(questions, "q_id", "q_vec"), _vectors(passages, "p_id", "p_vec")
     schema = T.StructType([
         T.StructField("q_id", q.schema["q_id"].dataType),
         T.StructField("p_id", p.schema["p_id"].dataType),
@@ -135,6 +134,13 @@ def topk_join(
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """Ids and vectors; single precision stays as it is on the way to Python, where products are double."""
+    item = df.schema[vec].dataType.elementType
+    value = F.col(vec) if isinstance(item, (T.FloatType, T.DoubleType)) else as_double(F.col(vec))
+    return df.select(key, value.alias(vec)).where(F.col(vec).isNotNull())
+
+
 def _dimension(q: DataFrame) -> int:
     first = q.select(F.size("q_vec")).head()
     return max(1, first[0]) if first else 1

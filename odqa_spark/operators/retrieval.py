@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odqa_spark.operators.knn import topk_join
+from odqa_spark.session import materialize
+
+BROADCAST_ROWS = 1_000_000  # ranked ids (a few dozen bytes each) up to this many are sent to every executor
 
 
 def passage_limit(top_k: int, ratio: int = 1, summarize: bool = False) -> int:
@@ -16,11 +19,16 @@ def passage_limit(top_k: int, ratio: int = 1, summarize: bool = False) -> int:
 def retrieve(questions: DataFrame, passages: DataFrame, limit: int, **options) -> DataFrame:
     """``q_id, p_id, rank, score, title, text``: ranked passages of every question.
 
-    The search reads ids and vectors only; titles and texts are fetched for the
-    ``limit`` winners by an equi join.
+    The search reads ids and vectors only. Its ranked ids are written to the shared
+    folder: the search is not repeated when an executor is lost, and their number
+    is known before the texts are fetched. Up to ``BROADCAST_ROWS`` of them are
+    broadcast, so the passage table is scanned and not shuffled; beyond that the
+    join shuffles both sides.
     """
-    found = topk_join(questions, passages, limit, **options)
-    return found.join(passages.select("p_id", "title", "text"), "p_id")
+    found = materialize(topk_join(questions, passages, limit, **options), "ranked")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    return passages.select("p_id", "title", "text").join(found, "p_id")
 
 
 def collect_context(retrieved: DataFrame) -> DataFrame:

@@ -77,6 +77,10 @@ def append_passages(
     out = checked(typed, dim, max_text).withColumn("status", status)
     stored = f"{name}_rows"
     if mode == "skip_existing":
-        out = new_rows(out, rows.sparkSession.table(stored), "id", "status")
+        # The stored ids that this load brings again: a small load is broadcast against the
+        # table's id column, so neither the table nor its vectors are shuffled for it.
+        held = rows.sparkSession.table(stored).select("id", "status")
+        seen = held.join(rows.select(F.col("id").cast("string").alias("id")), "id", "left_semi")
+        out = new_rows(out, seen, "id", "status")
     fields = [f.name for f in VECTOR_PASSAGE.fields]
     out.select(*fields, "reject_reason", "status").write.mode("append").insertInto(stored)

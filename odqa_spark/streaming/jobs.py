@@ -1,4 +1,8 @@
-"""The batch operators on unbounded input. Every job runs what is available, then stops, unless a period is given."""
+"""The batch operators on unbounded input.
+
+Every job runs what is available, then stops, unless a ``period`` is given.
+``partitions`` spreads micro-batches of few files over more tasks.
+"""
 
 from __future__ import annotations
 
@@ -20,20 +24,25 @@ def _start(writer, checkpoint: str, period: str | None) -> StreamingQuery:
     return writer.start()
 
 
+def _spread(rows: DataFrame, partitions: int | None) -> DataFrame:
+    return rows.repartition(partitions) if partitions else rows
+
+
 def stream_chunks(
     articles: DataFrame, out: str, checkpoint: str, window: int = 256, tokenizer: Tokenizer | None = None,
-    period: str | None = None,
+    period: str | None = None, partitions: int | None = None,
 ) -> StreamingQuery:
     """Stateless: passages are appended to Parquet files at ``out``."""
-    chunks = token_chunks(articles, window, tokenizer)
+    chunks = token_chunks(_spread(articles, partitions), window, tokenizer)
     return _start(chunks.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint, period)
 
 
 def stream_histogram(
-    articles: DataFrame, out: str, checkpoint: str, tokenizer: Tokenizer | None = None, period: str | None = None
+    articles: DataFrame, out: str, checkpoint: str, tokenizer: Tokenizer | None = None, period: str | None = None,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Running token and character histograms; ``out`` always holds the latest one-row state."""
-    running = histogram_row(token_stats(articles, tokenizer))
+    running = histogram_row(token_stats(_spread(articles, partitions), tokenizer))
 
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out)
@@ -43,12 +52,12 @@ def stream_histogram(
 
 def stream_index(
     articles: DataFrame, table: str, checkpoint: str, prefix: str = "", make_fn=None, dim: int = VECTOR_DIM,
-    max_text: int = TEXT_MAX, period: str | None = None,
+    max_text: int = TEXT_MAX, period: str | None = None, partitions: int | None = None,
 ) -> StreamingQuery:
     """Append to the vector table. A repeated batch finds its ids present and adds nothing."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        append_passages(vector_rows(batch, prefix, make_fn), table, dim, max_text)
+        append_passages(vector_rows(_spread(batch, partitions), prefix, make_fn), table, dim, max_text)
 
     return _start(articles.writeStream.foreachBatch(load), checkpoint, period)
 

@@ -134,7 +134,7 @@ def test_prompts(spark):
 
 def test_instruction_lookup(spark):
     df = spark.createDataFrame([(1, "gpt-3.5.v13"), (2, "gpt-4"), (3, "m.v6")], "i int, summarizer string")
-    got = {r.i: r for r in prompts.with_instruction(df, prompts.default_instructions(spark)).collect()}
+    got = {r.i: r for r in prompts.with_instruction(df).collect()}
     assert got[1].model == "gpt-3.5" and got[1].error is None and got[1].system_prompt
     assert got[2].model == "gpt-4" and "unknown instruction version" in got[2].error and got[2].system_prompt is None
     assert got[3].model == "m" and "bullet" in got[3].system_prompt
