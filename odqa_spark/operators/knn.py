@@ -45,26 +45,36 @@ class _TopK:
         self.floor = np.full(len(questions), -np.inf)
         self.best = pd.DataFrame({"q": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "p": []})
         self.q_sq = (questions**2).sum(axis=1)
+        self.q_max = self.q_sq[np.isfinite(self.q_sq)].max(initial=0.0)
 
     def add(self, ids: np.ndarray, passages: np.ndarray) -> None:
         if not len(ids) or not len(self.q):
             return
         found = []
         p_sq = (passages**2).sum(axis=1)
-        # rounding of a product is far below this; candidates inside the margin are scored exactly
-        margin = 1e-9 * (1.0 + np.sqrt(self.q_sq.max()) * np.sqrt(p_sq.max()) + p_sq.max())
+        if not np.isfinite(p_sq).all():
+            finite = np.isfinite(p_sq)
+            return self.add(ids[finite], passages[finite])
+        # Products only pick candidates, so single precision will do for inner products. The margin is
+        # twice the error bound of a sum of products; what lies within it is scored exactly.
+        q_max, p_max = np.sqrt(self.q_max), np.sqrt(p_sq.max())
+        single = self.metric == "ip" and max(q_max, p_max) < 1e15
+        kind = np.float32 if single else np.float64
+        scale = q_max * p_max if self.metric == "ip" else (q_max + p_max) ** 2
+        margin = 4.0 * (passages.shape[1] + 4) * np.finfo(kind).eps * scale + np.finfo(kind).tiny
+        cast = passages.astype(kind, copy=False).T
         step = max(1, BLOCK_BYTES // (8 * len(ids)))
         pairs = max(1, BLOCK_BYTES // (16 * passages.shape[1]))
         for lo in range(0, len(self.q), step):
             block = self.q[lo : lo + step]
-            near = block @ passages.T
+            near = block.astype(kind, copy=False) @ cast
             floor = self.floor[lo : lo + step]
             if self.metric == "l2":
                 near = 2 * near - self.q_sq[lo : lo + step, None] - p_sq
                 floor = np.where(np.isfinite(floor), -(floor**2), floor)
             if len(ids) > self.k:
                 floor = np.maximum(floor, np.partition(near, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
-            qi, pi = np.nonzero(near >= floor[:, None] - margin)
+            qi, pi = np.nonzero(near >= (floor[:, None] - margin).astype(kind))
             for at in range(0, len(qi), pairs):
                 qs, ps = qi[at : at + pairs], pi[at : at + pairs]
                 score = _exact(self.metric, block[qs], passages[ps])
@@ -106,6 +116,7 @@ def topk_join(
     """``q_id, p_id, score, rank``: the ``k`` best passages of every question.
 
     Takes ``q_id, q_vec`` and ``p_id, p_vec`` (ids unique, vectors of one length).
+    Null vectors and vectors with NaN or infinite parts have no rank.
     ``metric`` is ``ip`` (larger is better) or ``l2`` (score is the negated distance).
     ``dim``, if known, saves a look at the first question.
 

@@ -77,6 +77,13 @@ def test_topk_with_text_ids_and_missing_vectors(spark):
         knn.topk_join(left, right, 3, metric="cosine")
 
 
+def test_broken_vectors_do_not_hide_others(spark):
+    nan, inf = float("nan"), float("inf")
+    left = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [nan, 0.0])], f"q_id string, q_vec {VEC}")
+    right = spark.createDataFrame([("z", [1.0, 0.0]), ("y", [nan, 1.0]), ("x", [inf, 0.0]), ("w", [0.5, 0.0])], f"p_id string, p_vec {VEC}")
+    assert _collect(knn.topk_join(left, right.coalesce(1), 1)) == {"a": [("z", 1.0)]}
+
+
 def test_empty_sides(spark):
     left = spark.createDataFrame([], f"q_id bigint, q_vec {VEC}")
     right = spark.createDataFrame([(1, [1.0])], f"p_id bigint, p_vec {VEC}")
