@@ -11,6 +11,7 @@ import unicodedata
 from odqa_spark.catalog.queries import CLS, EMBEDDING_DIM, PACK_LENGTH, PAD, SEP, SHORT_TEXT, TOP_K
 from odqa_spark.functions import prompts
 from odqa_spark.functions.tokens import PIECE_PATTERN
+from odqa_spark.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 from odqa_spark.operators.models import HASH_DIM, MAX_ANSWER_WORDS, SENTENCE, WORD_BREAK
 from odqa_spark.operators.profile import CHAR_EDGES, TOKEN_EDGES, bucket_labels
 
@@ -291,6 +292,44 @@ ans AS (SELECT *, coalesce(array_to_string(w[4:30], ' '), '') AS long_answer_tex
     coalesce(array_to_string(w[6:7], ' '), '') AS short_answer_text FROM nq)"""
 
 
+def recursive_chunks() -> str:
+    """Cut level by level; merge every run of short pieces greedily, one chunk per recursion step.
+
+    ``w0..w3`` are the stretches to cut at each separator, ``p0..p3`` their pieces.
+    """
+    steps = ["w0 AS (SELECT example_id, document_text AS t, 0::BIGINT AS lo, length(document_text) AS hi FROM ans)"]
+    s = "substr(t, lo + 1, hi - lo)"
+    for k, sep in enumerate(SEPARATORS[:-1]):
+        n, q = len(sep), lit(sep)
+        steps.append(f"""c{k} AS (SELECT example_id, t, lo AS w, hi AS e, unnest(string_split({s}, {q})) AS x,
+    generate_subscripts(string_split({s}, {q}), 1) AS i FROM w{k} WHERE contains({s}, {q})),
+d{k} AS (SELECT *, w + coalesce(sum(length(x) + {n}) OVER (PARTITION BY example_id, w ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM c{k}),
+p{k} AS (SELECT * FROM (SELECT example_id, t, w, CASE WHEN i = 1 THEN pos ELSE pos - {n} END AS lo, pos + length(x) AS hi FROM d{k}) WHERE hi > lo),
+w{k + 1} AS (SELECT example_id, t, lo, hi FROM p{k} WHERE hi - lo >= {CHUNK_SIZE}
+    UNION ALL SELECT * FROM w{k} WHERE NOT contains({s}, {q}))""")
+    last = len(SEPARATORS) - 1
+    steps.append(f"""p{last} AS (SELECT example_id, t, lo AS w, l AS lo, l + 1 AS hi
+    FROM (SELECT *, unnest(range(lo, hi)) AS l FROM w{last}))""")
+    pieces = " UNION ALL ".join(f"SELECT {k} AS lv, * FROM p{k}" for k in range(last + 1))
+    first_at_least = "len(list_filter(e, lambda x: x < {})) + 1"
+    return f"""WITH RECURSIVE {NQ}, {", ".join(steps)},
+pieces AS (SELECT *, hi - lo >= {CHUNK_SIZE} AS big FROM ({pieces})),
+runs AS (SELECT *, count(*) FILTER (WHERE big) OVER (PARTITION BY example_id, lv, w ORDER BY lo) AS run FROM pieces),
+edges AS (SELECT example_id, any_value(t) AS t, list_append(list(lo ORDER BY lo), max(hi)) AS e FROM runs WHERE NOT big
+    GROUP BY example_id, lv, w, run),
+merged AS (
+  SELECT example_id, t, e, 1::BIGINT AS a, len(list_filter(e, lambda x: x <= e[1] + {CHUNK_SIZE})) AS b FROM edges
+  UNION ALL
+  SELECT example_id, t, e, n AS a, len(list_filter(e, lambda x: x <= e[n] + {CHUNK_SIZE})) AS b FROM (
+    SELECT *, least(b, greatest({first_at_least.format(f"e[b] - {CHUNK_OVERLAP}")}, {first_at_least.format(f"e[b + 1] - {CHUNK_SIZE}")})) AS n
+    FROM merged WHERE b < len(e))),
+chunks AS (SELECT example_id, e[a] AS st, regexp_replace(substr(t, e[a] + 1, e[b] - e[a]), '^\\s+|\\s+$', '', 'g') AS c FROM merged),
+kept AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY st) AS i FROM chunks WHERE c <> '')
+SELECT example_id, example_id || '_' || i AS split_id, c AS document_text, short_answer_text,
+  contains(c, short_answer_text) AS answer_exist_chunk FROM kept JOIN ans USING (example_id)"""
+
+
 def rewrite_prompt(document: str, question: str, answer: str) -> str:
     requirement = f"CASE WHEN contains({document}, {answer}) THEN {lit(prompts.ANSWER_PRESENT)} ELSE {lit(prompts.ANSWER_ABSENT)} END"
     filled = (
@@ -377,6 +416,7 @@ def all_sql() -> dict[str, str]:
         "token_chunks": TOKEN_CHUNKS,
         "ratio_groups": sentence_groups(False),
         "seeded_ratio_groups": sentence_groups(True),
+        "recursive_chunks": recursive_chunks(),
         "normalized_text": f"SELECT doc_id, {normalize('text')} AS normalized FROM documents",
         "filtered_words": "SELECT doc_id, coalesce(array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) < 12), ' '), '') AS text FROM documents",
         "exact_match_score": f"{verdicts} SELECT row_idx, config, {r6('em')} AS em FROM j",
