@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
+from odqa_spark.catalog.fixtures import SHORT_DOCUMENT
 from odqa_spark.catalog.queries import CLS, EMBEDDING_DIM, PACK_LENGTH, PAD, SEP, SHORT_TEXT, TOP_K
 from odqa_spark.functions import prompts
 from odqa_spark.functions.tokens import PIECE_PATTERN
@@ -285,9 +286,9 @@ SELECT doc_id, array_to_string(p, ' ') AS ids,
   array_to_string(list_transform(p, lambda q: CASE WHEN q <> {PAD} THEN '1' ELSE '0' END), '') AS mask FROM f"""
 
 
-NQ = """nq AS (SELECT CAST(doc_id AS VARCHAR) AS example_id, doc_id, text AS document_text,
+NQ = f"""nq AS (SELECT CAST(doc_id AS VARCHAR) AS example_id, doc_id, text AS document_text,
     array_to_string(string_split(text, ' ')[1:5], ' ') AS question_text,
-    list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents WHERE doc_id % 4 <> 0),
+    list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents WHERE n_chars >= {SHORT_DOCUMENT}),
 ans AS (SELECT *, coalesce(array_to_string(w[4:30], ' '), '') AS long_answer_text,
     coalesce(array_to_string(w[6:7], ' '), '') AS short_answer_text FROM nq)"""
 
@@ -460,11 +461,11 @@ SELECT example_id, {rewrite_prompt('document_text', 'question_text', 'a')} AS pr
         "reader_prompts": f"WITH {RUNS} SELECT row_idx, {READER_PROMPT} coalesce(summary, retrieved) AS prompt FROM runs",
         "summarizer_prompts": summarizer_prompts(),
         "prompt_completion": f"""WITH {RUNS}, q AS (SELECT row_idx, {READER_PROMPT} retrieved AS t FROM runs)
-SELECT row_idx, CASE WHEN length(t) > 4000 THEN '' ELSE right(t, 100) END AS completion,
+SELECT row_idx, CASE WHEN length(t) > 4000 THEN '' ELSE length(t) || ' characters' END AS completion,
   CASE WHEN length(t) > 4000 THEN 'ValueError: prompt too long' END AS error FROM q""",
         "training_pairs": f"""WITH {NQ},
 r AS (SELECT example_id AS split_id, question_text, document_text, short_answer_text,
-    CASE WHEN toxic = 1 THEN '' WHEN quality = 1 THEN substr(document_text, 1, 200) END AS s FROM ans JOIN labels USING (doc_id)),
+    CASE WHEN toxic = 1 THEN '' WHEN quality = 1 THEN {clean('document_text')} END AS s FROM ans JOIN labels USING (doc_id)),
 b AS (SELECT * FROM r UNION ALL SELECT split_id || '_b', question_text, document_text, short_answer_text, s FROM r)
 SELECT split_id, question_text || chr(10) || document_text AS input, s AS target FROM b
 WHERE contains(document_text, short_answer_text) AND s IS DISTINCT FROM ''""",

@@ -323,13 +323,13 @@ def summarizer_prompts(spark, sf):
     )
 
 
-def _echo_model():
-    """A stand-in completion function: fails on long prompts, else returns the last characters."""
+def _length_model():
+    """A stand-in completion function: fails on long prompts, else tells the length."""
 
     def reply(prompt: str) -> str:
         if len(prompt) > 4000:
             raise ValueError("prompt too long")
-        return prompt[-100:]
+        return f"{len(prompt)} characters"
 
     return reply
 
@@ -338,15 +338,15 @@ def prompt_completion(spark, sf):
     r = fx.qa_runs(spark, sf).select(
         "row_idx", prompts.reader_prompt(F.col("question"), F.col("retrieved")).alias("prompt")
     )
-    done = r.withColumn("done", models.complete(F.col("prompt"), _echo_model))
+    done = r.withColumn("done", models.complete(F.col("prompt"), _length_model))
     return done.select("row_idx", F.col("done.text").alias("completion"), F.col("done.error").alias("error"))
 
 
 def training_pairs(spark, sf):
-    """Failed, missing and written summaries by label; two folders read as one."""
+    """Failed, missing and written summaries by label; two tables as one."""
     raw = annotations.add_answer_texts(annotations.with_short_answer(fx.nq_raw(spark, sf)))
     labels = fx.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("example_id"), "quality", "toxic")
-    summary = F.when(F.col("toxic") == 1, F.lit("")).when(F.col("quality") == 1, F.substring("document_text", 1, 200))
+    summary = F.when(F.col("toxic") == 1, F.lit("")).when(F.col("quality") == 1, text.clean_answer(F.col("document_text")))
     r = raw.join(labels, "example_id").select(
         F.col("example_id").alias("split_id"), "question_text", "document_text", summary.alias("summarization_text"),
         F.contains("document_text", "short_answer_text").alias("answer_exist_chunk"),

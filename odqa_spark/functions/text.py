@@ -10,13 +10,11 @@ from pyspark.sql import types as T
 
 # The patterns the scoring and reading rules are defined by.
 ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]"
-ARTICLES = r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
+ARTICLES = r"(?=[at])(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 ANSWER_NOISE = r"""[.()"',]"""
 MAX_WORD = 1000
 
-_NON_ASCII = r"[^\x00-\x7F]"
-
 
 @F.arrow_udf(T.StringType())
 def _nfd(texts: pa.Array) -> pa.Array:
@@ -34,14 +32,18 @@ def _nfd_each(lists: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, values, mask=mask)
 
 
+def _non_ascii(text: Column) -> Column:
+    return F.octet_length(text) != F.length(text)
+
+
 def nfd(text: Column) -> Column:
     """Canonical decomposition. Pure ASCII rows cross to Python as null, so only the rest pays."""
-    odd = text.rlike(_NON_ASCII)
+    odd = _non_ascii(text)
     return F.when(odd, _nfd(F.when(odd, text))).otherwise(text)
 
 
 def nfd_each(texts: Column) -> Column:
-    odd = F.exists(texts, lambda t: t.rlike(_NON_ASCII))
+    odd = F.exists(texts, _non_ascii)
     return F.when(odd, _nfd_each(F.when(odd, texts))).otherwise(texts)
 
 
