@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from odqa_spark.functions.binding import let, pinned
+from odqa_spark.functions.prompts import default_instructions, summarizer_prompt
 from odqa_spark.functions.text import clean_answer
 from odqa_spark.operators.chunk import ratio_groups, seeded_order
 
@@ -273,7 +274,8 @@ COMPLETION_TYPE = T.StructType([
 
 def complete(
     prompt: Column,
-    make_fn: Callable[[], Callable[[str], str]],
+    make_fn: Callable[[], Callable[..., str]],
+    system: Column | None = None,
     max_in_flight: int = MAX_IN_FLIGHT,
     parallel_tasks: int = 1,
     retries: int = 3,
@@ -282,6 +284,8 @@ def complete(
 ) -> Column:
     """``text, error`` per prompt from a one-prompt function, requests overlapping in threads.
 
+    The function is called as ``fn(prompt)``, or ``fn(prompt, system)`` if a column
+    of system prompts is given.
     ``max_in_flight`` is shared by ``parallel_tasks`` tasks. Errors in ``retry_on``
     are retried at most ``retries`` times; a prompt that still fails gets text
     ``''`` and the error, and never fails the job. Write the result before using it
@@ -294,12 +298,12 @@ def complete(
 
         fn = make_fn()
 
-        def one(text: str | None) -> dict:
-            if text is None:
+        def one(*prompt: str | None) -> dict:
+            if None in prompt:
                 return {"text": "", "error": "no prompt"}
             for attempt in range(retries + 1):
                 try:
-                    return {"text": str(fn(text)), "error": None}
+                    return {"text": str(fn(*prompt)), "error": None}
                 except retry_on as e:
                     failure = e
                     if wait and attempt < retries:
@@ -309,13 +313,25 @@ def complete(
                     break
             return {"text": "", "error": f"{type(failure).__name__}: {failure}"}
 
-        def batch(prompts: list) -> list:
+        def batch(*columns: list) -> list:
             with ThreadPoolExecutor(threads) as pool:
-                return list(pool.map(one, prompts))
+                return list(pool.map(one, *columns))
 
         return batch
 
-    return model_column(make, COMPLETION_TYPE, prompt, batch_size=max(threads * 4, 64))
+    inputs = [prompt] if system is None else [prompt, system]
+    return model_column(make, COMPLETION_TYPE, *inputs, batch_size=max(threads * 4, 64))
+
+
+def condense_by_prompt(df: DataFrame, summarizer: str, make_fn: Callable[[], Callable[[str, str], str]], **options) -> DataFrame:
+    """Add ``summary`` from a completion function; ``summarizer`` is ``model.version`` of a known instruction."""
+    version = summarizer.rsplit(".", 1)[-1]
+    known = default_instructions()
+    if version not in known:
+        raise ValueError(f"unknown instruction version {version!r} in summarizer {summarizer!r}")
+    prompt = summarizer_prompt(F.col("question"), F.array_join("psgs", "\n"))
+    done = complete(prompt, make_fn, F.lit(known[version]), **options)
+    return df.withColumn("_done", done).withColumn("summary", F.col("_done.text")).drop("_done")
 
 
 def best_passage(candidates: DataFrame) -> DataFrame:

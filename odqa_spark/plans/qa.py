@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odqa_spark.functions.prompts import reader_prompt
-from odqa_spark.operators.models import best_answer, complete, condense_passages, embed, read_answer, read_each
+from odqa_spark.functions.prompts import READER_INSTRUCTION, reader_prompt
+from odqa_spark.operators.models import best_answer, complete, condense_by_prompt, condense_passages, embed, read_answer, read_each
 from odqa_spark.operators.retrieval import collect_context, passage_limit, retrieve
 from odqa_spark.operators.rows import join_by_position
 
@@ -32,17 +32,20 @@ def contexts_from_run(questions: DataFrame, earlier: DataFrame) -> DataFrame:
 
 def answer_rows(
     rows: DataFrame, config: str, summarize: bool = False, ratio: int = 1, reader: str = "context",
-    condense_fn=None, read_fn=None, shuffle: bool = True,
+    condense_fn=None, read_fn=None, shuffle: bool = True, summarizer: str | None = None,
 ) -> DataFrame:
     """Run rows from questions with contexts.
 
     ``passages`` reads every passage and keeps the best answer (unless a summary
     replaces them), ``context`` reads the summary or the joined passages once,
-    ``completion`` prompts a one-prompt function and scores 0.
+    ``completion`` calls ``read_fn(prompt, system)`` and scores 0. ``summarizer``
+    names an instruction version; ``condense_fn`` is then a completion function too.
     """
     if reader not in READERS:
         raise ValueError(f"reader must be one of {READERS}, not {reader!r}")
-    if summarize:
+    if summarize and summarizer is not None:
+        rows = condense_by_prompt(rows, summarizer, condense_fn)
+    elif summarize:
         rows = condense_passages(rows, ratio, condense_fn, shuffle)
     else:
         rows = rows.withColumn("summary", F.lit(None).cast("string"))
@@ -50,7 +53,7 @@ def answer_rows(
     if reader == "completion":
         if read_fn is None:
             raise ValueError("the completion reader needs read_fn")
-        rows = rows.withColumn("_info", complete(reader_prompt(question, context), read_fn))
+        rows = rows.withColumn("_info", complete(reader_prompt(question, context), read_fn, F.lit(READER_INSTRUCTION)))
         predicted, score = F.col("_info.text"), F.lit(0.0)
     else:
         if reader == "passages" and not summarize:
@@ -74,11 +77,11 @@ def answer_rows(
 def qa_run(
     questions: DataFrame, passages: DataFrame, config: str, top_k: int = 10, summarize: bool = False,
     ratio: int = 1, reader: str = "context", earlier: DataFrame | None = None,
-    embed_fn=None, condense_fn=None, read_fn=None, shuffle: bool = True, **options,
+    embed_fn=None, condense_fn=None, read_fn=None, shuffle: bool = True, summarizer: str | None = None, **options,
 ) -> DataFrame:
     """One run over ``row_idx, question, answer``; ``earlier`` condenses an earlier run again instead of searching."""
     if earlier is not None:
         rows = contexts_from_run(questions, earlier)
     else:
         rows = contexts(questions, passages, passage_limit(top_k, ratio, summarize), embed_fn, **options)
-    return answer_rows(rows, config, summarize, ratio, reader, condense_fn, read_fn, shuffle)
+    return answer_rows(rows, config, summarize, ratio, reader, condense_fn, read_fn, shuffle, summarizer)

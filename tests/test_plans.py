@@ -6,6 +6,7 @@ from odqa_spark.catalog import queries
 from odqa_spark.operators import chunk, profile
 from odqa_spark.operators.models import embed
 from odqa_spark.plans import corpus, qa, summaries
+from odqa_spark.plans.evaluation import evaluate_published
 from odqa_spark.sources import tables
 from odqa_spark.streaming import jobs
 
@@ -43,7 +44,7 @@ def test_completion_reader_and_condensing_an_earlier_run(qa_tables):
     q, p = qa_tables
 
     def reply():
-        return lambda prompt: prompt.splitlines()[1]
+        return lambda prompt, system: prompt.splitlines()[1]
 
     first = qa.qa_run(q, p, "one", 2, summarize=True)
     rows = {r.row_idx: r for r in first.collect()}
@@ -52,6 +53,31 @@ def test_completion_reader_and_condensing_an_earlier_run(qa_tables):
         assert again[i].retrieved == rows[i].summary and again[i].predicted == question and again[i].score == 0.0
 
 
+def test_condensing_by_instruction_version(qa_tables):
+    q, p = qa_tables
+
+    def reply():
+        return lambda prompt, system: f"{'bullet' in system}:{prompt.splitlines()[0]}"
+
+    run = qa.qa_run(q, p, "gpt", 2, summarize=True, summarizer="gpt-3.5.v6", condense_fn=reply)
+    assert {r.summary for r in run.collect()} == {f"True:###Question###{text}" for _, text, _ in QUESTIONS}
+    with pytest.raises(ValueError):
+        qa.qa_run(q, p, "gpt", 2, summarize=True, summarizer="gpt-4", condense_fn=reply)
+
+
+def test_evaluating_published_runs(spark, sf, tmp_path):
+    root = str(tmp_path / "runs")
+    tables.publish(fx.qa_runs(spark, sf), root)
+    before = {r.config: r for r in evaluate_published(spark, root).collect()}
+    assert set(before) == {"k10_r0", "k10_r1"}
+    after = evaluate_published(spark, root, contain="k10", exclude="r1", upload=True).collect()
+    assert [r.config for r in after] == ["k10_r0"] and after[0] == before["k10_r0"]
+    stored = spark.read.parquet(root).groupBy("config").agg(F.sum("score").alias("s"), F.count("*").alias("n")).collect()
+    scores = {r.config: (r.s, r.n) for r in stored}
+    assert scores["k10_r1"] == (0.0, before["k10_r1"].rows) and scores["k10_r0"][1] == before["k10_r0"].rows
+    assert 100 * scores["k10_r0"][0] / scores["k10_r0"][1] == pytest.approx(before["k10_r0"].exact_match)
+
+
 def test_run_survives_more_than_one_partition_layout(qa_tables):
     q, p = qa_tables
     a = {tuple(map(str, r)) for r in qa.qa_run(q.coalesce(1), p.coalesce(1), "k2", 2, summarize=True, ratio=2).collect()}
