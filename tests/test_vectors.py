@@ -168,3 +168,15 @@ def test_index_load_of_a_row_range(spark, sf, tmp_path):
     indexing.load_index(indexed, "vt_range", str(tmp_path / "r"), 10, 25, dim=64, max_text=10**6)
     assert sorted(int(r.id) for r in spark.table("vt_range").collect()) == list(range(10, 25))
     assert spark.table("vt_range").select(F.min(F.size("vec")), F.max(F.size("vec"))).head()[:] == (64, 64)
+
+
+def test_texts_are_fetched_the_same_way_with_and_without_broadcast(spark, tied, monkeypatch):
+    q_ids, q, p_ids, p = tied
+    left = _table(spark, "q", q_ids, q)
+    right = _table(spark, "p", p_ids, p).select("*", F.lit("t").alias("title"), F.concat(F.lit("x"), "p_id").alias("text"))
+    small = sorted(tuple(r) for r in retrieval.retrieve(left, right, 9).select("q_id", "rank", "p_id", "text").collect())
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    large = sorted(tuple(r) for r in retrieval.retrieve(left, right, 9).select("q_id", "rank", "p_id", "text").collect())
+    assert small == large and len(small) == 9 * len(q_ids)
+    # every question retrieves copies of the same hot passage; none is dropped
+    assert all(text == f"x{p_id}" for _, _, p_id, text in small)
