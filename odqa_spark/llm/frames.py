@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string or binary column with about ``limit`` bytes each, one row at least."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     at, n = 0, len(sizes)
     ends = np.cumsum(sizes)
     while at < n:

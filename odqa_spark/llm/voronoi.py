@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def _packed(df: DataFrame, id_col: str, vector: str, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(1)
-            sizes = np.asarray(pa.compute.list_value_length(lists), np.int64)
+            sizes = np.asarray(pc.list_value_length(lists), np.int64)
             out = np.zeros((b.num_rows, dim), np.int64)
             row = np.repeat(np.arange(b.num_rows), sizes)
             col = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
