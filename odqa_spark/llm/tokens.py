@@ -41,15 +41,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_range(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each range, the same wherever they stand; not for the empty range."""
-    power, inverse = _powers(len(buffer) + 1)
+def hash_prefix(buffer: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``hash_cut`` takes the hash of any byte range."""
+    power, _ = _powers(len(buffer) + 1)
+    prefix = np.zeros(len(buffer) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        prefix = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * power[: len(buffer)], out=prefix[1:])
+    return prefix
+
+
+def hash_cut(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each range, the same wherever they stand; not for the empty range."""
+    _, inverse = _powers(len(prefix))
+    with np.errstate(over="ignore"):
         return mix((prefix[end] - prefix[start]) * inverse[start])
 
 
+def hash_range(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return hash_cut(hash_prefix(buffer), start, end)
+
+
 def plain(text: str) -> str:
     """``text`` with other scripts' punctuation as spaces: same length."""
     return text if text.isascii() else _OTHER.sub(" ", text)

@@ -1,12 +1,13 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels are of documents, so tokens are labelled first: a lexicon of the sample counts in how many
-toxic and how many clean documents each word stands (near copies count once), and in toxic
-documents the words with strong evidence are the toxic tokens. The field scores a token by its
-word, its evidence, its neighbours' evidence and its shape, plus transitions between labels.
-Forward-backward marginals give the offending offsets; the largest marginal and the expected
-number of toxic tokens give the document's score through a logistic link fitted on the sample,
-weighted back to the shares of all labels.
+toxic and how many clean documents each word and each word beginning stands (near copies count
+once), so inflected forms share evidence; in toxic documents the words with strong evidence are
+the toxic tokens. The field scores a token by its lexicon entry, its evidence, its neighbours'
+evidence and its shape, plus transitions between labels. Forward-backward marginals give the
+offending offsets; the largest marginal, the expected number of toxic tokens and their share
+give the document's score through a logistic link fitted on the sample, weighted back to the
+shares of all labels.
 
 A chain is a run of 64 words; every word of a text is in one.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from odqa_spark.llm.frames import list_array, map_slices, slices
 from odqa_spark.llm.labelled import labelled_sample
-from odqa_spark.llm.tokens import Words, mix, words
+from odqa_spark.llm.tokens import Words, hash_cut, hash_prefix, mix, words
 
 PER_CLASS = 4000
 LEXICON = 4096
@@ -35,16 +36,19 @@ MIN_SUPPORT = 5
 STRONG = 3.0
 _BINS = (1.0, 2.0, STRONG, 4.0)
 _FEATURES = 3 * 5 + 3 + 4
+#: Bytes of the word beginnings that are looked at.
+_STEMS = (5, 6, 7, 8, 9)
+_TABLE = 1 << 20
 
 
 @dataclass
 class ToxicModel:
-    keys: np.ndarray  # sorted word hashes of the lexicon
-    bins: np.ndarray  # evidence bin of each
+    keys: np.ndarray  # sorted hashes of the lexicon's words and beginnings
+    evidence: np.ndarray  # log odds of each
     word_weight: np.ndarray
     weight: np.ndarray
     trans: np.ndarray
-    link: np.ndarray  # intercept, largest marginal, expected number
+    link: np.ndarray  # intercept, largest marginal, expected number, expected share
     base: float | None = None
 
 
@@ -57,17 +61,43 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _forms(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(which words, key): the words themselves and the beginnings of longer ones."""
+    forms = [(np.arange(len(w.hash)), w.hash)]
+    size = w.end - w.start
+    prefix = hash_prefix(w.buffer)
+    for n in _STEMS:
+        which = np.flatnonzero(size > n)
+        forms.append((which, mix(hash_cut(prefix, w.start[which], w.start[which] + n) + np.uint64(n))))
+    return forms
+
+
+def _looked_up(w: Words, keys: np.ndarray, evidence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lexicon entry, evidence) of each word: its strongest form's; no entry is ``len(keys)``."""
+    entry, best = np.full(len(w.hash), len(keys)), np.zeros(len(w.hash))
+    if not len(keys):
+        return entry, best
+    table = np.zeros(_TABLE, bool)
+    table[keys % np.uint64(_TABLE)] = True
+    for which, key in _forms(w):
+        may = np.flatnonzero(table[key % np.uint64(_TABLE)])
+        at = np.minimum(np.searchsorted(keys, key[may]), len(keys) - 1)
+        hit = keys[at] == key[may]
+        word, at = which[may[hit]], at[hit]
+        more = evidence[at] > best[word]
+        entry[word[more]], best[word[more]] = at[more], evidence[at[more]]
+    return entry, best
+
+
 class _Chains:
     """Features of a block of texts, padded to chains of ``CHAIN`` words."""
 
-    def __init__(self, texts: list[str | None], keys: np.ndarray, bins: np.ndarray):
+    def __init__(self, texts: list[str | None], keys: np.ndarray, evidence: np.ndarray):
         w: Words = words(texts, cased=True)
         self.w = w
         n = len(w.hash)
-        at = np.minimum(np.searchsorted(keys, w.hash), max(len(keys) - 1, 0))
-        known = keys[at] == w.hash if len(keys) else np.zeros(n, bool)
-        self.lex = np.where(known, at, len(keys))
-        e = np.where(known, bins[at] if len(keys) else 0, 0).astype(np.int8)
+        self.lex, best = _looked_up(w, keys, evidence)
+        e = np.digitize(best, _BINS).astype(np.int8)
         same = w.doc[1:] == w.doc[:-1]
         before = np.concatenate([[0], np.where(same, e[:-1], 0)]) if n else e
         after = np.concatenate([np.where(same, e[1:], 0), [0]]) if n else e
@@ -137,24 +167,24 @@ def _marginals(c: _Chains, model: ToxicModel) -> np.ndarray:
     return gamma[c.col, c.row]
 
 
-def _document_features(c: _Chains, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = c.w.n_texts
+def _document_features(c: _Chains, gamma: np.ndarray) -> np.ndarray:
+    """Per text: 1, logit of the largest marginal, log of the expected number of toxic words, and of their share."""
+    n, counts = c.w.n_texts, c.w.counts()
     most, total = np.zeros(n), np.bincount(c.w.doc, gamma, minlength=n)
-    some = np.flatnonzero(c.w.counts())
+    some = np.flatnonzero(counts)
     if len(some):
         most[some] = np.maximum.reduceat(gamma, c.first[some])
-    return most, total
+    return np.stack([np.ones(n), _logit(most), np.log1p(total), np.log(1e-3 + total / np.maximum(counts, 1))], 1)
 
 
 def _scores(c: _Chains, gamma: np.ndarray, model: ToxicModel) -> np.ndarray:
-    most, number = _document_features(c, gamma)
     if model.base is not None:
-        return np.full(len(most), model.base)
-    return _sigmoid(model.link[0] + model.link[1] * _logit(most) + model.link[2] * np.log1p(number))
+        return np.full(c.w.n_texts, model.base)
+    return _sigmoid(_document_features(c, gamma) @ model.link)
 
 
 def _lexicon(sample: DataFrame, lexicon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes and evidence bins: the words that tell toxic from clean documents best."""
+    """Keys and evidence of the words and beginnings that tell toxic from clean documents best."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         w = words(batch.column(0).to_pylist())
@@ -165,10 +195,15 @@ def _lexicon(sample: DataFrame, lexicon: int) -> tuple[np.ndarray, np.ndarray]:
         copy = np.full(w.n_texts, np.iinfo(np.uint64).max, np.uint64)
         inside = w.doc[1:] == w.doc[:-1] if len(w.hash) > 1 else np.ones(1, bool)
         np.minimum.at(copy, w.doc[: len(pair)][inside], pair[inside])
-        key = np.unique(np.stack([w.doc.astype(np.uint64), w.hash], 1), axis=0)
-        doc = key[:, 0].astype(np.int64)
+        forms = _forms(w)
+        doc = np.concatenate([w.doc[which] for which, _ in forms])
+        key = np.concatenate([k for _, k in forms])
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+        doc, key = doc[new], key[new]
         y = batch.column(1).take(pa.array(doc))
-        return pa.RecordBatch.from_arrays([pa.array(key[:, 1].view(np.int64)), y, pa.array(copy[doc].view(np.int64))], ["word", "y", "copy"])
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), y, pa.array(copy[doc].view(np.int64))], ["word", "y", "copy"])
 
     seen = map_slices(sample.select("text", "y"), "text", run, "word bigint, y int, copy bigint").distinct()
     sizes = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count_distinct("copy").alias("n")).collect()}
@@ -179,14 +214,14 @@ def _lexicon(sample: DataFrame, lexicon: int) -> tuple[np.ndarray, np.ndarray]:
     top = counted.where(F.col("bad") >= least).withColumn("e", weight).where(F.col("e") >= _BINS[0]).orderBy(F.desc("e"), "word").limit(lexicon).toPandas()
     key = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
-    return key[order], np.digitize(top["e"].to_numpy(float)[order], _BINS).astype(np.int8)
+    return key[order], top["e"].to_numpy(float)[order]
 
 
-def _training_chains(sample: DataFrame, keys: np.ndarray, bins: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _training_chains(sample: DataFrame, keys: np.ndarray, evidence: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(feature columns, labels, chain lengths): per sampled text its chains with evidence and one without."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        c = _Chains(batch.column(0).to_pylist(), keys, bins)
+        c = _Chains(batch.column(0).to_pylist(), keys, evidence)
         if not c.rows:
             return None
         y = np.asarray(batch.column(1)).astype(np.int64)
@@ -242,14 +277,13 @@ def _fit_field(features: list[np.ndarray], gold: np.ndarray, lengths: np.ndarray
     return theta[:n_words], theta[n_words + 1 : -4], theta[-4:].reshape(2, 2)
 
 
-def _fit_link(most: np.ndarray, total: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Logistic weights (intercept, largest marginal, expected number) by Newton steps with a small ridge."""
-    x = np.stack([np.ones(len(y)), _logit(most), np.log1p(total)], 1)
-    b = np.zeros(3)
+def _fit_link(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic weights of the documents' features by damped Newton steps with a small ridge."""
+    b = np.zeros(x.shape[1])
     for _ in range(50):
         p = _sigmoid(x @ b)
         g = x.T @ (weight * (p - y)) + 1e-2 * b
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(b))
         step = np.linalg.solve(h, g)
         b = b - step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
     return b
@@ -265,25 +299,25 @@ def fit_toxicity(
     total = sum(counts.values())
     if len(counts) < 2:
         share = counts.get(1, 0.0) / total if total else 0.0
-        return ToxicModel(none, np.zeros(0, np.int8), np.zeros(0), np.zeros(_FEATURES), np.zeros((2, 2)), np.zeros(3), share)
-    keys, bins = _lexicon(sample, lexicon)
-    features, gold, lengths = _training_chains(sample, keys, bins)
+        return ToxicModel(none, np.zeros(0), np.zeros(0), np.zeros(_FEATURES), np.zeros((2, 2)), np.zeros(4), share)
+    keys, evidence = _lexicon(sample, lexicon)
+    features, gold, lengths = _training_chains(sample, keys, evidence)
     word_w, w, trans = _fit_field(features, gold, lengths, len(keys)) if len(lengths) else (np.zeros(len(keys)), np.zeros(_FEATURES), np.zeros((2, 2)))
-    model = ToxicModel(keys, bins, word_w, w, trans, np.zeros(3))
+    model = ToxicModel(keys, evidence, word_w, w, trans, np.zeros(4))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = _Chains(batch.column(0).to_pylist(), keys, bins)
-        most, number = _document_features(c, _marginals(c, model))
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(most), pa.array(number)], ["y", "most", "number"])
+        c = _Chains(batch.column(0).to_pylist(), keys, evidence)
+        x = _document_features(c, _marginals(c, model))
+        return pa.RecordBatch.from_arrays([batch.column(1), list_array(pa.array(x.ravel()), np.full(len(x), x.shape[1]))], ["y", "x"])
 
-    got = map_slices(sample.select("text", "y"), "text", run, "y int, most double, number double").toPandas()
+    got = map_slices(sample.select("text", "y"), "text", run, "y int, x array<double>").toPandas()
     y = got["y"].to_numpy(float)
     in_sample = {c: max((y == c).sum(), 1) for c in counts}
     weight = np.array([counts[int(v)] / in_sample[int(v)] for v in y]) / total * len(y) if len(y) else np.zeros(0)
     if len(set(y.tolist())) < 2:
         model.base = counts.get(1, 0.0) / total
     else:
-        model.link = _fit_link(got["most"].to_numpy(), got["number"].to_numpy(), y, weight)
+        model.link = _fit_link(np.stack(got["x"].to_numpy()), y, weight)
     return model
 
 
@@ -291,7 +325,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
     """(id_col, mark, score, predicted, spans): spans are (start, end, marginal) in characters of the text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = _Chains(batch.column(0).to_pylist(), model.keys, model.bins)
+        c = _Chains(batch.column(0).to_pylist(), model.keys, model.evidence)
         gamma = _marginals(c, model)
         score = _scores(c, gamma, model)
         hit = np.flatnonzero(gamma >= 0.5) if model.base is None else np.zeros(0, np.int64)
@@ -331,7 +365,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, usable: Column, id_col: st
         for batch in batches:
             for a, b in slices(batch.column(at)):
                 piece = batch.slice(a, b - a)
-                c = _Chains(piece.column(at).to_pylist(), model.keys, model.bins)
+                c = _Chains(piece.column(at).to_pylist(), model.keys, model.evidence)
                 yield piece.filter(pa.array(_scores(c, _marginals(c, model), model) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
