@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odqa_spark.llm.frames import KeySketch, list_array, map_slices, materialize
-from odqa_spark.llm.tokens import hash_word, mix, words
+from odqa_spark.llm.tokens import among, hash_word, mix, words
 
 WINDOW = 8
 LITERALS = 5
@@ -40,6 +40,8 @@ NUMBERS = (
     "thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 ).split()
 _ROOT = 0x9E3779B97F4A7C15 | 1
+#: Bytes after which a capital opens a sentence: text or line start, ! . : ?
+_BREAK = np.isin(np.arange(256), [0, 10, 33, 46, 58, 63])
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -65,13 +67,13 @@ class Templates:
             self.code, self.doc, self.start, self.end, self.kind = code, doc, start, end, np.zeros(0, np.int8)
             return
         digit = (low[start] >= 48) & (low[start] <= 57)
-        number = digit | np.isin(code, _hashes("numbers", NUMBERS))
+        number = digit | among(code, _hashes("numbers", NUMBERS))
         # 1,000 and 3.14 are one number
-        touches = np.concatenate([[False], (start[1:] - end[:-1] == 1) & np.isin(low[end[:-1]], [44, 46]) & digit[1:] & digit[:-1]])
-        unit = np.concatenate([[False], number[:-1]]) & np.isin(code, _hashes("units", UNITS)) & ~number
+        touches = np.concatenate([[False], (start[1:] - end[:-1] == 1) & ((low[end[:-1]] == 44) | (low[end[:-1]] == 46)) & digit[1:] & digit[:-1]])
+        unit = np.concatenate([[False], number[:-1]]) & among(code, _hashes("units", UNITS)) & ~number
         # a name has a capital at its head only and does not open a sentence
         raised = _flag(len(low), buf != low)
-        breaks = _flag(len(low), np.isin(low, [0, 10, 33, 46, 58, 63]))
+        breaks = _flag(len(low), _BREAK[low])
         before = np.concatenate([[0], end[:-1]])
         opens = (breaks[start] > breaks[before]) | (np.arange(len(start)) == 0)
         head = raised[np.minimum(start + 2, end)] > raised[start]

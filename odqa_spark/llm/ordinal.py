@@ -24,7 +24,15 @@ from odqa_spark.llm.tokens import words
 
 PER_GRADE = 3000
 BUCKETS = 1 << 14
-_DENSE = 7
+#: Kinds of bytes: each ASCII mark of its own, digits, line feeds, all others.
+_MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
+_KINDS = len(_MARKS) + 3
+_KIND = np.full(256, _KINDS - 1)
+_KIND[_MARKS] = np.arange(len(_MARKS))
+_KIND[48:58] = len(_MARKS)
+_KIND[10] = len(_MARKS) + 1
+_DENSE = _KINDS + 5
+_RIDGE = 1e-3  # on the weights of hashed words
 _SCALE = 30.0
 
 
@@ -40,26 +48,18 @@ def _features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     w = words(texts, cased=True)
     n = w.counts()
     spans = np.diff(np.concatenate([w.text_start, [len(w.buffer)]]))
-
-    def share(flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flags)])
-        return (total[w.text_start + spans] - total[w.text_start]) / np.maximum(spans, 1)
-
-    b = w.buffer
-    letter = (b >= 97) & (b <= 122) | (b >= 128)
-    symbol = (b > 32) & (b < 127) & ~letter & ~((b >= 48) & (b <= 57)) & ~np.isin(b, [44, 46])
-    key = np.unique(np.stack([w.doc.astype(np.uint64), w.hash], 1), axis=0)[:, 0].astype(np.int64)
-    distinct = np.bincount(key, minlength=w.n_texts)
+    text_of_byte = np.repeat(np.arange(w.n_texts), spans)
+    kinds = np.bincount(text_of_byte * _KINDS + _KIND[w.buffer], minlength=w.n_texts * _KINDS).reshape(-1, _KINDS) / np.maximum(spans, 1)[:, None]
+    raised = np.bincount(text_of_byte[w.cased != w.buffer], minlength=w.n_texts) / np.maximum(spans, 1)
+    order = np.lexsort((w.hash, w.doc)) if len(w.hash) else np.zeros(0, np.int64)
+    d, h = w.doc[order], w.hash[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])]) if len(d) else np.zeros(0, bool)
+    distinct = np.bincount(d[new], minlength=w.n_texts)
     length = np.bincount(w.doc, w.end - w.start, minlength=w.n_texts)
-    dense = np.stack(
+    dense = np.concatenate(
         [
-            share(w.cased != b) * 4,
-            share((b >= 48) & (b <= 57)) * 4,
-            share(symbol) * 4,
-            share(b == 10) * 10,
-            distinct / np.maximum(n, 1),
-            length / np.maximum(n, 1) / 10,
-            np.log1p(n) / 10,
+            np.minimum(20 * kinds, 3.0),
+            np.stack([4 * raised, distinct / np.maximum(n, 1), length / np.maximum(n, 1) / 10, np.log1p(n) / 10, (n > 0).astype(float)], 1),
         ],
         1,
     )
@@ -129,7 +129,8 @@ def fit_ordinal(
         np.add.at(d_t, np.clip(y, 0, k - 1), np.where(y < k, -sample_weight * slope[at, y + 1] / p, 0.0))
         d_raw = np.concatenate([[d_t.sum()], gaps * (np.cumsum(d_t[::-1])[::-1][1:])])
         g = np.concatenate([np.bincount(bucket, share * d_f[row], minlength=BUCKETS), dense.T @ d_f, d_raw])
-        g[: BUCKETS + _DENSE] += 1e-5 * weight
+        g[:BUCKETS] += _RIDGE * weight[:BUCKETS]
+        g[BUCKETS : BUCKETS + _DENSE] += 1e-5 * weight[BUCKETS:]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         theta = theta - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     raw = theta[BUCKETS + _DENSE :]

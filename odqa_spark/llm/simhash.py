@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odqa_spark.llm.frames import map_slices, materialize
+from odqa_spark.llm.tokens import text_of
 
 SHINGLE = 3
 DISTANCE = 3
@@ -35,33 +36,87 @@ SEED = 42
 CELL_ROWS = 32
 BLOCK_ROWS = 1024
 _PAIRS = 0x5555555555555555
-
-
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of a text's word shingles; A-Z count as a-z, words end at ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    if len(words) <= n:
-        hashes = np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
-    else:
-        digest = xxhash.xxh64_intdigest
-        stops = ends[n - 1 :].tolist()
-        starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_in = bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view(np.int64)[0])
+#: The primes of XXH64.
+_PRIMES = tuple(
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+_GAP = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_VALUE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _xxh64(buffer: bytes, start: np.ndarray, end: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of many byte ranges: those under 32 bytes, most shingles, as arrays, others one by one."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    out = np.empty(len(start), np.uint64)
+    size = end - start
+    long = np.flatnonzero(size >= 32)
+    out[long] = np.array([xxhash.xxh64_intdigest(buffer[a:b], seed) for a, b in zip(start[long].tolist(), end[long].tolist())], np.uint64)
+    short = np.flatnonzero(size < 32)
+    padded = buffer + bytes(8)
+    lanes = np.ndarray((len(buffer) + 1,), "<u8", padded, strides=(1,))
+    halves = np.ndarray((len(buffer) + 1,), "<u4", padded, strides=(1,))
+    at, left = start[short].copy(), size[short].copy()
+    h = left.astype(np.uint64) + np.uint64((seed + int(p5)) & (2**64 - 1))
+    with np.errstate(over="ignore"):
+        while len(on := np.flatnonzero(left >= 8)):
+            k = _rotated(lanes[at[on]] * p2, 31) * p1
+            h[on] = _rotated(h[on] ^ k, 27) * p1 + p4
+            at[on] += 8
+            left[on] -= 8
+        on = np.flatnonzero(left >= 4)
+        h[on] = _rotated(h[on] ^ (halves[at[on]].astype(np.uint64) * p1), 23) * p2 + p3
+        at[on] += 4
+        left[on] -= 4
+        single = np.frombuffer(padded, np.uint8)
+        while len(on := np.flatnonzero(left)):
+            h[on] = _rotated(h[on] ^ (single[at[on]].astype(np.uint64) * p5), 11) * p1
+            at[on] += 1
+            left[on] -= 1
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+    out[short] = h ^ (h >> np.uint64(32))
+    return out
+
+
+def fingerprint(texts: list[str | None], n: int = SHINGLE) -> np.ndarray:
+    """Signed 64-bit SimHash of each text's word shingles; A-Z count as a-z, words end at ASCII white space."""
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    buffer = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    sizes = np.array([len(r) + 1 for r in raw], np.int64)
+    text_start = np.cumsum(sizes) - sizes
+    gap = _GAP[buffer]
+    first = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+    doc = text_of(first, text_start)
+    # one space between words, whatever stood there
+    keep = ~(gap & np.concatenate([[True], gap[:-1]]))
+    line = np.where(gap[keep], np.uint8(32), buffer[keep])
+    inside = line != 32
+    start = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
+    end = np.flatnonzero(~inside)
+    words = np.bincount(doc, minlength=len(texts))
+    # the first word of each shingle: a text of fewer words is one shingle
+    rest = np.repeat(np.cumsum(words), words) - np.arange(len(doc))
+    opens = np.flatnonzero((rest >= n) | (rest == words[doc]))
+    hashes = _xxh64(line.tobytes(), start[opens], end[opens + np.minimum(rest[opens], n) - 1])
+    of = doc[opens]
+    # how often each value stands in each byte of a text's hashes; then bits of values
+    cell = (of[:, None] * 8 + np.arange(8)) * 256 + hashes.view(np.uint8).reshape(-1, 8)
+    values = np.bincount(cell.ravel(), minlength=len(texts) * 2048).reshape(len(texts), 8, 256)
+    ones = (values @ _VALUE_BITS).reshape(len(texts), 64)
+    set_in = 2 * ones > np.bincount(of, minlength=len(texts))[:, None]
+    return np.packbits(set_in, axis=1, bitorder="little").view(np.int64).ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id_col, mark, fp): one row per row of ``docs``; mark is a hash of the text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [fingerprint(t, n) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], [id_col, "mark", "fp"])
+        fps = fingerprint(batch.column(1).to_pylist(), n)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], [id_col, "mark", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("mark"))

@@ -15,6 +15,8 @@ import numpy as np
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _OTHER = re.compile(r"[^\w\x00-\x7f]")
+#: Lead bytes of punctuation outside ASCII: Latin, general, symbols, CJK, full-width, Arabic, Indic.
+_LEADS = (b"\xc2", b"\xe2", b"\xe3\x80", b"\xef\xb8", b"\xef\xbc", b"\xef\xbd", b"\xd8", b"\xe0\xa5", b"\xf0", b"\xcc", b"\xd6", b"\xe1", b"\xdb", b"\xce", b"\xcd", b"\xd7")
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 _WORD = np.zeros(256, bool)
@@ -63,7 +65,10 @@ def hash_range(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 def plain(text: str) -> str:
     """``text`` with other scripts' punctuation as spaces: same length."""
-    return text if text.isascii() else _OTHER.sub(" ", text)
+    if text.isascii():
+        return text
+    raw = text.encode("utf-8", "surrogatepass")
+    return _OTHER.sub(" ", text) if any(b in raw for b in _LEADS) else text
 
 
 def lowered(text: str) -> str:
@@ -100,6 +105,22 @@ class Words:
         return self.buffer[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
 
+def text_of(start: np.ndarray, text_start: np.ndarray) -> np.ndarray:
+    """The row of the text in which each (ascending) position lies."""
+    first = np.searchsorted(start, text_start)
+    return np.repeat(np.arange(len(text_start)), np.diff(np.concatenate([first, [len(start)]])))
+
+
+def among(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which codes are in the few sorted ``keys``: a table of their low bits first, then exactly."""
+    table = np.zeros(1 << 16, bool)
+    table[keys & np.uint64(0xFFFF)] = True
+    found = table[codes & np.uint64(0xFFFF)]
+    may = np.flatnonzero(found)
+    found[may] = np.isin(codes[may], keys)
+    return found
+
+
 def words(texts: list[str | None], cased: bool = False) -> Words:
     """All words of the texts; with ``cased`` the buffer before lower-casing is kept too."""
     kept = [plain(t or "") for t in texts]
@@ -118,5 +139,5 @@ def words(texts: list[str | None], cased: bool = False) -> Words:
     if inside[0]:
         edge = np.concatenate([[0], edge])
     start, end = edge[::2], edge[1::2]
-    doc = np.searchsorted(text_start, start, "right") - 1
+    doc = text_of(start, text_start)
     return Words(buffer, other, text_start, doc, start, end, hash_range(buffer, start, end), len(texts))
