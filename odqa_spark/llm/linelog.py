@@ -6,8 +6,8 @@ where enough documents have it at its place; other places are variable fields an
 wildcards. A template that recurs across documents is boilerplate and its lines are dropped.
 
 Copies of whole documents are not boilerplate: they are left to near-duplicate removal. So the
-documents of a template are told apart by what else they hold, the smallest hash among
-their other lines, and at least half of these marks must differ.
+documents of a template are told apart by what else they hold, the smallest hash among the
+three-word windows of their other lines, and at least half of these marks must differ.
 
 Words of lines that need no look (all but those in leaves with enough documents) never leave
 the scan: a filter of fixed size holds the leaves, and the joins after it are exact.
@@ -57,7 +57,13 @@ class Lines:
             place = (np.arange(len(code)) - np.repeat(head, size)).astype(np.uint64)
             term = mix(code + mix(place + np.uint64(1)))
             masked = mix(np.add.reduceat(term, head) + leaf) if len(head) else np.zeros(0, np.uint64)
+            window = np.full(len(code), np.iinfo(np.uint64).max, np.uint64)
+            window[:-2] = mix(code[:-2] + np.uint64(3) * code[1:-1] + np.uint64(5) * code[2:])
+        # windows stay inside their line
+        last = head + size
+        window[np.concatenate([last - 1, last[size > 1] - 2])] = np.iinfo(np.uint64).max
         keep = size >= min_words
+        self.low = (np.minimum.reduceat(window, head) if len(head) else window)[keep]
         self.head, self.size, self.leaf, self.masked = head[keep], size[keep], leaf[keep].view(np.int64), masked[keep].view(np.int64)
         self.doc, self.line = (w.doc[head][keep], line[head][keep]) if len(head) else (head, head)
 
@@ -72,23 +78,22 @@ def _filed(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     ls = Lines(batch.column(0).to_pylist())
     if not len(ls.doc):
         return None
-    # first occurrence in its document, and the smallest hash among the document's other lines
+    # first occurrence in its document, and the smallest window among the document's other lines
     order = np.lexsort((np.arange(len(ls.doc)), ls.masked, ls.doc))
     d, m = ls.doc[order], ls.masked[order]
     new = np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])])
     first = np.zeros(len(d), bool)
     first[order[new]] = True
-    spread = mix(m[new].view(np.uint64))
-    of = d[new]
-    by = np.lexsort((spread, of))
-    of, spread = of[by], spread[by]
+    low, of = ls.low[order][new], d[new]
+    by = np.lexsort((low, of))
+    of, low = of[by], low[by]
     head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     least = np.zeros(int(ls.doc.max()) + 1, np.uint64)
     second = np.zeros_like(least)
-    least[of[head]] = spread[head]
+    least[of[head]] = low[head]
     more = head[(head + 1 < len(of)) & (of[np.minimum(head + 1, len(of) - 1)] == of[head])]
-    second[of[more]] = spread[more + 1]
-    other = np.where(mix(ls.masked.view(np.uint64)) == least[ls.doc], second[ls.doc], least[ls.doc])
+    second[of[more]] = low[more + 1]
+    other = np.where(ls.low == least[ls.doc], second[ls.doc], least[ls.doc])
     take = pa.array(ls.doc)
     return pa.RecordBatch.from_arrays(
         [batch.column(1).take(take), batch.column(2).take(take), pa.array(ls.line.astype(np.int32)), pa.array(ls.leaf), pa.array(ls.masked), pa.array(first), pa.array(other.view(np.int64))],

@@ -1,0 +1,55 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from odqa_spark.llm import packing
+
+SCHEMA = "doc_id bigint, text string, n string, bin_id string, id string"
+
+
+def test_bins_hold_and_shrink():
+    rng = random.Random(1)
+    lengths = np.array([rng.randint(1, 400) for _ in range(3000)])
+    sizes = (100, 200, 400)
+    where, offset, size = packing.pack(lengths, sizes, overhead=10)
+    used = np.bincount(where, lengths)
+    for b in range(len(size)):
+        own = sorted((offset[i], lengths[i]) for i in np.flatnonzero(where == b))
+        assert own[0][0] == 0 and all(a + n == c for (a, n), (c, _) in zip(own, own[1:]))
+        assert size[b] == min(s for s in sizes if s >= used[b])
+    assert used.sum() == lengths.sum() and used.sum() / sum(size) > 0.97
+
+
+def test_size_follows_what_is_left():
+    assert packing.pack(np.array([90]), (100, 200, 400))[2] == [100]
+    assert packing.pack(np.array([90, 90, 90, 90]), (100, 400), overhead=50)[2] == [400]
+    assert packing.pack(np.array([90, 90]), (100, 1000), overhead=1)[2] == [100, 100]
+    assert packing.pack(np.zeros(0, np.int64))[2] == []
+
+
+def test_tables(spark):
+    rows = [(1, "w " * 1000), (2, None), (3, " \n "), (4, "a b\tc"), (4, "a b\tc"), (None, "x")]
+    df = spark.createDataFrame([(i, t, "", "", "") for i, t in rows], SCHEMA)
+    got = packing.best_fit_packing(df, sizes=(64, 128, 300))
+    assert got.columns == ["doc_id", "piece", "token_start", "n_tokens", "bin_id", "bin_size", "bin_offset"]
+    rows = got.collect()
+    whole = sorted((r.token_start, r.n_tokens) for r in rows if r.doc_id == 1)
+    assert whole == [(0, 300), (300, 300), (600, 300), (900, 100)]
+    assert sorted(r.doc_id for r in rows if r.bin_id is None) == [2, 3]
+    assert [r.n_tokens for r in rows if r.doc_id == 4] == [3, 3] and sum(r.n_tokens for r in rows) == 1007
+    assert packing.best_fit_packing(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_shards_are_packed_apart(spark):
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 90 + 1).cast("int")).alias("text"))
+    got = packing.best_fit_packing(df, sizes=(64, 128), shard_rows=100)
+    bins = got.groupBy("bin_id", "bin_size").agg(F.sum("n_tokens").alias("n"))
+    assert got.select("doc_id").distinct().count() == 1000
+    assert bins.where("n > bin_size").count() == 0 and bins.select(F.shiftright("bin_id", 32)).distinct().count() == 10
+
+
+def test_word_count(spark):
+    rows = [(None, 0), ("", 0), ("  ", 0), ("a", 1), (" a\n\nb\t c ", 3)]
+    df = spark.createDataFrame(rows, "text string, n int")
+    assert df.where(packing.word_count(F.col("text")) != F.col("n")).count() == 0

@@ -1,0 +1,79 @@
+import base64
+import hashlib
+import zlib
+
+from pyspark.sql import functions as F
+
+from compare import differences, duck
+from odqa_spark.llm import queries, warc
+
+SCHEMA = "page_id bigint, url string, html string, payload string, path string"
+INNER = zlib.compressobj(0, zlib.DEFLATED, 31)
+MEMBER = (INNER.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n") + INNER.flush()).decode("latin-1")
+
+
+def _pages(spark, rows):
+    return spark.createDataFrame([(i, u, h, "p", "q") for i, u, h in rows], SCHEMA)
+
+
+def _read(spark, rows, split, **options):
+    manifest = warc.write_warc(_pages(spark, rows), warc.archive_folder(spark), **options)
+    return manifest, warc.read_warc(manifest, split).collect()
+
+
+ROWS = [
+    (3, "http://a/", "same"),
+    (1, "http://b/", "same"),
+    (2, None, None),
+    (4, "http://c/\r\nX: 1", ""),
+    (5, "http://d/", "\x1f\x8b\x08 magic " * 50),
+    (6, "http://e/", MEMBER + "tail"),
+    (7, "http://f/", "é" * 70000),
+    (None, "http://g/", "same"),
+    (1, "http://b/", "same"),
+]
+
+
+def test_round_trip_at_any_split(spark):
+    for split in (50, 333, 1 << 20):
+        _, got = _read(spark, ROWS, split)
+        assert len(got) == len(ROWS)
+        assert all(r.digest_ok for r in got)
+        by = sorted((r.record_id or -1, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in got)
+        digest = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+        want = []
+        for i, _, h in ROWS:
+            h = h or ""
+            first = {"same": 1, "": 2}.get(h, i)
+            want.append((i or -1, "response" if i == first else "revisit", None if i == first else first, len(h.encode()), digest(h)))
+        assert by == sorted(want, key=lambda r: r[:2])
+        full = {r.record_id: bytes(r.payload).decode() for r in got if r.record_type == "response"}
+        assert full[7] == "é" * 70000 and full[6] == MEMBER + "tail"
+        assert next(r.url for r in got if r.record_id == 4) == "http://c/%0D%0AX:%201"
+
+
+def test_small_payloads_are_not_revisited(spark):
+    _, got = _read(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], 1 << 20, min_bytes=3)
+    assert {r.record_id: r.record_type for r in got} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_many_files_and_files_outside_the_manifest(spark):
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_warc(_pages(spark, [(i, "u", f"page {i}") for i in range(40)]), folder, file_bytes=500)
+    assert manifest.count() > 4 and manifest.agg(F.sum("records")).first()[0] == 40
+    fs, base = warc.filesystem(folder)
+    with fs.open_output_stream(base + "/part-lost.warc.gz", compression=None) as out:
+        out.write(b"\x1f\x8b\x08 half a record")
+    assert warc.read_warc(manifest, 300).count() == 40
+    assert warc.list_archives(spark, folder + "/*.warc.gz").count() == manifest.count() + 1
+    # the broken file holds no record
+    assert warc.read_warc(warc.list_archives(spark, folder + "/*.warc.gz"), 300).count() == 40
+
+
+def test_empty_table(spark):
+    manifest, got = _read(spark, [], 100)
+    assert got == [] and manifest.count() == 0
+
+
+def test_query_matches_sql(spark, sf):
+    assert differences(queries.op4_splittable_warc(spark, sf), duck(sf), queries.ORACLES["op4_splittable_warc"]) is None
