@@ -146,7 +146,7 @@ def _cells(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _forest(distance: int):
     """Links of a block pair as a spanning forest: no more rows than members."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[int, ...], rows: pd.DataFrame) -> pd.DataFrame:
         left = rows.loc[rows["side"] == 0, "fp"].unique()
         right = rows.loc[rows["side"] == 1, "fp"].unique()
         members, at = np.unique(np.concatenate([left, right]), return_inverse=True)

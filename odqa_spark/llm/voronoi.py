@@ -121,7 +121,7 @@ def _bounds(q_cells: pd.DataFrame, d_cells: pd.DataFrame, nearest: pd.DataFrame,
 
 
 def _local(k: int, dim: int):
-    def solve(key, q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple[int, ...], q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         if not len(q) or not len(d):
             return empty

@@ -36,7 +36,7 @@ def _corpus(spark, n=400):
         w = [words[(i * 7 + k * (3 + i % 5)) % len(words)] + ("" if k % 4 else chr(97 + (i + k) % 26)) for k in range(30)]
         if i % 4 == 0:
             w[i % 30] = "Vile!"
-            w[(i + 1) % 30] = "nasty"
+            w[(i + (1 if i % 8 else 11)) % 30] = "nasty"
         rows.append((i, " ".join(w), "", "", ""))
         labels.append((i, int(i % 4 == 0), "x"))
     return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
