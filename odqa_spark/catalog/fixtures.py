@@ -11,7 +11,7 @@ from odqa_spark.operators.rows import with_row_idx
 from odqa_spark.session import spread
 
 
-SHORT_DOCUMENT = 300  # characters
+UNANSWERED = "src9"  # articles of this source have no short answer
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -84,14 +84,14 @@ def qa_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nq_raw(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as annotated articles; the short ones have no short answer."""
+    """Documents as annotated articles; those of one source have no short answer."""
     span = "struct<start_token int, end_token int>"
 
     def tokens(a: int, b: int) -> Column:
         return F.struct(F.lit(a).alias("start_token"), F.lit(b).alias("end_token"))
 
-    short = F.when(F.col("n_chars") < SHORT_DOCUMENT, F.array().cast(f"array<{span}>")).otherwise(F.array(tokens(5, 7)))
-    return documents(spark, sf, "doc_id", "text", "n_chars").select(
+    short = F.when(F.col("source") == UNANSWERED, F.array().cast(f"array<{span}>")).otherwise(F.array(tokens(5, 7)))
+    return documents(spark, sf, "doc_id", "text", "source").select(
         F.col("doc_id").cast("string").alias("example_id"),
         F.col("text").alias("document_text"),
         _words(F.split("text", " ", -1), 1, 5).alias("question_text"),

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import unicodedata
 
-from odqa_spark.catalog.fixtures import SHORT_DOCUMENT
-from odqa_spark.catalog.queries import CLS, EMBEDDING_DIM, PACK_LENGTH, PAD, SEP, SHORT_TEXT, TOP_K
+from odqa_spark.catalog.fixtures import UNANSWERED
+from odqa_spark.catalog.queries import CLS, EMBEDDING_DIM, INDEX_START, PACK_LENGTH, PAD, SEP, SHORT_TEXT, TOP_K, WIDE
 from odqa_spark.functions import prompts
 from odqa_spark.functions.tokens import PIECE_PATTERN
 from odqa_spark.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
@@ -288,7 +288,7 @@ SELECT doc_id, array_to_string(p, ' ') AS ids,
 
 NQ = f"""nq AS (SELECT CAST(doc_id AS VARCHAR) AS example_id, doc_id, text AS document_text,
     array_to_string(string_split(text, ' ')[1:5], ' ') AS question_text,
-    list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents WHERE n_chars >= {SHORT_DOCUMENT}),
+    list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents WHERE source <> {lit(UNANSWERED)}),
 ans AS (SELECT *, coalesce(array_to_string(w[4:30], ' '), '') AS long_answer_text,
     coalesce(array_to_string(w[6:7], ' '), '') AS short_answer_text FROM nq)"""
 
@@ -379,6 +379,16 @@ gt AS (SELECT row_idx, question, j, row_idx * 100000 + j AS k, coalesce(array_to
 {condensed('gt', 'k', 'question', 't')}
 SELECT row_idx, string_agg(summary, chr(10) ORDER BY j) AS summary FROM gt JOIN condensed USING (k) GROUP BY row_idx"""
 
+GROUPED_PROMPTS = f"""WITH {RUNS},
+gs AS (SELECT row_idx, question, {sentences('retrieved')} AS s FROM runs),
+gj AS (SELECT *, unnest(range(len(s) // 3 + 1)) AS j FROM gs),
+gt AS (SELECT row_idx, question, j, length('###Question###' || question || chr(10) || chr(10) || '###Passages###' || chr(10) || coalesce(array_to_string(
+    CASE WHEN j < len(s) // 3 THEN s[j * 3 + 1:j * 3 + 3] ELSE s[greatest(len(s) - 3, 0) + 1:] END, chr(10)), '')) AS n FROM gj)
+SELECT row_idx, string_agg(CASE WHEN n % 7 = 0 THEN '' ELSE CAST(n AS VARCHAR) END, chr(10) ORDER BY j) AS summary,
+  CASE WHEN bool_or(n % 7 = 0) THEN 'ValueError: no luck' END AS summary_error, CAST(NULL AS VARCHAR) AS read_error,
+  any_value(question) || '<sep>' || string_agg(CASE WHEN n % 7 = 0 THEN '' ELSE CAST(n AS VARCHAR) END, chr(10) ORDER BY j) AS model_input
+FROM gt GROUP BY row_idx"""
+
 QA_ROWS = f"""WITH {RUNS}, {searched('runs', 'row_idx', 'question', 3)},
 one AS (SELECT q_id * 10 + rank AS k, q_id, rank, question, text FROM top JOIN documents ON doc_id = p_id JOIN runs ON row_idx = q_id),
 {read('one', 'k', 'question', 'text')},
@@ -461,11 +471,11 @@ SELECT example_id, {rewrite_prompt('document_text', 'question_text', 'a')} AS pr
         "reader_prompts": f"WITH {RUNS} SELECT row_idx, {READER_PROMPT} coalesce(summary, retrieved) AS prompt FROM runs",
         "summarizer_prompts": summarizer_prompts(),
         "prompt_completion": f"""WITH {RUNS}, q AS (SELECT row_idx, {READER_PROMPT} retrieved AS t FROM runs)
-SELECT row_idx, CASE WHEN length(t) > 4000 THEN '' ELSE length(t) || ' characters' END AS completion,
-  CASE WHEN length(t) > 4000 THEN 'ValueError: prompt too long' END AS error FROM q""",
+SELECT row_idx, CASE WHEN length(t) % 5 = 0 THEN '' ELSE length(t) || ' characters' END AS completion,
+  CASE WHEN length(t) % 5 = 0 THEN 'ValueError: no luck' END AS error FROM q""",
         "training_pairs": f"""WITH {NQ},
 r AS (SELECT example_id AS split_id, question_text, document_text, short_answer_text,
-    CASE WHEN toxic = 1 THEN '' WHEN quality = 1 THEN {clean('document_text')} END AS s FROM ans JOIN labels USING (doc_id)),
+    CASE WHEN toxic = 1 THEN '' WHEN quality = 1 THEN {clean('document_text')} END AS s FROM ans LEFT JOIN labels USING (doc_id)),
 b AS (SELECT * FROM r UNION ALL SELECT split_id || '_b', question_text, document_text, short_answer_text, s FROM r)
 SELECT split_id, question_text || chr(10) || document_text AS input, s AS target FROM b
 WHERE contains(document_text, short_answer_text) AND s IS DISTINCT FROM ''""",
@@ -490,6 +500,26 @@ FROM runs LEFT JOIN readings ON k = row_idx""",
         "qa_metrics": QA_METRICS,
         "stream_chunks": TOKEN_CHUNKS,
         "stream_histogram": token_hist,
-        "stream_index": f"SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, CAST({EMBEDDING_DIM} AS INTEGER) AS dim, CAST(length(text) AS INTEGER) AS n_chars FROM documents WHERE length(text) <= {SHORT_TEXT}",
+        "stream_index": f"SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, CAST({EMBEDDING_DIM} AS INTEGER) AS dim, CAST(length(text) AS INTEGER) AS n_chars, CASE WHEN length(text) <= {SHORT_TEXT} THEN 'accepted' ELSE 'text' END AS status FROM documents",
         "stream_qa": STREAM_QA,
+        "stream_files": TOKEN_CHUNKS,
+        "stream_running_histogram": chars,
+        "knn_wide_ids": knn(f"q_id, p_id + {WIDE} AS p_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank"),
+        "wide_context": f"""WITH {RUNS}, {searched('runs', 'row_idx', 'question', 6)}
+SELECT row_idx, CAST((SELECT count(*) FROM top WHERE q_id = row_idx) AS INTEGER) AS n_psgs, ctx.retrieved FROM runs JOIN ctx ON q_id = row_idx""",
+        "index_load": f"""SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN length(text) > {SHORT_TEXT} THEN 'text' ELSE 'accepted' END AS status,
+  CAST({EMBEDDING_DIM} AS INTEGER) AS dim FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i >= {INDEX_START}""",
+        "qa_published": QA_METRICS.replace("'k3_sum' AS config", "unnest(['db.docs.3_third.1_reader', 'db.docs.3_third.1_reader^2']) AS config"),
+        "qa_grouped_prompts": GROUPED_PROMPTS,
+        "json_lines_scan": f"""SELECT CAST(doc_id AS VARCHAR) AS example_id, text AS document_text, array_to_string(string_split(text, ' ')[1:5], ' ') AS question_text,
+  CAST(3 AS INTEGER) AS long_start, CAST(CASE WHEN source = {lit(UNANSWERED)} THEN 0 ELSE 1 END AS INTEGER) AS n_short FROM documents""",
+        "parquet_write": f"WITH {ARTICLES} SELECT id, title, text, {token_count('title || chr(10) || text')} AS token_length, "
+        "CAST(length(text) AS BIGINT) AS text_length FROM a",
+        "summary_table": f"""WITH c AS (SELECT r.*, array_to_string(string_split(d.text, ' ')[1:5], ' ') AS q
+  FROM ({recursive_chunks()}) r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.example_id),
+p AS (SELECT row_number() OVER (ORDER BY split_id) - 1 AS row_idx, split_id, length({rewrite_prompt('document_text', 'q', 'short_answer_text')}) AS n FROM c)
+SELECT row_idx, split_id, CASE WHEN n % 5 = 0 THEN '' ELSE n || ' characters' END AS summarization_text,
+  CASE WHEN n % 5 = 0 THEN 'ValueError: no luck' END AS error FROM p""",
+        "corpus_profile": f"""SELECT 'tokens' AS kind, bucket, printf('%.2f%%', pct) AS percent FROM ({token_hist})
+UNION ALL SELECT 'chars', bucket, printf('%.2f%%', pct) FROM ({chars})""",
     }

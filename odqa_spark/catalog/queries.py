@@ -9,12 +9,14 @@ from odqa_spark.catalog import fixtures as fx
 from odqa_spark.functions import prompts, scoring, text, vectors
 from odqa_spark.functions.tokens import default_tokenizer
 from odqa_spark.operators import annotations, chunk, evaluate, knn, models, profile, retrieval, rows, spans, vector_table
-from odqa_spark.plans import indexing, qa, summaries
+from odqa_spark.plans import corpus, indexing, qa, summaries
 from odqa_spark.session import scratch_path
 from odqa_spark.sources import run_keys, tables
 from odqa_spark.streaming import jobs
 
 TOP_K = 10
+WIDE = 1 << 60
+INDEX_START = 100
 EMBEDDING_DIM = 64
 SHORT_TEXT = 3000  # text limit of the vector-table queries, so that some documents break it
 PACK_LENGTH = 64
@@ -324,11 +326,11 @@ def summarizer_prompts(spark, sf):
 
 
 def _length_model():
-    """A stand-in completion function: fails on long prompts, else tells the length."""
+    """A stand-in completion function: fails on every fifth length, else tells the length."""
 
     def reply(prompt: str) -> str:
-        if len(prompt) > 4000:
-            raise ValueError("prompt too long")
+        if len(prompt) % 5 == 0:
+            raise ValueError("no luck")
         return f"{len(prompt)} characters"
 
     return reply
@@ -347,7 +349,7 @@ def training_pairs(spark, sf):
     raw = annotations.add_answer_texts(annotations.with_short_answer(fx.nq_raw(spark, sf)))
     labels = fx.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("example_id"), "quality", "toxic")
     summary = F.when(F.col("toxic") == 1, F.lit("")).when(F.col("quality") == 1, text.clean_answer(F.col("document_text")))
-    r = raw.join(labels, "example_id").select(
+    r = raw.join(labels, "example_id", "left").select(
         F.col("example_id").alias("split_id"), "question_text", "document_text", summary.alias("summarization_text"),
         F.contains("document_text", "short_answer_text").alias("answer_exist_chunk"),
     )
@@ -391,7 +393,8 @@ def published_configs(spark, sf):
     tables.publish(runs, root)
     tables.publish(tables.filter_configs(runs, "r1"), root)
     back = tables.read_parquet_folder(spark, root)
-    return tables.list_configs(back).join(back.groupBy("config").agg(F.count("*").alias("rows")), "config")
+    names = spark.createDataFrame([(c,) for c in tables.list_configs(spark, root)], "config string")
+    return names.join(back.groupBy("config").agg(F.count("*").alias("rows")), "config", "left")
 
 
 def resummarize_join(spark, sf):
@@ -434,6 +437,102 @@ def qa_metrics(spark, sf):
     return _rounded_metrics(evaluate.run_metrics(run))
 
 
+# --- whole jobs ---
+
+
+def knn_wide_ids(spark, sf):
+    """Ids above 2^53, as hashes are."""
+    q, p = _vector_sides(spark, sf)
+    wide = p.withColumn("p_id", F.col("p_id") + F.lit(WIDE))
+    return knn.topk_join(q, wide, TOP_K, dim=EMBEDDING_DIM).select("q_id", "p_id", _r6("score").alias("score"), "rank")
+
+
+def wide_context(spark, sf):
+    """Contexts of two passages times a group size of three."""
+    q = _questions(spark, sf)
+    found = qa.contexts(q, fx.passages(spark, sf), retrieval.passage_limit(2, 3, True), dim=models.HASH_DIM)
+    return found.select("row_idx", F.size("psgs").alias("n_psgs"), "retrieved")
+
+
+def index_load(spark, sf):
+    """A range of rows loaded twice; embeddings that are not stored are computed."""
+    name = "vectors_" + scratch_path(spark, "index").rsplit("-", 1)[1]
+    rows_ = rows.with_row_idx(_checkable_rows(spark, sf).withColumnRenamed("vec", "embeddings").withColumn("doc_id", F.col("id").cast("bigint")), "doc_id")
+    for _ in range(2):
+        indexing.load_index(rows_, name, scratch_path(spark, "index"), INDEX_START, None, dim=EMBEDDING_DIM, max_text=SHORT_TEXT)
+    kept, lost = spark.table(name), spark.table(f"{name}_rejected")
+    return kept.select("id", F.lit("accepted").alias("status"), F.size("vec").alias("dim")).unionByName(
+        lost.select("id", F.col("reject_reason").alias("status"), F.size("vec").alias("dim"))
+    )
+
+
+def qa_published(spark, sf):
+    """Two runs of one configuration: named, versioned, published, scored from what is stored."""
+    root = scratch_path(spark, "published")
+    scored = [
+        qa.run_and_publish(
+            _questions(spark, sf), fx.passages(spark, sf), root, "db", "docs", "me/reader", top_k=3, summarize=True,
+            summarizer_name="me/third", dim=models.HASH_DIM,
+        )[1]
+        for _ in range(2)
+    ]
+    return _rounded_metrics(tables.union_all(*scored))
+
+
+def _size_model():
+    """A stand-in summarizer: tells the length of its prompt, fails on every seventh."""
+
+    def reply(prompt: str, system: str) -> str:
+        if len(prompt) % 7 == 0:
+            raise ValueError("no luck")
+        return str(len(prompt))
+
+    return reply
+
+
+def qa_grouped_prompts(spark, sf):
+    """Groups of three passages, one call each; failed calls are told from empty summaries."""
+    r = fx.qa_runs(spark, sf).select("row_idx", "question", "answer", "retrieved", models.sentences(F.col("retrieved")).alias("psgs"))
+    run = qa.answer_rows(r, "g", summarize=True, ratio=3, condense_fn=_size_model, summarizer="gpt-3.5.v6", shuffle=False, special_token=True)
+    return run.select("row_idx", "summary", "summary_error", "read_error", "model_input")
+
+
+def json_lines_scan(spark, sf):
+    """Annotated articles through JSON lines and back."""
+    path = scratch_path(spark, "json")
+    fx.nq_raw(spark, sf).write.json(path)
+    back = tables.read_json_lines(spark, path)
+    first = F.element_at("annotations", 1)
+    return back.select(
+        "example_id", "document_text", "question_text", first["long_answer"]["start_token"].alias("long_start"),
+        F.size(first["short_answers"]).alias("n_short"),
+    )
+
+
+def parquet_write(spark, sf):
+    path = scratch_path(spark, "stats")
+    tables.write_parquet(profile.token_stats(fx.articles(spark, sf)), path)
+    return tables.read_dataset(spark, path, split="train")
+
+
+def summary_table(spark, sf):
+    """Prompts and summaries of all chunks, written in two ranges and read as one table."""
+    folder = scratch_path(spark, "summaries")
+    numbered = rows.with_row_idx(summaries.split_annotated(fx.nq_raw(spark, sf)), "split_id")
+    n = numbered.count()
+    for start, end in ((1, n // 2), (n // 2 + 1, n)):
+        summaries.summarize_range(numbered, start, end, folder, _length_model)
+    back = tables.read_parquet_folder(spark, folder + "/*")
+    return back.select("row_idx", "split_id", "summarization_text", "error")
+
+
+def corpus_profile(spark, sf):
+    """Percentages by bucket, as text, from published lengths."""
+    maps = corpus.profile_corpus(fx.articles(spark, sf), scratch_path(spark, "profile"), "it's all")
+    named = [m.select(F.lit(kind).alias("kind"), F.explode("percent").alias("bucket", "percent")) for kind, m in zip(("tokens", "chars"), maps)]
+    return tables.union_all(*named)
+
+
 # --- streams ---
 
 
@@ -442,6 +541,25 @@ def _stream(spark, sf, name="documents"):
     return tables.stream_parquet(spark, sf, schema, max_files=1, pattern=f"{name}.parquet")
 
 
+def stream_files(spark, sf):
+    """Four files, one per batch, with a repeated start from the same state."""
+    source, out, state = (scratch_path(spark, x) for x in ("files", "chunks", "state"))
+    fx.as_articles(fx.table(spark, sf, "documents")).repartition(4, "id").write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    for _ in range(2):
+        _finish(jobs.stream_chunks(tables.stream_parquet(spark, source, schema, max_files=1), out, state, partitions=_cores(spark)))
+    return spark.read.parquet(out)
+
+
+def stream_running_histogram(spark, sf):
+    """A running state over four batches."""
+    source, out, state = (scratch_path(spark, x) for x in ("files", "histogram", "state"))
+    fx.as_articles(fx.table(spark, sf, "documents")).repartition(4, "id").write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    _finish(jobs.stream_histogram(tables.stream_parquet(spark, source, schema, max_files=1), out, state, partitions=_cores(spark)))
+    return profile.histogram_table(jobs.newest_state(spark, out), "char_counts", profile.CHAR_EDGES)
+
+
 def _cores(spark):
     return spark.sparkContext.defaultParallelism
 
@@ -459,14 +577,16 @@ def stream_chunks(spark, sf):
 def stream_histogram(spark, sf):
     out, state = scratch_path(spark, "histogram"), scratch_path(spark, "state")
     _finish(jobs.stream_histogram(fx.as_articles(_stream(spark, sf)), out, state, partitions=_cores(spark)))
-    return profile.histogram_table(spark.read.parquet(out), "token_counts", profile.TOKEN_EDGES)
+    return profile.histogram_table(jobs.newest_state(spark, out), "token_counts", profile.TOKEN_EDGES)
 
 
 def stream_index(spark, sf):
     name, _ = _new_table(spark)
     state = scratch_path(spark, "state")
     _finish(jobs.stream_index(fx.as_articles(_stream(spark, sf)), name, state, dim=EMBEDDING_DIM, max_text=SHORT_TEXT, partitions=_cores(spark)))
-    return spark.table(name).select("id", "title", F.size("vec").alias("dim"), F.length("text").alias("n_chars"))
+    shown = ["id", "title", F.size("vec").alias("dim"), F.length("text").alias("n_chars")]
+    kept = spark.table(name).select(*shown, F.lit("accepted").alias("status"))
+    return kept.unionByName(spark.table(f"{name}_rejected").select(*shown, F.col("reject_reason").alias("status")))
 
 
 def stream_qa(spark, sf):
@@ -489,5 +609,6 @@ ALL = [
     vector_table_load, embed_missing, vector_counts, best_spans, best_passage, packed_ids, nq_answers, nq_prompts,
     reader_prompts, summarizer_prompts, prompt_completion, training_pairs, row_range, row_range_counts, run_key_names,
     published_configs, resummarize_join, extractive_condense, grouped_condense, lexical_read, qa_rows, qa_metrics,
-    stream_chunks, stream_histogram, stream_index, stream_qa,
+    stream_chunks, stream_histogram, stream_index, stream_qa, stream_files, stream_running_histogram, knn_wide_ids,
+    wide_context, index_load, qa_published, qa_grouped_prompts, json_lines_scan, parquet_write, summary_table, corpus_profile,
 ]

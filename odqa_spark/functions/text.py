@@ -69,8 +69,8 @@ def clean_answer(answer: Column) -> Column:
 
 
 def embed_input(title: Column, text: Column, prefix: str = "") -> Column:
-    """``prefix + title + newline + text``."""
-    return F.concat(F.lit(prefix), title, F.lit("\n"), text)
+    """``prefix + title + newline + text``; a missing title or text is empty, so no row is lost."""
+    return F.concat(F.lit(prefix), F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
 
 
 def drop_long_words(text: Column, limit: int = MAX_WORD) -> Column:
@@ -91,11 +91,6 @@ def word_span(text: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(words(text), start + 1, size), " ")
 
 
-def after_last(text: Column, delimiter: str) -> Column:
-    """Part after the last delimiter, the whole text if there is none."""
-    return F.substring_index(text, delimiter, -1)
-
-
 def model_name(model: Column) -> Column:
     """``owner/name`` -> ``name``; text without a slash is kept."""
     return F.when(F.contains(model, F.lit("/")), F.split_part(model, F.lit("/"), F.lit(2))).otherwise(model)

@@ -19,9 +19,9 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two double arrays, summed from the left."""
-    return _sum(F.zip_with(a, b, lambda x, y: x * y))
+def finite(vec: Column) -> Column:
+    """No part is null, NaN or infinite."""
+    return F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
 def squared_norm(vec: Column) -> Column:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,75 +22,58 @@ CHUNK_OVERLAP = 100
 SEPARATORS = ["\n\n", "\n", " ", ""]
 
 
+BOUNDS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def window_bounds(word: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the windows over tokens, of which ``word`` marks those that start a word.
+
+    A window begins at the last word start at or before its place and ends before the
+    first word start at or after the next one's. The last window covers the last
+    ``window`` tokens; its start moves back whenever the *first* token starts no word.
+    """
+    n = len(word)
+    at = np.arange(0, max(n - 1, 0) // window + 1) * window
+    starts = np.concatenate([[0], np.flatnonzero(word), [n]])
+    begin = starts[np.searchsorted(starts[1:-1], at, "right")]
+    end = starts[1:][np.searchsorted(starts[1:-1], at + window)]
+    tail = max(n - window, 0)
+    if n and tail and not word[0]:
+        tail = starts[np.searchsorted(starts[1:-1], tail)]
+    begin[-1], end[-1] = tail, n
+    return begin, end
+
+
+def _bounds(word: Column, window: int) -> Column:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            flags = np.asarray(lists.flatten().fill_null(False).to_numpy(zero_copy_only=False), bool)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            ends = np.cumsum(sizes)
+            # an article without tokens has no chunk
+            spans = [window_bounds(flags[e - n : e], window) if n else (np.zeros(0, int),) * 2 for e, n in zip(ends.tolist(), sizes.tolist())]
+            offsets = np.cumsum([0, *(len(b) for b, _ in spans)]).astype(np.int32)
+            column = lambda i: pa.array(np.concatenate([s[i] for s in spans] or [np.zeros(0)]).astype(np.int32))
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([column(0), column(1)], ["start", "end"]))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # not deterministic to the optimizer: no filter is pushed below it and tokenizes twice
+    return F.arrow_udf(run, BOUNDS).asNondeterministic()(word)
+
+
 def token_chunks(articles: DataFrame, window: int = 256, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Cut articles into windows of ``window`` tokens, snapped outwards to word starts.
 
     ``id, title, url, text`` in; one row per chunk out, ``id`` extended by ``_0``,
-    ``_1``... Everything is row-local: no shuffle, and a long article only
-    makes its own row longer. Work is linear in the tokens: word starts are found
-    once per block of ``window`` tokens, chunk bounds then look at block summaries.
-
-    The last chunk covers the last ``window`` tokens. Its start is moved back
-    whenever the article's *first* token does not start a word.
+    ``_1``... Everything is row-local: no shuffle, and a long article only makes
+    its own row longer. Only the word-start flags cross to Python, where all bounds of
+    an article are found by binary search; texts are joined once per chunk.
     """
     tok = tokenizer or default_tokenizer()
-    size = F.lit(window)
-
     pieces = articles.select(
         "id", "title", "url", tok.pieces(drop_long_words(embed_input(F.col("title"), F.col("text")))).alias("tok")
     )
-
-    marked = pieces.select(
-        "*",
-        F.size("tok").alias("n"),
-        F.greatest(F.floor((F.size("tok") - 1) / size).cast("int"), F.lit(0)).alias("m"),
-        F.transform("tok", tok.starts_word).alias("word"),
-    )
-
-    def block(k: Column) -> Column:
-        flags = F.slice("word", k * size + 1, size)
-        first = F.array_position(flags, True)
-        last = F.array_position(F.reverse(flags), True)
-        return F.struct(
-            F.when(first > 0, k * size + first - 1).alias("first"),
-            F.when(last > 0, k * size + F.size(flags) - last).alias("last"),
-        )
-
-    tail = F.col("n") - size
-    tail_block = F.floor(tail / size).cast("int")
-    blocks = marked.withColumn("blocks", F.transform(F.sequence(F.lit(0), F.col("m")), block)).select(
-        "*",
-        F.col("blocks.first").alias("firsts"),
-        F.col("blocks.last").alias("lasts"),
-        # word starts in the block that the tail begins in, before the tail
-        F.when(tail > 0, F.array_position(
-            F.reverse(F.slice("word", tail_block * size + 1, tail - tail_block * size)), True
-        )).alias("near_tail"),
-    )
-
-    def word_before(k: Column) -> Column:
-        """Last word start in the blocks before block ``k``."""
-        return F.array_max(F.slice("lasts", 1, k))
-
-    def bounds(i: Column) -> Column:
-        at = i * size
-        start = F.when(F.element_at("word", at + 1), at).otherwise(F.coalesce(word_before(i), F.lit(0)))
-        end = F.coalesce(F.array_min(F.slice("firsts", i + 2, F.col("m") + 1)), F.col("n"))
-        back = F.coalesce(
-            F.when(F.col("near_tail") > 0, tail - F.col("near_tail")), word_before(tail_block), F.lit(0)
-        )
-        tail_start = F.when(tail <= 0, 0).when(F.element_at("word", 1), tail).otherwise(back)
-        is_tail = i == F.col("m")
-        return F.struct(
-            F.when(is_tail, tail_start).otherwise(start).cast("int").alias("start"),
-            F.when(is_tail, F.col("n")).otherwise(end).cast("int").alias("end"),
-        )
-
-    # An article without tokens has no chunk. This is not a filter on ``tok``: that would be
-    # pushed below the tokenizer and run it twice.
-    spans = blocks.withColumn(
-        "spans", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("m")), bounds))
-    )
+    spans = pieces.withColumn("spans", _bounds(F.transform("tok", tok.starts_word), window))
     texts = F.transform("spans", lambda s: tok.join(F.slice("tok", s["start"] + 1, s["end"] - s["start"])))
     return spans.select("id", "title", "url", F.posexplode(texts).alias("pos", "text")).select(
         F.concat_ws("_", "id", F.col("pos").cast("string")).alias("id"), "title", "url", "text"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from odqa_spark.functions.vectors import as_double, squared_norm, with_aux_dim
+from odqa_spark.functions.vectors import as_double, finite, squared_norm, with_aux_dim
+from odqa_spark.session import materialize
 
-BROADCAST_BYTES = 64 << 20  # question matrices up to this size are sent to every executor
+BROADCAST_BYTES = 64 << 20  # question matrices are sent to every executor in blocks up to this size
 BLOCK_BYTES = 64 << 20  # largest score matrix or product held at once inside a task
-GRID_QUESTIONS = 8192  # rows of one grid cell, for question sets beyond the broadcast limit
-GRID_PASSAGES = 32768
+MERGE_PARTS = 64  # task winners of one question meet in so many places before they meet in one
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -43,7 +44,7 @@ class _TopK:
     def __init__(self, questions: np.ndarray, k: int, metric: str):
         self.q, self.k, self.metric = questions, k, metric
         self.floor = np.full(len(questions), -np.inf)
-        self.best = pd.DataFrame({"q": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "p": []})
+        self.best: pd.DataFrame | None = None  # the first batch sets the type of the ids
         self.q_sq = (questions**2).sum(axis=1)
         self.q_max = self.q_sq[np.isfinite(self.q_sq)].max(initial=0.0)
 
@@ -79,7 +80,11 @@ class _TopK:
                 qs, ps = qi[at : at + pairs], pi[at : at + pairs]
                 score = _exact(self.metric, block[qs], passages[ps])
                 found.append(self._keep(pd.DataFrame({"q": qs + lo, "score": score, "p": ids[ps]})))
-        self.best = self._keep(pd.concat([self.best[["q", "score", "p"]], *found], ignore_index=True))
+        if self.best is not None:
+            found.insert(0, self.best)
+        if not found:
+            return
+        self.best = self._keep(pd.concat(found, ignore_index=True))
         full = self.best.groupby("q")["score"].agg(["size", "min"])
         full = full[full["size"] >= self.k]
         self.floor[full.index] = full["min"]
@@ -91,6 +96,8 @@ class _TopK:
 
 def _result(top: _TopK, q_ids: pa.Array, schema: pa.Schema) -> pa.Table:
     best = top.best
+    if best is None:
+        return schema.empty_table()
     return pa.table(
         [
             q_ids.take(pa.array(best["q"].to_numpy(), pa.int64())).cast(schema.field(0).type),
@@ -120,11 +127,12 @@ def topk_join(
     ``metric`` is ``ip`` (larger is better) or ``l2`` (score is the negated distance).
     ``dim``, if known, saves a look at the first question.
 
-    Passage vectors are read once and never shuffled: every task multiplies its
-    Arrow batches with the question matrix and emits its own ``k`` best per
-    question; one exchange by question then ranks those. The question matrix is
-    broadcast only if it stays under ``broadcast_bytes``; otherwise both sides are
-    laid out on a grid of bounded cells.
+    Passage vectors are never shuffled, whatever the number of questions: every
+    task multiplies its Arrow batches with a block of the question matrix and
+    emits its own ``k`` best per question. Blocks stay under ``broadcast_bytes``;
+    more of them mean more scans of the passages, which are then written to the
+    shared folder first, so that computed vectors are computed once. Task winners
+    are ranked in two steps, first among the tasks of a part, then by question.
     """
     if metric not in ("ip", "l2"):
         raise ValueError(f"metric must be 'ip' or 'l2', not {metric!r}")
@@ -138,18 +146,29 @@ def topk_join(
     max_rows = max(1, broadcast_bytes // (8 * (dim or _dimension(q))))
     head = q.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
-        partial = _broadcast_topk(head, p, k, metric, schema)
+        partial = _block_topk(head, p, k, metric, schema)
     else:
-        partial = _grid_topk(q, p, k, metric, schema)
-    w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("p_id"))
-    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        q, p = materialize(q, "questions"), materialize(p, "vectors")
+        blocks = 2 * (-(-q.count() // max_rows))  # hashed rows spread unevenly over blocks
+        own = F.pmod(F.xxhash64("q_id"), F.lit(blocks))
+        partial = reduce(
+            DataFrame.unionByName, (_block_topk(q.where(own == b).toArrow(), p, k, metric, schema) for b in range(blocks))
+        )
+    part = F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS))
+    some = _best(partial.withColumn("_part", part), k, "q_id", "_part").drop("_part", "rank")
+    return _best(some, k, "q_id")
+
+
+def _best(found: DataFrame, k: int, *keys: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("p_id"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
     """Ids and vectors; single precision stays as it is on the way to Python, where products are double."""
     item = df.schema[vec].dataType.elementType
     value = F.col(vec) if isinstance(item, (T.FloatType, T.DoubleType)) else as_double(F.col(vec))
-    return df.select(key, value.alias(vec)).where(F.col(vec).isNotNull())
+    return df.select(key, value.alias(vec)).where(F.col(vec).isNotNull() & finite(F.col(vec)))
 
 
 def _dimension(q: DataFrame) -> int:
@@ -163,7 +182,7 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _broadcast_topk(head: pa.Table, p: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
+def _block_topk(head: pa.Table, p: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
     arrow = _arrow_schema(schema)
     shared = p.sparkSession.sparkContext.broadcast(
         (head.column("q_id").combine_chunks(), _matrix(head.column("q_vec")))
@@ -179,29 +198,6 @@ def _broadcast_topk(head: pa.Table, p: DataFrame, k: int, metric: str, schema: T
     return p.mapInArrow(best_of_task, schema)
 
 
-def _grid_topk(q: DataFrame, p: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
-    arrow = _arrow_schema(schema)
-    columns = -(-q.count() // GRID_QUESTIONS)
-    rows = -(-p.count() // GRID_PASSAGES)
-
-    def cells(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(max(other_n, 1) - 1)).cast("array<bigint>"))
-        )
-
-    def best_of_cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        top = _TopK(_matrix(left.column("q_vec")), k, metric)
-        for batch in right.select(["p_id", "p_vec"]).to_batches(max_chunksize=8192):
-            top.add(_ids(batch.column(0)), _matrix(batch.column(1)))
-        return _result(top, left.column("q_id").combine_chunks(), arrow)
-
-    left = cells(q, "q_id", "_c", max(columns, 1), "_r", rows)
-    right = cells(p, "p_id", "_r", max(rows, 1), "_c", columns)
-    return (
-        left.groupBy("_c", "_r").cogroup(right.groupBy("_c", "_r")).applyInArrow(best_of_cell, schema)
-    )
-
-
 def topk_join_l2(questions: DataFrame, passages: DataFrame, k: int, dim: int | None = None, **options) -> DataFrame:
     """The same search through distances: ``q_id, p_id, l2, ip, rank``.
 

@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -277,7 +277,7 @@ def complete(
     make_fn: Callable[[], Callable[..., str]],
     system: Column | None = None,
     max_in_flight: int = MAX_IN_FLIGHT,
-    parallel_tasks: int = 1,
+    parallel_tasks: int | None = None,
     retries: int = 3,
     retry_on: tuple[type[BaseException], ...] = (TimeoutError, OSError),
     wait: float = 0.0,
@@ -286,12 +286,25 @@ def complete(
 
     The function is called as ``fn(prompt)``, or ``fn(prompt, system)`` if a column
     of system prompts is given.
-    ``max_in_flight`` is shared by ``parallel_tasks`` tasks. Errors in ``retry_on``
+    ``max_in_flight`` bounds the requests of the whole job: it is shared by
+    ``parallel_tasks`` tasks, by default as many as the cluster has slots, and
+    each task has one request at least. Errors in ``retry_on``
     are retried at most ``retries`` times; a prompt that still fails gets text
     ``''`` and the error, and never fails the job. Write the result before using it
     twice: a lost executor repeats only the unwritten calls.
     """
-    threads = max(1, max_in_flight // max(1, parallel_tasks))
+    make, threads = _completer(make_fn, max_in_flight, parallel_tasks, retries, retry_on, wait)
+    inputs = [prompt] if system is None else [prompt, system]
+    return model_column(make, COMPLETION_TYPE, *inputs, batch_size=max(threads * 4, 64))
+
+
+def _completer(
+    make_fn: Callable[[], Callable[..., str]], max_in_flight: int = MAX_IN_FLIGHT, parallel_tasks: int | None = None,
+    retries: int = 3, retry_on: tuple[type[BaseException], ...] = (TimeoutError, OSError), wait: float = 0.0,
+) -> tuple[Callable[[], ModelFn], int]:
+    """The batched form of a one-prompt function, and its number of threads."""
+    slots = parallel_tasks or SparkSession.active().sparkContext.defaultParallelism
+    threads = max(1, max_in_flight // max(1, slots))
 
     def make() -> ModelFn:
         import time
@@ -319,19 +332,48 @@ def complete(
 
         return batch
 
-    inputs = [prompt] if system is None else [prompt, system]
-    return model_column(make, COMPLETION_TYPE, *inputs, batch_size=max(threads * 4, 64))
+    return make, threads
+
+
+def complete_each(prompts: Column, make_fn: Callable[[], Callable[..., str]], system: Column, **options) -> Column:
+    """``text, error`` of every prompt of an array, each called with its row's ``system``; see ``complete``."""
+    single, threads = _completer(make_fn, **options)
 
+    def make() -> ModelFn:
+        batch = single()
+        return lambda systems, texts: batch(texts, systems)
+
+    return model_over_array(make, COMPLETION_TYPE, system, prompts, batch_size=max(threads * 4, 64))
+
+
+def condense_by_prompt(
+    df: DataFrame, summarizer: str, make_fn: Callable[[], Callable[[str, str], str]], ratio: int = 1,
+    shuffle: bool = True, tail: str = "keep", **options,
+) -> DataFrame:
+    """Add ``summary`` and ``summary_error`` from a completion function.
 
-def condense_by_prompt(df: DataFrame, summarizer: str, make_fn: Callable[[], Callable[[str, str], str]], **options) -> DataFrame:
-    """Add ``summary`` from a completion function; ``summarizer`` is ``model.version`` of a known instruction."""
+    ``summarizer`` is ``model.version`` of a known instruction. With ``ratio``
+    above 1 the passages are grouped as in ``condense_passages``, one call per
+    group; the summary joins what the calls gave, and the error is the first of theirs.
+    """
     version = summarizer.rsplit(".", 1)[-1]
     known = default_instructions()
     if version not in known:
         raise ValueError(f"unknown instruction version {version!r} in summarizer {summarizer!r}")
-    prompt = summarizer_prompt(F.col("question"), F.array_join("psgs", "\n"))
-    done = complete(prompt, make_fn, F.lit(known[version]), **options)
-    return df.withColumn("_done", done).withColumn("summary", F.col("_done.text")).drop("_done")
+    question = F.col("question")
+    if ratio == 1:
+        prompt = summarizer_prompt(question, F.array_join("psgs", "\n"))
+        done = complete(prompt, make_fn, F.lit(known[version]), **options)
+        rows = df.withColumn("_done", done)
+        return rows.withColumns({"summary": F.col("_done.text"), "summary_error": F.col("_done.error")}).drop("_done")
+    psgs = seeded_order(F.col("psgs"), F.array_join("psgs", "\n")) if shuffle else F.col("psgs")
+    prompts = F.transform(ratio_groups(psgs, ratio, tail), lambda g: summarizer_prompt(question, F.array_join(g, "\n")))
+    rows = df.withColumn("_prompts", pinned(prompts))
+    rows = rows.withColumn("_done", complete_each(F.col("_prompts"), make_fn, F.lit(known[version]), **options))
+    return rows.withColumns({
+        "summary": F.array_join("_done.text", "\n"),
+        "summary_error": F.get(F.filter("_done.error", lambda e: e.isNotNull()), F.lit(0)),
+    }).drop("_done", "_prompts")
 
 
 def best_passage(candidates: DataFrame) -> DataFrame:

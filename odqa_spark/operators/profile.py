@@ -19,14 +19,17 @@ def bucket_labels(edges: list[int]) -> list[str]:
 
 
 def token_stats(articles: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """``id, title, text, token_length, text_length``; tokens of title and text, characters of text."""
+    """``id, title, text, token_length, text_length``; tokens of title and text, characters of text.
+
+    A missing title or text counts as empty.
+    """
     tok = tokenizer or default_tokenizer()
     return articles.select(
         "id",
         "title",
         "text",
         tok.count(embed_input(F.col("title"), F.col("text"))).alias("token_length"),
-        F.length("text").cast("bigint").alias("text_length"),
+        F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("text_length"),
     )
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odqa_spark.operators.knn import topk_join
 from odqa_spark.session import materialize
 
-BROADCAST_ROWS = 1_000_000  # ranked ids (a few dozen bytes each) up to this many are sent to every executor
+BROADCAST_BYTES = 64 << 20  # ranked ids are sent to every executor in blocks up to this size
+ROW_BYTES = 48  # of a ranked row besides its ids
 
 
 def passage_limit(top_k: int, ratio: int = 1, summarize: bool = False) -> int:
@@ -16,19 +19,23 @@ def passage_limit(top_k: int, ratio: int = 1, summarize: bool = False) -> int:
     return int(top_k) * ratio if summarize else int(top_k)
 
 
-def retrieve(questions: DataFrame, passages: DataFrame, limit: int, **options) -> DataFrame:
+def retrieve(questions: DataFrame, passages: DataFrame, limit: int, block_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
     """``q_id, p_id, rank, score, title, text``: ranked passages of every question.
 
     The search reads ids and vectors only. Its ranked ids are written to the shared
-    folder: the search is not repeated when an executor is lost, and their number
-    is known before the texts are fetched. Up to ``BROADCAST_ROWS`` of them are
-    broadcast, so the passage table is scanned and not shuffled; beyond that the
-    join shuffles both sides.
+    folder: the search is not repeated when an executor is lost, and their size
+    is known before the texts are fetched. They are broadcast in blocks of checked
+    size, so the passage texts are scanned once per block and never shuffled.
     """
     found = materialize(topk_join(questions, passages, limit, **options), "ranked")
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    return passages.select("p_id", "title", "text").join(found, "p_id")
+    wide = F.length(F.col("q_id").cast("string")) + F.length(F.col("p_id").cast("string")) + ROW_BYTES
+    size = found.agg(F.sum(wide.cast("bigint")).alias("n")).first()["n"] or 0
+    texts = passages.select("p_id", "title", "text")
+    blocks = -(-size // block_bytes)
+    if blocks <= 1:
+        return texts.join(F.broadcast(found), "p_id")
+    own = F.pmod(F.xxhash64("q_id", "p_id"), F.lit(2 * blocks))
+    return reduce(DataFrame.unionByName, (texts.join(F.broadcast(found.where(own == b)), "p_id") for b in range(2 * blocks)))
 
 
 def collect_context(retrieved: DataFrame) -> DataFrame:

@@ -75,7 +75,13 @@ def split_range(expression: str) -> tuple[str, int | None, int | None]:
 
 
 def join_by_position(rows: DataFrame, earlier: DataFrame, column: str, alias: str) -> DataFrame:
-    """Bring ``column`` of an earlier run to the rows at the same position."""
+    """Bring ``column`` of an earlier run to the rows at the same position.
+
+    A position that the earlier run lacks fails the job: no row is lost in silence.
+    """
     _positional(rows)
     _positional(earlier)
-    return rows.join(earlier.select("row_idx", F.col(column).alias(alias)), "row_idx")
+    found = earlier.select("row_idx", F.col(column).alias(alias), F.lit(True).alias("_found"))
+    joined = rows.join(found, "row_idx", "left")
+    lacks = F.concat(F.lit("the earlier run lacks row "), F.col("row_idx").cast("string"))
+    return joined.where(F.assert_true(F.coalesce("_found", F.lit(False)), lacks).isNull()).drop("_found")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from odqa_spark.functions.vectors import finite
 from odqa_spark.schemas import ID_MAX, TEXT_MAX, TITLE_MAX, VECTOR_DIM, VECTOR_PASSAGE
 
 METHODS = ("exact",)
@@ -22,7 +23,16 @@ def reject_reason(dim: int = VECTOR_DIM, max_text: int = TEXT_MAX) -> Column:
     """Null for a row the table accepts, else the first limit it breaks."""
     return (
         F.when(F.col("id").isNull() | (F.length("id") > ID_MAX), "id")
-        .when(F.col("vec").isNull() | (F.size("vec") != dim), "vec")
+        .when(F.col("vec").isNull() | (F.size("vec") != dim) | ~finite(F.col("vec")), "vec")
+        .when(F.col("title").isNull() | (F.length("title") > TITLE_MAX), "title")
+        .when(F.col("text").isNull() | (F.length("text") > max_text), "text")
+    )
+
+
+def early_reason(max_text: int = TEXT_MAX) -> Column:
+    """Null for a row that no limit but the vector's can reject: known before anything is embedded."""
+    return (
+        F.when(F.col("id").isNull() | (F.length(F.col("id").cast("string")) > ID_MAX), "id")
         .when(F.col("title").isNull() | (F.length("title") > TITLE_MAX), "title")
         .when(F.col("text").isNull() | (F.length("text") > max_text), "text")
     )
@@ -38,6 +48,36 @@ def new_rows(rows: DataFrame, existing: DataFrame, *key: str) -> DataFrame:
     return rows.join(existing.select(*key), list(key), "left_anti")
 
 
+def _held(name: str, rows: DataFrame, status: str) -> DataFrame:
+    """Ids of ``rows`` that the table has with this status: the small side of the join is the load, not the table."""
+    held = rows.sparkSession.table(f"{name}_rows").where(F.col("status") == status).select(F.col("id").alias("_id"))
+    return held.join(rows.select(F.col("id").cast("string").alias("_id")), "_id", "left_semi").distinct()
+
+
+def fresh_rows(rows: DataFrame, name: str, max_text: int = TEXT_MAX) -> DataFrame:
+    """Rows that a repeated load still has to embed.
+
+    Left out are ids the table has accepted, and ids it has rejected as long as a
+    limit other than the vector's rejects them still. Needs no vectors.
+    """
+    own = F.col("id").cast("string")
+    rows = rows.join(_held(name, rows, ACCEPTED), own == F.col("_id"), "left_anti")
+    refused = _held(name, rows, REJECTED).withColumnRenamed("_id", "_refused")
+    known = rows.join(refused, own == F.col("_refused"), "left")
+    return known.where(F.col("_refused").isNull() | early_reason(max_text).isNull()).drop("_refused")
+
+
+def once_per_id(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds ``duplicate``: true for all but the first row, by ``order``, of an id that stands in ``rows`` twice.
+
+    Only ids are grouped; rows are moved only if their id repeats.
+    """
+    repeated = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id")
+    single = rows.join(repeated, "id", "left_anti").withColumn("duplicate", F.lit(False))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*order))
+    return single.unionByName(rows.join(repeated, "id", "left_semi").withColumn("duplicate", place > 1))
+
+
 def create_if_absent(spark: SparkSession, name: str, path: str, method: str = "exact") -> None:
     """Create the vector table unless it exists.
 
@@ -68,13 +108,18 @@ def append_passages(
 
     ``skip_existing`` leaves out ids the table has, so a repeated load changes
     nothing (an id rejected before may still be accepted later); ``append_all``
-    adds every row again.
+    adds every row again. Of rows of one load with the same id the first by title
+    and text counts, the others are rejected as ``duplicate``; a ``duplicate``
+    column that ``once_per_id`` made before is used as it is.
     """
     if mode not in ("skip_existing", "append_all"):
         raise ValueError(f"unknown mode: {mode!r}")
-    typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in VECTOR_PASSAGE.fields])
+    if "duplicate" not in rows.columns:
+        rows = once_per_id(rows, "title", "text")
+    typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in VECTOR_PASSAGE.fields], "duplicate")
     status = F.when(F.col("reject_reason").isNull(), ACCEPTED).otherwise(REJECTED)
-    out = checked(typed, dim, max_text).withColumn("status", status)
+    reason = F.coalesce(F.when(F.col("duplicate"), "duplicate"), reject_reason(dim, max_text))
+    out = typed.withColumn("reject_reason", reason).withColumn("status", status)
     stored = f"{name}_rows"
     if mode == "skip_existing":
         # The stored ids that this load brings again: a small load is broadcast against the

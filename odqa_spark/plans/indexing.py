@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from odqa_spark.functions.text import embed_input
 from odqa_spark.operators.models import embed_if_missing
 from odqa_spark.operators.rows import row_slice
-from odqa_spark.operators.vector_table import append_passages, create_if_absent
+from odqa_spark.operators.vector_table import append_passages, create_if_absent, fresh_rows, once_per_id
 from odqa_spark.schemas import TEXT_MAX, VECTOR_DIM
 
 
 def vector_rows(articles: DataFrame, prefix: str = "", make_fn=None) -> DataFrame:
     """``id, vec, title, text``; stored ``embeddings`` are reused."""
     text = embed_input(F.col("title"), F.col("text"), prefix)
-    return embed_if_missing(articles, text, make_fn).select("id", "vec", "title", "text")
+    keep = [c for c in articles.columns if c == "duplicate"]
+    return embed_if_missing(articles, text, make_fn).select("id", "vec", "title", "text", *keep)
 
 
 def load_index(
@@ -23,8 +24,15 @@ def load_index(
     prefix: str = "", make_fn=None, dim: int = VECTOR_DIM, max_text: int = TEXT_MAX, method: str = "exact",
     mode: str = "skip_existing",
 ) -> None:
-    """Create the table if absent, then append the rows of a position range."""
+    """Create the table if absent, then append the rows of a position range.
+
+    With ``skip_existing`` rows that the table holds are left out before anything
+    is embedded, so a load that is run again calls the model for new rows only.
+    """
     create_if_absent(articles.sparkSession, table, path, method)
     if start_index is not None or end_index is not None:
         articles = row_slice(articles, start_index, end_index)
-    append_passages(vector_rows(articles, prefix, make_fn), table, dim, max_text, mode)
+    if mode == "skip_existing":
+        articles = fresh_rows(articles, table, max_text)
+    rows = vector_rows(once_per_id(articles, "title", "text"), prefix, make_fn)
+    append_passages(rows, table, dim, max_text, mode)

@@ -8,13 +8,17 @@ from pyspark.sql import types as T
 
 from odqa_spark.operators.rows import row_slice, split_range
 from odqa_spark.schemas import NQ_RAW
+from odqa_spark.session import hadoop_path
 
 
-def read_dataset(spark: SparkSession, root: str, config: str | None = None, split: str | None = None) -> DataFrame:
+def read_dataset(
+    spark: SparkSession, root: str, config: str | None = None, split: str | None = None, only_split: str = "train"
+) -> DataFrame:
     """A published table, one configuration of it, and a row range of that.
 
     ``split`` is a name with an optional range, such as ``train[100:200]``; the
-    configuration filter prunes folders, the range filter reaches the scan.
+    configuration filter prunes folders, the range filter reaches the scan. A table
+    without a ``split`` column is one split, named ``only_split``; any other name is refused.
     """
     df = spark.read.parquet(root)
     if config is not None:
@@ -23,6 +27,8 @@ def read_dataset(spark: SparkSession, root: str, config: str | None = None, spli
         name, start, end = split_range(split)
         if "split" in df.columns:
             df = df.where(F.col("split") == name)
+        elif name != only_split:
+            raise ValueError(f"{root} has no split column: its rows are the split {only_split!r}, not {name!r}")
         if start is not None or end is not None:
             df = row_slice(df, start, end)
     return df
@@ -49,9 +55,14 @@ def stream_parquet(
     return reader.parquet(path)
 
 
-def list_configs(df: DataFrame) -> DataFrame:
-    """Distinct configurations; on a published table this needs folder names only."""
-    return df.select("config").distinct()
+def list_configs(spark: SparkSession, root: str) -> list[str]:
+    """Configurations of a published table, from its folder names: no row is read."""
+    fs, path = hadoop_path(spark, root)
+    if not fs.exists(path):
+        return []
+    names = [e.getPath().getName() for e in fs.listStatus(path) if e.isDirectory()]
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return sorted(unescape(n.removeprefix("config=")) for n in names if n.startswith("config="))
 
 
 def filter_configs(df: DataFrame, contain: str | None = None, exclude: str | None = None) -> DataFrame:

@@ -6,16 +6,17 @@ Every job runs what is available, then stops, unless a ``period`` is given.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from odqa_spark.functions.tokens import Tokenizer
 from odqa_spark.operators.chunk import token_chunks
 from odqa_spark.operators.profile import histogram_row, token_stats
-from odqa_spark.operators.vector_table import append_passages
+from odqa_spark.operators.vector_table import append_passages, fresh_rows, once_per_id
 from odqa_spark.plans.indexing import vector_rows
 from odqa_spark.plans.qa import qa_run
 from odqa_spark.schemas import TEXT_MAX, VECTOR_DIM
+from odqa_spark.session import hadoop_path
 
 
 def _start(writer, checkpoint: str, period: str | None) -> StreamingQuery:
@@ -41,23 +42,41 @@ def stream_histogram(
     articles: DataFrame, out: str, checkpoint: str, tokenizer: Tokenizer | None = None, period: str | None = None,
     partitions: int | None = None,
 ) -> StreamingQuery:
-    """Running token and character histograms; ``out`` always holds the latest one-row state."""
+    """Running token and character histograms; ``newest_state(out)`` is the latest one-row state.
+
+    Every batch writes a folder of its own and then removes the older ones, so a
+    reader never meets an empty folder; a repeated batch replaces its own.
+    """
     running = histogram_row(token_stats(_spread(articles, partitions), tokenizer))
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/state={batch_id}")
+        fs, root = hadoop_path(batch.sparkSession, out)
+        for entry in fs.listStatus(root):
+            name = entry.getPath().getName()
+            if name.startswith("state=") and int(name[6:]) < batch_id - 1:
+                fs.delete(entry.getPath(), True)
 
     return _start(running.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, period)
 
 
+def newest_state(spark: SparkSession, out: str) -> DataFrame:
+    """The latest complete state that ``stream_histogram`` wrote."""
+    fs, root = hadoop_path(spark, out)
+    done = [e.getPath() for e in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(e.getPath(), "_SUCCESS"))]
+    newest = max(done, key=lambda p: int(p.getName()[6:]))
+    return spark.read.parquet(newest.toString())
+
+
 def stream_index(
     articles: DataFrame, table: str, checkpoint: str, prefix: str = "", make_fn=None, dim: int = VECTOR_DIM,
     max_text: int = TEXT_MAX, period: str | None = None, partitions: int | None = None,
 ) -> StreamingQuery:
-    """Append to the vector table. A repeated batch finds its ids present and adds nothing."""
+    """Append to the vector table. A repeated batch finds its ids present: it embeds and adds nothing."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        append_passages(vector_rows(_spread(batch, partitions), prefix, make_fn), table, dim, max_text)
+        fresh = once_per_id(fresh_rows(_spread(batch, partitions), table, max_text), "title", "text")
+        append_passages(vector_rows(fresh, prefix, make_fn), table, dim, max_text)
 
     return _start(articles.writeStream.foreachBatch(load), checkpoint, period)
 

@@ -65,6 +65,53 @@ def test_condensing_by_instruction_version(qa_tables):
         qa.qa_run(q, p, "gpt", 2, summarize=True, summarizer="gpt-4", condense_fn=reply)
 
 
+def test_prompts_by_groups_and_errors(qa_tables):
+    q, p = qa_tables
+
+    def reply():
+        def fn(prompt, system):
+            if "zzz" in prompt:
+                raise ValueError("no")
+            return str(len(prompt.split("###Passages###")[1].strip().split("\n")))
+
+        return fn
+
+    run = qa.qa_run(q, p, "g", 1, summarize=True, ratio=2, summarizer="gpt.v6", condense_fn=reply, shuffle=False, special_token=True)
+    rows = {r.row_idx: r for r in run.collect()}
+    # two passages are one full group and the tail group that repeats it
+    assert rows[0].summary == "2\n2" and rows[0].summary_error is None and rows[0].read_error is None
+    assert rows[2].summary == "\n" and rows[2].summary_error == "ValueError: no"
+    assert rows[0].model_input == "where is the red barn<sep>2\n2"
+    read = qa.qa_run(q, p, "c", 1, reader="completion", read_fn=reply, calls={"max_in_flight": 4}).collect()
+    assert {r.row_idx: r.read_error.split(":")[0] for r in read} == {0: "IndexError", 1: "IndexError", 2: "ValueError"}
+    assert {r.predicted for r in read} == {""}
+
+
+def test_named_versioned_published_and_scored(spark, qa_tables, tmp_path):
+    q, p = qa_tables
+    root = str(tmp_path / "runs")
+    names = []
+    for _ in range(3):
+        name, metrics = qa.run_and_publish(q, p, root, "db", "coll", "me/reader", top_k=2)
+        names.append(name)
+        assert metrics.head().rows == 3
+    assert names == ["db.coll.2_reader", "db.coll.2_reader^2", "db.coll.2_reader^3"]
+    name, _ = qa.run_and_publish(q, p, root, "db", "coll", "me/reader", top_k=2, summarize=True, ratio=2, summarizer_name="me/sum")
+    assert name == "db.coll.2_sum.2_reader" and len(tables.list_configs(spark, root)) == 4
+
+
+def test_apostrophes_in_config_names(spark, sf, tmp_path):
+    a = fx.articles(spark, sf).limit(20)
+    tokens, _ = corpus.profile_corpus(a, str(tmp_path / "c"), "it's")
+    assert len(tokens.head().percent) > 3
+
+
+def test_articles_without_title_or_text_are_counted(spark):
+    a = spark.createDataFrame([("1", None, "u", "some words"), ("2", "t", "u", None), ("3", None, "u", None)], "id string, title string, url string, text string")
+    assert {r.id for r in chunk.token_chunks(a, 8).collect()} >= {"1_0", "2_0"}
+    assert profile.histogram_row(profile.token_stats(a)).head().total == 3
+
+
 def test_evaluating_published_runs(spark, sf, tmp_path):
     root = str(tmp_path / "runs")
     tables.publish(fx.qa_runs(spark, sf), root)
@@ -123,7 +170,8 @@ def test_stream_files_one_at_a_time_equal_the_batch(spark, sf, tmp_path):
     assert got == sorted((r.id, r.text) for r in chunk.token_chunks(batch, 256).collect())
 
     jobs.stream_histogram(stream(), str(tmp_path / "hist"), str(tmp_path / "s2")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "hist")).head() == profile.histogram_row(profile.token_stats(batch)).head()
+    assert len(list((tmp_path / "hist").glob("state=*"))) <= 2
+    assert jobs.newest_state(spark, str(tmp_path / "hist")).head() == profile.histogram_row(profile.token_stats(batch)).head()
 
 
 def test_stream_index_twice_adds_nothing(spark, sf, tmp_path):

@@ -17,7 +17,7 @@ def test_publish_replaces_only_its_configs(spark, tmp_path):
     tables.publish(a, root, "k10_a")
     tables.publish(a, root, "k10_b")
     tables.publish(spark.createDataFrame([(0, "y"), (1, "z")], "row_idx bigint, v string"), root, "k10_b")
-    assert sorted(r.config for r in tables.list_configs(spark.read.parquet(root)).collect()) == ["k10_a", "k10_b"]
+    assert tables.list_configs(spark, root) == ["k10_a", "k10_b"] and tables.list_configs(spark, root + "-none") == []
     assert [r.v for r in tables.read_dataset(spark, root, "k10_a").collect()] == ["x"]
     assert [r.v for r in tables.read_dataset(spark, root, "k10_b", "train[1:]").collect()] == ["z"]
     plan = tables.read_dataset(spark, root, "k10_b", "train[1:]")._jdf.queryExecution().toString()
@@ -100,10 +100,13 @@ def test_row_slices(spark):
 
 
 def test_join_by_position(spark):
-    a = spark.createDataFrame([(0, "q0"), (1, "q1"), (2, "q2")], "row_idx bigint, question string")
+    c = spark.createDataFrame([(0, "q0"), (1, "q1"), (2, "q2")], "row_idx bigint, question string")
+    a = c.where("row_idx < 2")
     b = spark.createDataFrame([(1, "s1"), (0, "s0")], "row_idx bigint, summary string")
     got = sorted(join_by_position(a, b, "summary", "retrieved").collect())
     assert [tuple(r) for r in got] == [(0, "q0", "s0"), (1, "q1", "s1")]
+    with pytest.raises(Exception, match="lacks row 2"):
+        join_by_position(c, b, "summary", "retrieved").collect()
 
 
 def test_run_keys(spark):

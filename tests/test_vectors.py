@@ -48,15 +48,35 @@ def test_topk_matches_brute_force(spark, tied, k):
     assert _collect(knn.topk_join(left, right, k)) == _brute(q_ids, q, p_ids, p, k)
 
 
-def test_grid_gives_the_same_rows(spark, tied, monkeypatch):
+def test_question_blocks_give_the_same_rows_without_moving_vectors(spark, tied):
     q_ids, q, p_ids, p = tied
-    monkeypatch.setattr(knn, "GRID_QUESTIONS", 4)
-    monkeypatch.setattr(knn, "GRID_PASSAGES", 16)
     left, right = _table(spark, "q", q_ids, q), _table(spark, "p", p_ids, p)
     got = knn.topk_join(left, right, 7, broadcast_bytes=6 * 8 * 3)
-    plan = got._jdf.queryExecution().toString()
-    assert "FlatMapCoGroupsInArrow" in plan
     assert _collect(got) == _brute(q_ids, q, p_ids, p, 7)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and plan.count("MapInArrow") > 3
+    # every exchange lies above the search: what is scanned below holds the vectors
+    text = got._jdf.queryExecution().executedPlan().toString()
+    below = [line for line in text.splitlines() if "Exchange" in line and "p_vec" in line]
+    assert not below
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 8 * 3}])
+def test_ids_keep_their_type(spark, options):
+    big = 1 << 60
+    for ids, kind in (([big + 1, big + 3, -5], "bigint"), (["b", "a", "c"], "string"), ([3, 1, 2], "int")):
+        left = spark.createDataFrame([(i, [1.0, float(n)]) for n, i in enumerate(ids)], f"q_id {kind}, q_vec {VEC}")
+        right = spark.createDataFrame([(i, [1.0, 0.0]) for i in ids], f"p_id {kind}, p_vec {VEC}")
+        got = knn.topk_join(left, right, 2, **options)
+        assert got.schema["p_id"].dataType.simpleString() == kind
+        assert _collect(got) == {i: [(p, 1.0) for p in sorted(ids)[:2]] for i in ids}
+
+
+def test_broken_vectors_have_no_rank_on_either_side(spark):
+    odd = [(1, [1.0, float("nan")]), (2, [float("inf"), 0.0]), (3, [1.0, 0.0]), (4, None), (5, [1.0, None])]
+    left = spark.createDataFrame(odd, f"q_id int, q_vec {VEC}")
+    right = spark.createDataFrame(odd, f"p_id int, p_vec {VEC}")
+    assert _collect(knn.topk_join(left, right, 3)) == {3: [(3, 1.0)]}
 
 
 def test_small_blocks_give_the_same_rows(spark, tied, monkeypatch):
@@ -126,7 +146,7 @@ def test_context_keeps_rank_order(spark):
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [[1.0, 2.0], [3.0, 6.0], [9.0, 9.0]], [1, 1, 0])], "v array<double>, h array<array<double>>, m array<int>")
     r = df.select(
-        vectors.dot(F.col("v"), F.col("v")).alias("d"),
+        vectors.squared_norm(F.col("v")).alias("d"),
         vectors.l2_normalize(F.col("v")).alias("n"),
         vectors.l2_normalize(F.array(F.lit(0.0))).alias("z"),
         vectors.with_aux_dim(F.col("v"), F.lit(34.0)).alias("a"),
@@ -170,13 +190,38 @@ def test_index_load_of_a_row_range(spark, sf, tmp_path):
     assert spark.table("vt_range").select(F.min(F.size("vec")), F.max(F.size("vec"))).head()[:] == (64, 64)
 
 
-def test_texts_are_fetched_the_same_way_with_and_without_broadcast(spark, tied, monkeypatch):
+def test_texts_are_fetched_in_blocks_and_never_moved(spark, tied):
     q_ids, q, p_ids, p = tied
     left = _table(spark, "q", q_ids, q)
     right = _table(spark, "p", p_ids, p).select("*", F.lit("t").alias("title"), F.concat(F.lit("x"), "p_id").alias("text"))
     small = sorted(tuple(r) for r in retrieval.retrieve(left, right, 9).select("q_id", "rank", "p_id", "text").collect())
-    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
-    large = sorted(tuple(r) for r in retrieval.retrieve(left, right, 9).select("q_id", "rank", "p_id", "text").collect())
+    found = retrieval.retrieve(left, right, 9, block_bytes=1000)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    large = sorted(tuple(r) for r in found.select("q_id", "rank", "p_id", "text").collect())
     assert small == large and len(small) == 9 * len(q_ids)
     # every question retrieves copies of the same hot passage; none is dropped
     assert all(text == f"x{p_id}" for _, _, p_id, text in small)
+
+
+def test_index_load_embeds_new_rows_only(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def fn(texts):
+            calls.add(sum(t is not None for t in texts))
+            return [[1.0, 2.0] for _ in texts]
+
+        return fn
+
+    rows = [("a", "t", "x"), ("b", "t", "y"), ("b", "t", "x"), ("b", "t", "y"), ("c", "t", "z" * 99), ("d" * 17, "t", "x"), ("e", None, "x")]
+    df = spark.createDataFrame(rows, "id string, title string, text string")
+    for run in range(2):
+        indexing.load_index(df, "vt_fresh", str(tmp_path / "f"), make_fn=make, dim=2, max_text=50)
+        assert calls.value == (len(rows) if run == 0 else len(rows))
+    kept = sorted((r.id, r.text) for r in spark.table("vt_fresh").collect())
+    assert kept == [("a", "x"), ("b", "x")]
+    lost = sorted((r.id, r.reject_reason) for r in spark.table("vt_fresh_rejected").collect())
+    assert lost == [("b", "duplicate"), ("b", "duplicate"), ("c", "text"), ("d" * 17, "id"), ("e", "title")]
+    # a text that fits now is taken
+    indexing.load_index(df.where("id = 'c'").withColumn("text", F.lit("z")), "vt_fresh", str(tmp_path / "f"), make_fn=make, dim=2, max_text=50)
+    assert spark.table("vt_fresh").where("id = 'c'").count() == 1
