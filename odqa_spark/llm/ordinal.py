@@ -31,7 +31,7 @@ _KIND = np.full(256, _KINDS - 1)
 _KIND[_MARKS] = np.arange(len(_MARKS))
 _KIND[48:58] = len(_MARKS)
 _KIND[10] = len(_MARKS) + 1
-_DENSE = _KINDS + 5
+_DENSE = _KINDS + 7
 _RIDGE = 1e-3  # on the weights of hashed words
 _SCALE = 30.0
 
@@ -43,6 +43,15 @@ class OrdinalModel:
     thresholds: np.ndarray
 
 
+def _distinct(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The number of different values of each text."""
+    order = np.lexsort((value, doc))
+    d, v = doc[order], value[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
+    return np.bincount(d[new], minlength=n)
+
+
 def _features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text of each word, bucket of each word, words per text, dense shares)."""
     w = words(texts, cased=True)
@@ -51,15 +60,17 @@ def _features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     text_of_byte = np.repeat(np.arange(w.n_texts), spans)
     kinds = np.bincount(text_of_byte * _KINDS + _KIND[w.buffer], minlength=w.n_texts * _KINDS).reshape(-1, _KINDS) / np.maximum(spans, 1)[:, None]
     raised = np.bincount(text_of_byte[w.cased != w.buffer], minlength=w.n_texts) / np.maximum(spans, 1)
-    order = np.lexsort((w.hash, w.doc)) if len(w.hash) else np.zeros(0, np.int64)
-    d, h = w.doc[order], w.hash[order]
-    new = np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])]) if len(d) else np.zeros(0, bool)
-    distinct = np.bincount(d[new], minlength=w.n_texts)
+    distinct = _distinct(w.doc, w.hash, w.n_texts)
+    inside = w.doc[1:] == w.doc[:-1]
+    pairs = (w.hash[:-1] + np.uint64(3) * w.hash[1:])[inside]
+    pair_of = w.doc[1:][inside]
+    same = np.bincount(w.doc[1:][inside & (w.hash[1:] == w.hash[:-1])], minlength=w.n_texts)
+    again = np.maximum(n - 1, 0) - _distinct(pair_of, pairs, w.n_texts)
     length = np.bincount(w.doc, w.end - w.start, minlength=w.n_texts)
     dense = np.concatenate(
         [
             np.minimum(20 * kinds, 3.0),
-            np.stack([4 * raised, distinct / np.maximum(n, 1), length / np.maximum(n, 1) / 10, np.log1p(n) / 10, (n > 0).astype(float)], 1),
+            np.stack([4 * raised, 4 * same / np.maximum(n, 1), 4 * again / np.maximum(n, 1), distinct / np.maximum(n, 1), length / np.maximum(n, 1) / 10, np.log1p(n) / 10, (n > 0).astype(float)], 1),
         ],
         1,
     )
