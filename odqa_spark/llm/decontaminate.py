@@ -130,7 +130,7 @@ def _emit(t: Templates, batch: pa.RecordBatch, found: list[tuple[np.ndarray, np.
 
 
 def _item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
-    """(item, size, total, ipos, key, islots): the windows of the benchmark."""
+    """(size, total, item, ipos, key, islots): the windows of the benchmark; total is their number in the item's text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         t = Templates(batch.column(0).to_pylist())
@@ -144,11 +144,15 @@ def _item_windows(items: DataFrame, item_id: str, text: str, window: int) -> Dat
         if out is None:
             return None
         sizes = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
-        return pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int32)), *out.columns], ["size", "item", "ipos", "key", "islots"])
+        row = t.doc[np.concatenate([f[0] for f in found])]
+        total = np.bincount(row)[row]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(sizes.astype(np.int32)), pa.array(total.astype(np.int32)), *out.columns], ["size", "total", "item", "ipos", "key", "islots"]
+        )
 
     kind = items.schema[item_id].dataType.simpleString()
     rows = items.select(F.col(text).cast("string").alias("text"), F.col(item_id).alias("item"))
-    return map_slices(rows, "text", run, f"size int, item {kind}, ipos bigint, key bigint, islots array<string>")
+    return map_slices(rows, "text", run, f"size int, total int, item {kind}, ipos bigint, key bigint, islots array<string>")
 
 
 def leaks(
@@ -181,18 +185,16 @@ def leaks(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"))
     seen = map_slices(rows, "text", run, f"id {kind}, mark bigint, pos bigint, key bigint, slots array<string>")
-    total = items.groupBy("item").agg(F.count_distinct("ipos").alias("total"))
-    hits = seen.join(items.select("item", "ipos", "key", "islots"), "key")
+    hits = seen.join(items.drop("size"), "key")
     pair = F.transform(F.arrays_zip("islots", "slots"), lambda p: F.struct(p["islots"].alias("i"), p["slots"].alias("d")))
     aligned = (
         hits.withColumn("pair", pair)
         .groupBy("id", "mark", "item", (F.col("pos") - F.col("ipos")).alias("diagonal"))
-        .agg(F.size(F.collect_set("ipos")).alias("windows"), F.array_distinct(F.flatten(F.collect_set("pair"))).alias("pairs"))
+        .agg(F.min("total").alias("total"), F.size(F.collect_set("ipos")).alias("windows"), F.array_distinct(F.flatten(F.collect_set("pair"))).alias("pairs"))
     )
     consistent = F.size("pairs") == F.size(F.array_distinct("pairs.i"))
     verbatim = F.forall("pairs", lambda p: F.lower(p["i"]) == F.lower(p["d"]))
-    counted = aligned.join(total, aligned["item"].eqNullSafe(total["item"])).drop(total["item"])
-    ok = counted.where((F.col("windows") >= F.least(F.lit(min_windows), F.col("total"))) & consistent)
+    ok = aligned.where((F.col("windows") >= F.least(F.lit(min_windows), F.col("total"))) & consistent)
     return ok.groupBy("id", "mark", "item").agg(F.max("windows").alias("windows"), F.max(verbatim).alias("verbatim"))
 
 
