@@ -224,9 +224,12 @@ def read(source: str, key: str, question: str, context: str, name: str = "readin
     """``k, score, raw, ctx``: the default reader on every row of ``source``; no row if nothing can be read."""
     return f"""{name}_t AS (SELECT {key} AS k, {context} AS ctx, {terms(question)} AS qt, {sentences(context)} AS s FROM {source}),
 {name}_s AS (SELECT k, qt, ctx, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM {name}_t),
-{name} AS (SELECT k, ctx, len(list_intersect({terms('x')}, qt))::DOUBLE / greatest(len(qt), 1) AS score,
-    array_to_string(string_split(x, ' ')[1:{MAX_ANSWER_WORDS}], ' ') AS raw FROM {name}_s
-    QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(list_intersect({terms('x')}, qt)) DESC, i) = 1)"""
+{name}_b AS (SELECT k, ctx, qt, len(list_intersect({terms('x')}, qt))::DOUBLE / greatest(len(qt), 1) AS score, string_split(x, ' ') AS w FROM {name}_s
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(list_intersect({terms('x')}, qt)) DESC, i) = 1),
+{name}_w AS (SELECT *, array_to_string(w[j + 1:j + {MAX_ANSWER_WORDS}], ' ') AS raw
+    FROM (SELECT *, unnest(range(greatest(len(w) - {MAX_ANSWER_WORDS}, 0) + 1)) AS j FROM {name}_b)),
+{name} AS (SELECT k, ctx, score, raw FROM {name}_w
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(list_intersect({terms('raw')}, qt)) DESC, j) = 1)"""
 
 
 VEC = "embedding::DOUBLE[]"

@@ -10,7 +10,7 @@ from odqa_spark.functions import prompts, scoring, text, vectors
 from odqa_spark.functions.tokens import default_tokenizer
 from odqa_spark.operators import annotations, chunk, evaluate, knn, models, profile, retrieval, rows, spans, vector_table
 from odqa_spark.plans import corpus, indexing, qa, summaries
-from odqa_spark.session import scratch_path
+from odqa_spark.session import materialize, scratch_path
 from odqa_spark.sources import run_keys, tables
 from odqa_spark.streaming import jobs
 
@@ -597,7 +597,8 @@ def stream_qa(spark, sf):
         F.col("text").alias("question"),
         F.array("role").alias("answer"),
     )
-    _finish(jobs.stream_qa(questions, fx.passages(spark, sf), out, state, "stream", top_k=3, dim=models.HASH_DIM))
+    stored = materialize(fx.passages(spark, sf), "passages")
+    _finish(jobs.stream_qa(questions, stored, out, state, "stream", top_k=3, dim=models.HASH_DIM))
     return spark.read.parquet(out).select("row_idx", "predicted", _r6("score").alias("score"))
 
 

@@ -19,19 +19,30 @@ PASSAGES_TAG = "###Passages###"
 SPECIAL_SEPARATOR = "<sep>"
 PLAIN_SEPARATOR = "\n"
 
-# Per instruction version, the wanted share of the source length,
-# the least number of words (0 = not stated) and whether bullet points are asked for.
+# Per instruction version, the wanted share of the source length, the least number
+# of words (0 = not stated), whether bullet points are asked for, and the points that it stresses.
 INSTRUCTION_VERSIONS = {
-    "v2": ("half", 200, False),
+    "v2": ("half", 200, False, "noise", "evidence"),
     "v6": ("a third", 100, True),
     "v7": ("a third", 150, True),
     "v8": ("a third", 200, False),
-    "v9": ("half", 150, False),
-    "v10": ("half", 200, False),
-    "v11": ("half", 150, False),
-    "v12": ("half", 150, False),
-    "v13": ("", 0, False),
-    "v14": ("a third", 0, False),
+    "v9": ("half", 150, False, "intent"),
+    "v10": ("half", 200, False, "clarity", "noise"),
+    "v11": ("half", 150, False, "intent", "structure"),
+    "v12": ("half", 150, False, "intent", "structure", "exactness"),
+    "v13": ("", 0, False, "rough"),
+    "v14": ("a third", 0, False, "traps"),
+}
+
+POINTS = {
+    "noise": "Leave out whatever has no bearing on the question.",
+    "evidence": "Keep the statements that back the answer.",
+    "clarity": "Put precision before style.",
+    "intent": "Work out what the asker wants to know, and write towards that.",
+    "structure": "Another model reads your text to answer a short question: give it a clear order.",
+    "exactness": "Names, numbers and dates must stay exact.",
+    "rough": "The passages are chance cuts and may be flawed.",
+    "traps": "Drop wording that could pass for the answer but is not.",
 }
 
 READER_INSTRUCTION = (
@@ -56,7 +67,7 @@ ANSWER_PRESENT = "This part contains the answer: make it easy to find."
 ANSWER_ABSENT = "The answer is in another part: rewrite this one all the same."
 
 
-def instruction_text(length: str, min_words: int, bullets: bool) -> str:
+def instruction_text(length: str, min_words: int, bullets: bool, *points: str) -> str:
     lines = [INSTRUCTION_TAG, "Rewrite the passages so that they answer the question clearly."]
     if length:
         lines.append(f"Use about {length} of their length.")
@@ -64,6 +75,7 @@ def instruction_text(length: str, min_words: int, bullets: bool) -> str:
         lines.append(f"Write {min_words} words or more.")
     if bullets:
         lines.append("Use one bullet point per key element.")
+    lines += [POINTS[p] for p in points]
     lines.append("Keep the exact words of the answer, and use only what the passages say.")
     return "\n".join(lines) + "\n"
 

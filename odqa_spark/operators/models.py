@@ -205,29 +205,41 @@ ANSWER_TYPE = T.StructType([
 ])
 
 
+def _best_run(words: Column, known: Column, size: int) -> Column:
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))
+
+    def run(i: Column) -> Column:
+        text = F.array_join(F.slice(words, i + 1, size), " ")
+        return F.struct(F.size(F.array_intersect(terms(text), known)).alias("n"), (-i).alias("i"), text.alias("t"))
+
+    return F.array_max(F.transform(starts, run))["t"]
+
+
 def lexical_answer(question: Column, context: Column, max_words: int = MAX_ANSWER_WORDS) -> Column:
-    """Default reader: the head of the sentence that shares most terms with the question.
+    """Default reader: the words, ``max_words`` at most, of the sentence that shares most terms with the question.
 
-    ``score`` is the share of question terms found in it; null if the context has no sentence.
+    Of a longer sentence the run with most of these terms is taken, the first on ties.
+
+    ``score`` is the share of question terms found in the sentence; null if the context has no sentence.
     """
 
-    def info(best: Column, n_terms: Column) -> Column:
-        answer = F.substring_index(best["s"], " ", max_words)
-        start = F.instr(context, answer) - 1
-        return F.when(
-            best.isNotNull(),
-            F.struct(
-                (-best["o"] / F.greatest(n_terms, F.lit(1))).alias("score"),
+    def info(best: Column, known: Column) -> Column:
+        def found(answer: Column) -> Column:
+            start = F.instr(context, answer) - 1
+            return F.struct(
+                (-best["o"] / F.greatest(F.size(known), F.lit(1))).alias("score"),
                 start.alias("start"),
                 (start + F.length(answer)).alias("end"),
                 answer.alias("answer"),
-            ),
-        )
+            )
+
+        answer = let(F.split(best["s"], " ", -1), lambda words: _best_run(words, known, max_words))
+        return F.when(best.isNotNull(), let(answer, found))
 
     return let(
         terms(question),
         lambda known: let(
-            F.get(_ranked(known, sentences(context)), F.lit(0)), lambda best: info(best, F.size(known))
+            F.get(_ranked(known, sentences(context)), F.lit(0)), lambda best: info(best, known)
         ),
     )
 

@@ -12,13 +12,15 @@ from odqa_spark.session import materialize
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
-def with_row_idx(df: DataFrame, *keys: str) -> DataFrame:
+def with_row_idx(df: DataFrame, *keys: str, path: str | None = None) -> DataFrame:
     """Add a dense 0-based ``row_idx`` in the order of ``keys``, which must identify a row.
 
     Rows are range-partitioned by the whole key (a repeated first key column is
     split by the next ones) and numbered inside their partition; the numbered
     table is written to the shared folder, so partition numbers cannot change on
-    a retry. Only one count per partition goes through a window.
+    a retry. Only one count per partition goes through a window. With ``path`` the
+    numbered table is written there, for the caller to keep; otherwise it goes with
+    the application.
     """
     numbered = (
         df.repartitionByRange(*keys)
@@ -28,7 +30,11 @@ def with_row_idx(df: DataFrame, *keys: str) -> DataFrame:
         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
         .drop("_mid")
     )
-    stored = materialize(numbered, "row-idx")
+    if path is None:
+        stored = materialize(numbered, "row-idx")
+    else:
+        numbered.write.parquet(path)
+        stored = df.sparkSession.read.schema(numbered.schema).parquet(path)
     # one row per partition of the write: bounded by the number of shuffle partitions
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

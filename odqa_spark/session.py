@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import pathlib
 import tempfile
+import threading
 import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _SHIPPED = set()
+_MARKED = set()
+_SCOPES = threading.local()
 
 
 def build_session(app: str = "odqa_spark", master: str | None = None, **conf) -> SparkSession:
@@ -29,7 +33,9 @@ def build_session(app: str = "odqa_spark", master: str | None = None, **conf) ->
         b = b.master(master)
     for key, value in conf.items():
         b = b.config(key.replace("__", "."), value)
-    return b.getOrCreate()
+    session = b.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,8 +54,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/odqa_spark/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the application's part of the shared folder.
+
+    That part is deleted when the application's JVM ends; what was made inside a
+    ``scratch_scope`` goes when the scope ends.
+    """
+    root = f"{shared_dir(spark)}/odqa_spark/{spark.sparkContext.applicationId}"
+    if root not in _MARKED:
+        fs, path = hadoop_path(spark, root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MARKED.add(root)
+    made = f"{root}/{label}-{uuid.uuid4().hex}"
+    for paths in getattr(_SCOPES, "open", ()):
+        paths.append(made)
+    return made
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes the scratch paths made inside, once what they were made for is written elsewhere."""
+    paths: list[str] = []
+    _SCOPES.open = [*getattr(_SCOPES, "open", ()), paths]
+    try:
+        yield
+    finally:
+        _SCOPES.open = _SCOPES.open[:-1]
+        for made in paths:
+            fs, path = hadoop_path(spark, made)
+            fs.delete(path, True)
 
 
 def hadoop_path(spark: SparkSession, path: str):

@@ -16,7 +16,7 @@ from odqa_spark.operators.vector_table import append_passages, fresh_rows, once_
 from odqa_spark.plans.indexing import vector_rows
 from odqa_spark.plans.qa import qa_run
 from odqa_spark.schemas import TEXT_MAX, VECTOR_DIM
-from odqa_spark.session import hadoop_path
+from odqa_spark.session import hadoop_path, scratch_scope
 
 
 def _start(writer, checkpoint: str, period: str | None) -> StreamingQuery:
@@ -84,9 +84,14 @@ def stream_index(
 def stream_qa(
     questions: DataFrame, passages: DataFrame, out: str, checkpoint: str, config: str, period: str | None = None, **options
 ) -> StreamingQuery:
-    """Answer arriving questions against a static passage table; every batch owns one folder of ``out``."""
+    """Answer arriving questions against a static passage table; every batch owns one folder of ``out``.
+
+    Every batch searches all passages, so their vectors should be stored, not computed
+    columns. What a batch leaves in the shared folder is deleted after its commit.
+    """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        qa_run(batch, passages, config, **options).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        with scratch_scope(batch.sparkSession):
+            qa_run(batch, passages, config, **options).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _start(questions.writeStream.foreachBatch(answer), checkpoint, period)
