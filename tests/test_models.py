@@ -143,3 +143,20 @@ def test_completion_respects_the_cap(spark):
     df = spark.range(60).select(F.col("id").cast("string").alias("p")).coalesce(1)
     got = [int(r.c.text) for r in df.select(models.complete(F.col("p"), make, max_in_flight=8, parallel_tasks=2).alias("c")).collect()]
     assert 1 < max(got) <= 4
+
+
+def test_requests_of_all_tasks_share_one_cap(spark):
+    def make():
+        import time
+
+        def fn(prompt):
+            start = time.time()
+            time.sleep(0.05)
+            return f"{start} {time.time()}"
+
+        return fn
+
+    df = spark.range(48).repartition(4).select(F.col("id").cast("string").alias("p"))
+    spans = [tuple(map(float, r.c.text.split())) for r in df.select(models.complete(F.col("p"), make, max_in_flight=8).alias("c")).collect()]
+    at_once = max(sum(a <= t < b for a, b in spans) for t, _ in spans)
+    assert 2 <= at_once <= 8
