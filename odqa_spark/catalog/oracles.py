@@ -437,6 +437,14 @@ def all_sql() -> dict[str, str]:
         "contain_flags": f"{verdicts} SELECT row_idx, had AS in_retrieved, kept AS in_summary FROM j",
         "rescored_runs": f"{verdicts} SELECT row_idx, config, predicted, {r6('em')} AS score FROM j",
         "squad_f1": f"WITH {RUNS} SELECT row_idx, {r6(best_f1('answer', 'predicted'))} AS f1 FROM runs",
+        "squad_v2_f1": f"""WITH {RUNS},
+v AS (SELECT row_idx, CASE row_idx % 3 WHEN 0 THEN [''] WHEN 1 THEN ['the', answer[1]] ELSE answer END AS a,
+    CASE WHEN row_idx % 4 < 2 THEN '' ELSE predicted END AS p FROM runs),
+t AS (SELECT row_idx, {f1_tokens('p')} AS pt, list_filter(list_transform(a, lambda x: {f1_tokens('x')}), lambda g: len(g) > 0) AS gs FROM v),
+u AS (SELECT row_idx, pt, unnest(CASE WHEN len(gs) > 0 THEN gs ELSE [[]::VARCHAR[]] END) AS gt FROM t),
+o AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(gt), lambda g: least(len(list_filter(gt, lambda x: x = g)), len(list_filter(pt, lambda x: x = g))))), 0) AS same FROM u)
+SELECT row_idx, round(max(CASE WHEN len(gt) = 0 OR len(pt) = 0 THEN (CASE WHEN len(gt) = len(pt) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+  WHEN same > 0 THEN 2.0::DOUBLE * same / (len(gt) + len(pt)) ELSE 0.0::DOUBLE END), 6) AS f1 FROM o GROUP BY row_idx""",
         "eval_run_metrics": f"{verdicts} {metrics()}",
         "config_filter_eval": f"{verdicts} {metrics("contains(config, 'k10') AND NOT contains(config, 'r1')")}",
         "error_samples": f"""{verdicts},

@@ -102,6 +102,15 @@ def squad_f1(spark, sf):
     )
 
 
+def squad_v2_f1(spark, sf):
+    """Questions without an answer, empty answers beside others, empty predictions."""
+    i, first = F.col("row_idx"), F.get("answer", F.lit(0))
+    answer = F.when(i % 3 == 0, F.array(F.lit(""))).when(i % 3 == 1, F.array(F.lit("the"), first)).otherwise(F.col("answer"))
+    predicted = F.when(i % 4 < 2, "").otherwise(F.col("predicted"))
+    f1 = scoring.token_f1(answer, predicted, "squad_v2")
+    return fx.qa_runs(spark, sf).select("row_idx", _r6(f1).alias("f1"))
+
+
 def _rounded_metrics(m: DataFrame) -> DataFrame:
     return m.select(*[_r6(c).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
@@ -611,5 +620,5 @@ ALL = [
     reader_prompts, summarizer_prompts, prompt_completion, training_pairs, row_range, row_range_counts, run_key_names,
     published_configs, resummarize_join, extractive_condense, grouped_condense, lexical_read, qa_rows, qa_metrics,
     stream_chunks, stream_histogram, stream_index, stream_qa, stream_files, stream_running_histogram, knn_wide_ids,
-    wide_context, index_load, qa_published, qa_grouped_prompts, json_lines_scan, parquet_write, summary_table, corpus_profile,
+    wide_context, index_load, qa_published, qa_grouped_prompts, json_lines_scan, parquet_write, summary_table, corpus_profile, squad_v2_f1,
 ]

@@ -2,6 +2,7 @@ import random
 
 import brute
 import pytest
+from ranks import PATTERN, write_ranks
 from pyspark.sql import functions as F
 
 from odqa_spark.catalog import fixtures as fx
@@ -68,20 +69,19 @@ def test_chunks_cover_all_tokens(spark, sf):
         assert at == len(texts[doc])
 
 
-def test_chunks_with_a_trained_vocabulary(spark, sf):
-    tokenizers = pytest.importorskip("public_tokenizers")
+def test_chunks_with_a_trained_vocabulary(spark, sf, tmp_path):
     tiktoken = pytest.importorskip("tiktoken")
     import base64
 
-    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    path = write_ranks(tmp_path)
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
-    enc = tiktoken.Encoding("t", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    enc = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def pieces(s):
         return [enc.decode_single_token_bytes(t).decode("latin-1") for t in enc.encode_ordinary(s)]
 
     a = fx.articles(spark, sf).limit(30)
-    got = {(r.id, r.text) for r in chunk.token_chunks(a, 64, bpe_tokenizer(path, tokenizers.PATTERN)).collect()}
+    got = {(r.id, r.text) for r in chunk.token_chunks(a, 64, bpe_tokenizer(path, PATTERN)).collect()}
     want = {
         (i, t.encode("latin-1").decode("utf-8", errors="replace"))
         for r in a.collect() for i, t in brute.token_chunks(r.asDict(), 64, pieces)

@@ -2,6 +2,7 @@ import random
 
 import brute
 import pytest
+from ranks import PATTERN, write_ranks
 from pyspark.sql import functions as F
 
 from odqa_spark.catalog import fixtures as fx
@@ -108,10 +109,9 @@ def test_default_tokenizer_is_lossless(spark, sf):
         assert r.j == r.text and r.n == len(r.p) and r.p == brute.PIECE.findall(r.text)
 
 
-def test_bpe_tokenizer_round_trip(spark, sf):
-    tokenizers = pytest.importorskip("public_tokenizers")
+def test_bpe_tokenizer_round_trip(spark, sf, tmp_path):
     pytest.importorskip("tiktoken")
-    tok = bpe_tokenizer(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    tok = bpe_tokenizer(write_ranks(tmp_path), PATTERN)
     d = fx.table(spark, sf, "documents").select("text").limit(40)
     d = d.select("text", tok.pieces(F.col("text")).alias("p")).select("text", "p", tok.join(F.col("p")).alias("j"), tok.count(F.col("text")).alias("n"))
     for r in d.collect():
