@@ -83,9 +83,9 @@ class KeySketch:
                 yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(64)).astype(np.int64)), pa.array(bit)], ["word", "bit"])
 
         found = keys.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("k"))
-        rows = found.mapInArrow(words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+        rows = found.mapInArrow(words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
         bits = np.zeros(n_bits // 64, np.uint64)
-        bits[rows["word"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64).view(np.uint64)
+        bits[rows.column("word").to_numpy()] = rows.column("bit").to_numpy().view(np.uint64)
         return cls(bits)
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:

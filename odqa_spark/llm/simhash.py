@@ -204,7 +204,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, for all nodes of ``edges`` (a, b).
 
     Large-star and small-star rounds until the links are stars; every round is written to the
-    shared folder, so a lost executor costs one round at most.
+    shared folder, so a lost executor costs one round at most. Joins by sorting keep the
+    rounds away from the driver.
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(ordered, "links")
@@ -216,9 +217,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = state
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        big = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
+        small = big.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
         now = materialize(small.where("u <> v").distinct(), "links")
     else:
         raise RuntimeError(f"links did not become stars in {max_rounds} rounds")
@@ -241,7 +242,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     group = nodes.join(moved, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")
     )
-    return prints.join(group, "fp").select(id_col, "mark", "fp", "root", "component_id")
+    # written first: with plain exchanges on both sides Spark can split a fingerprint that many rows have
+    return prints.join(materialize(group, "groups"), "fp").select(id_col, "mark", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

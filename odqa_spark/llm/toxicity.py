@@ -36,6 +36,8 @@ MIN_SUPPORT = 5
 STRONG = 3.0
 _BINS = (1.0, 2.0, STRONG, 4.0)
 _FEATURES = 3 * 5 + 3 + 4
+#: A word of a training chain: lexicon entry, features, label.
+_TOKEN = np.dtype([("lex", "<u2"), ("f", "u1", 5), ("gold", "u1")])
 #: Bytes of the word beginnings that are looked at.
 _STEMS = (5, 6, 7, 8, 9)
 _TABLE = 1 << 20
@@ -232,17 +234,21 @@ def _training_chains(sample: DataFrame, keys: np.ndarray, evidence: np.ndarray)
         plain = np.flatnonzero(~has)
         has[plain[np.unique(text_of[plain], return_index=True)[1]]] = True
         kept = has[c.row]
-        values = np.stack([c.lex[kept], *(x[kept] for x in c.columns), gold[kept]], 1).astype(np.int32)
+        values = np.zeros(int(kept.sum()), _TOKEN)
+        values["lex"] = c.lex[kept]
+        for i, x in enumerate(c.columns):
+            values["f"][:, i] = x[kept]
+        values["gold"] = gold[kept]
         counts = np.bincount(c.row[kept], minlength=c.rows)
-        return pa.RecordBatch.from_arrays([list_array(pa.array(values.ravel()), counts[counts > 0] * values.shape[1])], ["chain"])
+        ends = np.cumsum(counts[counts > 0])
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(values, ends[:-1])], pa.binary())], ["chain"])
 
-    limit = 4 * PER_CLASS  # chains; those of other texts are like them
-    rows = map_slices(sample.select("text", "y"), "text", run, "chain array<int>")
-    got = rows.orderBy(F.xxhash64("chain")).limit(limit).toArrow().column(0).combine_chunks()
-    width = 1 + 5 + 1
-    lengths = np.asarray(got.value_lengths(), np.int64) // width if len(got) else np.zeros(0, np.int64)
-    flat = np.asarray(got.flatten(), np.int64).reshape(-1, width) if len(got) else np.zeros((0, width), np.int64)
-    return [flat[:, i] for i in range(width - 1)], flat[:, -1], lengths
+    limit = 2 * PER_CLASS  # chains; those of other texts are like them
+    rows = map_slices(sample.select("text", "y"), "text", run, "chain binary")
+    chains = rows.orderBy(F.xxhash64("chain")).limit(limit).toArrow().column(0).to_pylist()
+    lengths = np.array([len(x) for x in chains], np.int64) // _TOKEN.itemsize
+    flat = np.frombuffer(b"".join(chains), _TOKEN)
+    return [flat["lex"], *flat["f"].T], flat["gold"], lengths
 
 
 def _fit_field(features: list[np.ndarray], gold: np.ndarray, lengths: np.ndarray, n_words: int, rounds: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,6 +259,7 @@ def _fit_field(features: list[np.ndarray], gold: np.ndarray, lengths: np.ndarray
     size = n_words + 1 + _FEATURES + 4
     theta, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
     follows = (row[1:] == row[:-1]) if len(row) else np.zeros(0, bool)
+    gold = gold.astype(np.int64)
     seen = np.bincount(2 * gold[:-1][follows] + gold[1:][follows], minlength=4) if len(row) else np.zeros(4)
     n = max(len(row), 1)
     for step in range(1, rounds + 1):
