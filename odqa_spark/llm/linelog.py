@@ -138,11 +138,13 @@ def recurring_lines(
         .where(enough)
         .select("leaf", "masked", F.xxhash64("leaf", "words").alias("template"))
     )
+    # written first: with plain exchanges on both sides Spark can split a line that many documents have
+    templates = materialize(templates, "templates")
     used = materialize(filed.join(templates, ["leaf", "masked"]).select("id", "mark", "line", "first", "other", "template"), "template-lines")
     support = used.where("first").groupBy("template", "other").agg(F.count("*").alias("n"))
     support = support.groupBy("template").agg(F.sum("n").alias("docs"), F.count("*").alias("kinds"))
     recurring = support.where((F.col("docs") >= min_docs) & (F.col("kinds") >= F.col("docs") * min_spread)).select("template")
-    return used.join(recurring, "template", "left_semi").groupBy("id", "mark").agg(F.collect_set("line").alias("lines"))
+    return used.join(materialize(recurring, "recurring"), "template", "left_semi").groupBy("id", "mark").agg(F.collect_set("line").alias("lines"))
 
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
