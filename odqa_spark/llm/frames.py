@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from odqa_spark.session import materialize, scratch_path  # noqa: F401
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+SLICE_ROWS = 2048
 
 
 def fold(doc_id: str, parts: int) -> Column:
@@ -25,13 +26,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a string or binary column with about ``limit`` bytes each, one row at least."""
+    """Row ranges of a string or binary column with about ``limit`` bytes each, one row at least, ``SLICE_ROWS`` at most."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     at, n = 0, len(sizes)
     ends = np.cumsum(sizes)
     while at < n:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+        to = min(max(at + 1, int(np.searchsorted(ends, base + limit, "right"))), at + SLICE_ROWS)
         yield at, to
         at = to
 

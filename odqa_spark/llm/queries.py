@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from odqa_spark.llm import chat, decontaminate, hyperlang, linelog, ordinal, packing, simhash, toxicity, voronoi, warc
 from odqa_spark.llm.frames import fold, table
+from odqa_spark.session import spread
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, over all cores even where the table is one small file."""
+    return spread(table(spark, sf, "documents"))
 
 
 def _held_out(parts: int, rest: int):
@@ -20,12 +26,12 @@ def op1_voronoi_knn_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def op2_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Contaminated documents with the items they hold."""
-    found = decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    found = decontaminate.leaks(_documents(spark, sf), table(spark, sf, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "windows", "verbatim")
 
 
 def op3_hyperdimensional_langid(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = _documents(spark, sf)
     profiles = hyperlang.language_profiles(d.where(fold("doc_id", 3) != 1))
     named = d.select("doc_id", "text", _held_out(3, 1))
     pred = hyperlang.identify(named.select(F.struct("doc_id", "held_out").alias("row"), "text"), profiles, "row")
@@ -40,30 +46,30 @@ def op4_splittable_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_simhash_segments(spark: SparkSession, sf: str) -> DataFrame:
-    same = simhash.simhash_components(table(spark, sf, "documents"))
+    same = simhash.simhash_components(_documents(spark, sf))
     return same.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, sf, "documents"))
+    return packing.best_fit_packing(_documents(spark, sf))
 
 
 def op7_line_templates(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its lines of recurring templates taken out."""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"))
+    d = _documents(spark, sf).select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"))
     cleaned = linelog.without_recurring_lines(d)
     return cleaned.select("doc_id", "text", "n_lines", F.size(F.split("text", "\n", -1)).alias("n_kept"))
 
 
 def op8_crf_toxicity(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = _documents(spark, sf)
     model = toxicity.fit_toxicity(d, table(spark, sf, "labels"), fold("doc_id", 5) != 0)
     scored = toxicity.score_toxicity(d, model)
     return scored.select("doc_id", _held_out(5, 0), "score", "predicted", "spans")
 
 
 def op9_ordinal_quality(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = _documents(spark, sf)
     model = ordinal.fit_ordinal(d, table(spark, sf, "labels"), fold("doc_id", 5) != 0)
     return ordinal.grade(d, model).select("doc_id", _held_out(5, 0), "quality", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("keep"))
 

@@ -31,6 +31,7 @@ from odqa_spark.llm.frames import materialize
 PIVOTS = 256
 QUERIES_PER_GROUP = 512
 ROWS_PER_BLOCK = 32_768
+BLOCK_BYTES = 64 << 20
 _LIMIT = float(1 << 31)
 _SLACK = 1e-6  # relative, for distances in double precision
 
@@ -175,6 +176,7 @@ def voronoi_knn_join(
     dim = max(data.agg(size.alias("n")).first().n or 0, queries.agg(size.alias("n")).first().n or 0)
     if dim <= 0:
         return spark.createDataFrame([], result)
+    rows_per_block = max(1, min(rows_per_block, BLOCK_BYTES // (8 * dim)))
     d_packed = _packed(data, id_col, vector, dim)
 
     norm = F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
