@@ -5,9 +5,12 @@ words with digits as wildcards. In a leaf with enough documents a word stays in
 where enough documents have it at its place; other places are variable fields and become
 wildcards. A template that recurs across documents is boilerplate and its lines are dropped.
 
-Copies of whole documents are not boilerplate: they are left to near-duplicate removal. So the
-documents of a template are told apart by what else they hold, the smallest hash among the
-three-word windows of their other lines, and at least half of these marks must differ.
+Copies of whole documents are not boilerplate: they are left to near-duplicate removal. So a
+template needs enough independent documents, a number and not a share. What else a document holds
+gives it several marks, the smallest hashes of three-word windows under as many seeds; a document
+counts when in each mark it is the first that has it, so near copies count once. Windows are taken
+from lines that are in no candidate template. Only where these are less than a fifth of the
+document, as in copies, all its other lines give the marks.
 
 Words of lines that need no look (all but those in leaves with enough documents) never leave
 the scan: a filter of fixed size holds the leaves, and the joins after it are exact.
@@ -31,7 +34,8 @@ LEADING = 3
 MIN_DOCS = 10
 MIN_WORDS = 3
 MIN_CONSTANT = 0.5
-MIN_SPREAD = 0.5
+MARKS = 8
+MIN_OWN = 0.2
 WILD = np.uint64(0x2A)
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,42 +67,60 @@ class Lines:
         last = head + size
         window[np.concatenate([last - 1, last[size > 1] - 2])] = np.iinfo(np.uint64).max
         keep = size >= min_words
-        self.low = (np.minimum.reduceat(window, head) if len(head) else window)[keep]
+        self._window, self._head, self._keep = window, head, keep
         self.head, self.size, self.leaf, self.masked = head[keep], size[keep], leaf[keep].view(np.int64), masked[keep].view(np.int64)
         self.doc, self.line = (w.doc[head][keep], line[head][keep]) if len(head) else (head, head)
 
+    def low(self, seed: int) -> np.ndarray:
+        """The smallest window hash of each line under a seed."""
+        none = np.iinfo(np.uint64).max
+        with np.errstate(over="ignore"):
+            rank = mix(self._window ^ mix(np.full(1, seed + 1, np.uint64)))
+        rank[self._window == none] = none
+        return (np.minimum.reduceat(rank, self._head) if len(self._head) else rank)[self._keep]
+
     def codes(self, which: np.ndarray) -> pa.ListArray:
         parts = [self.code[h : h + n] for h, n in zip(self.head[which].tolist(), self.size[which].tolist())]
         flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         return list_array(pa.array(flat.view(np.int64)), self.size[which])
 
 
-def _filed(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """(id, mark, line, leaf, masked, first, other): the lines of a slice."""
-    ls = Lines(batch.column(0).to_pylist())
-    if not len(ls.doc):
-        return None
-    # first occurrence in its document, and the smallest window among the document's other lines
+def _firsts(ls: Lines) -> np.ndarray:
+    """Whether each line is the first of its kind in its document."""
     order = np.lexsort((np.arange(len(ls.doc)), ls.masked, ls.doc))
     d, m = ls.doc[order], ls.masked[order]
-    new = np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])])
     first = np.zeros(len(d), bool)
-    first[order[new]] = True
-    low, of = ls.low[order][new], d[new]
-    by = np.lexsort((low, of))
-    of, low = of[by], low[by]
-    head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    least = np.zeros(int(ls.doc.max()) + 1, np.uint64)
-    second = np.zeros_like(least)
-    least[of[head]] = low[head]
-    more = head[(head + 1 < len(of)) & (of[np.minimum(head + 1, len(of) - 1)] == of[head])]
-    second[of[more]] = low[more + 1]
-    other = np.where(ls.low == least[ls.doc], second[ls.doc], least[ls.doc])
-    take = pa.array(ls.doc)
-    return pa.RecordBatch.from_arrays(
-        [batch.column(1).take(take), batch.column(2).take(take), pa.array(ls.line.astype(np.int32)), pa.array(ls.leaf), pa.array(ls.masked), pa.array(first), pa.array(other.view(np.int64))],
-        ["id", "mark", "line", "leaf", "masked", "first", "other"],
-    )
+    first[order[np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])])]] = True
+    return first
+
+
+def _marks(ls: Lines, first: np.ndarray, candidate: np.ndarray) -> np.ndarray:
+    """For each candidate line the ``MARKS`` marks of its document."""
+    n = int(ls.doc.max()) + 1
+    windows = np.where(first, ls.size - 2, 0)
+    own = np.bincount(ls.doc, np.where(candidate, 0, windows), minlength=n)
+    every = np.bincount(ls.doc, windows, minlength=n)
+    at = np.flatnonzero(candidate)
+    doc = ls.doc[at]
+    by_own = own[doc] >= MIN_OWN * np.maximum(every[doc] - (ls.size[at] - 2), 1)
+    none = np.uint64(np.iinfo(np.uint64).max)
+    rows = np.flatnonzero(first)
+    out = np.empty((len(at), MARKS), np.uint64)
+    for seed in range(MARKS):
+        low = ls.low(seed)
+        least = np.full(n, none)
+        np.minimum.at(least, ls.doc[~candidate], low[~candidate])
+        # the two smallest of all different lines: the second where the first is the line's own
+        order = rows[np.lexsort((low[rows], ls.doc[rows]))]
+        d = ls.doc[order]
+        head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        one, two = np.full(n, none), np.full(n, none)
+        one[d[head]] = low[order[head]]
+        more = head[np.flatnonzero(np.diff(np.concatenate([head, [len(d)]])) > 1)] + 1
+        two[d[more]] = low[order[more]]
+        other = np.where(low[at] == one[doc], two[doc], one[doc])
+        out[:, seed] = np.where(by_own, least[doc], other)
+    return out
 
 
 def recurring_lines(
@@ -107,14 +129,18 @@ def recurring_lines(
     text: str = "text",
     min_docs: int = MIN_DOCS,
     min_constant: float = MIN_CONSTANT,
-    min_spread: float = MIN_SPREAD,
 ) -> DataFrame:
     """(id, mark, lines): the line numbers, from 0, that belong to recurring templates; mark is the text's hash."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"))
-    schema = f"id {kind}, mark bigint, line int, leaf bigint, masked bigint, first boolean, other bigint"
-    filed = materialize(map_slices(rows, "text", _filed, schema), "lines")
-    known = materialize(filed.where("first").groupBy("leaf", "masked").agg(F.count("*").alias("docs")), "masked-lines")
+
+    def filed(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ls = Lines(batch.column(0).to_pylist())
+        first = _firsts(ls)
+        return pa.RecordBatch.from_arrays([pa.array(ls.leaf[first]), pa.array(ls.masked[first])], ["leaf", "masked"])
+
+    firsts = map_slices(rows.select("text"), "text", filed, "leaf bigint, masked bigint")
+    known = materialize(firsts.groupBy("leaf", "masked").agg(F.count("*").alias("docs")), "masked-lines")
     leaves = materialize(known.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     sketch = KeySketch.of(leaves, "leaf")
 
@@ -140,10 +166,30 @@ def recurring_lines(
     )
     # written first: with plain exchanges on both sides Spark can split a line that many documents have
     templates = materialize(templates, "templates")
-    used = materialize(filed.join(templates, ["leaf", "masked"]).select("id", "mark", "line", "first", "other", "template"), "template-lines")
-    support = used.where("first").groupBy("template", "other").agg(F.count("*").alias("n"))
-    support = support.groupBy("template").agg(F.sum("n").alias("docs"), F.count("*").alias("kinds"))
-    recurring = support.where((F.col("docs") >= min_docs) & (F.col("kinds") >= F.col("docs") * min_spread)).select("template")
+    candidates = KeySketch.of(templates, "masked")
+
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ls = Lines(batch.column(0).to_pylist())
+        candidate = candidates.may_hold(ls.masked)
+        if not candidate.any():
+            return None
+        first = _firsts(ls)
+        marks = _marks(ls, first, candidate)
+        take = pa.array(ls.doc[candidate])
+        columns = [batch.column(1).take(take), batch.column(2).take(take), pa.array(ls.line[candidate].astype(np.int32))]
+        columns += [pa.array(x[candidate]) for x in (ls.leaf, ls.masked, first)]
+        return pa.RecordBatch.from_arrays(
+            [*columns, list_array(pa.array(marks.view(np.int64).ravel()), np.full(len(marks), MARKS))],
+            ["id", "mark", "line", "leaf", "masked", "first", "marks"],
+        )
+
+    schema = f"id {kind}, mark bigint, line int, leaf bigint, masked bigint, first boolean, marks array<bigint>"
+    found = materialize(map_slices(rows, "text", marked, schema), "candidate-lines")
+    used = materialize(found.join(templates, ["leaf", "masked"]).select("id", "mark", "line", "first", "marks", "template"), "template-lines")
+    holders = used.where("first").groupBy("template", F.xxhash64("id", "mark").alias("doc")).agg(F.min("marks").alias("marks"))
+    leads = holders.select("template", "doc", F.posexplode("marks").alias("slot", "value")).groupBy("template", "slot", "value").agg(F.min("doc").alias("doc"))
+    alone = leads.groupBy("template", "doc").agg(F.count("*").alias("n")).where(F.col("n") == MARKS)
+    recurring = alone.groupBy("template").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= min_docs).select("template")
     return used.join(materialize(recurring, "recurring"), "template", "left_semi").groupBy("id", "mark").agg(F.collect_set("line").alias("lines"))
 
 

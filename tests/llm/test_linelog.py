@@ -90,3 +90,30 @@ def test_wildcards_need_constant_words(spark):
     # same length and leading words, but less than half of the words constant
     rows = [(i, f"{_own(i)}\nsee the list " + " ".join(f"q{chr(97 + (i + k) % 26)}{chr(97 + i % 26)}{chr(97 + k)}" for k in range(9))) for i in range(26)]
     assert dict(_clean(spark, rows)) == dict(rows)
+
+
+def _text(tag, words):
+    return " ".join(f"{tag}{chr(97 + k % 26)}{chr(97 + k // 26)}q" for k in range(words))
+
+
+def test_passage_in_a_hot_copy_group_and_elsewhere(spark):
+    foot = "Subscribe to our letter now"
+    copy = "\n".join(_own(200 + k) for k in range(4))
+    rows = [(i, f"{copy}\n{foot}") for i in range(60)] + [(100 + i, f"{_own(i)}\n{foot}") for i in range(20)]
+    got = dict(_clean(spark, rows))
+    assert all(got[i] == copy for i in range(60))
+    assert all(got[100 + i] == _own(i) for i in range(20))
+
+
+def test_pages_with_several_shared_passages(spark):
+    shared = [_text(f"shared{x}", 60) for x in "abc"]
+    own = {i: _text(f"own{chr(97 + i)}", 60) for i in range(14)}
+    got = dict(_clean(spark, [(i, "\n".join([*shared, t])) for i, t in own.items()]))
+    assert got == own
+
+
+def test_near_copies_count_once(spark):
+    # copies of twenty lines with a line of their own each are no boilerplate
+    lines = [_text(f"line{chr(97 + k)}", 12) for k in range(20)]
+    rows = {i: "\n".join([*lines[:7], _text(f"new{chr(97 + i)}", 12), *lines[7:]]) for i in range(24)}
+    assert dict(_clean(spark, list(rows.items()))) == rows
