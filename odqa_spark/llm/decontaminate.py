@@ -7,11 +7,16 @@ of one document and item that lie on one diagonal are one alignment; it counts w
 windows (thirteen words), or all windows of a shorter item, and when the slots are
 consistent: the same value of the item always meets the same value in the document.
 
+What is a name follows from capitals, so each window is looked up in three readings, aligned each
+by itself: names as literal words, which no change of case can hide; names as slots where they
+stand inside a sentence; and, where a text has such a name at the start of a sentence too and
+never in small letters, those as slots as well.
+
 Only windows that may be in the benchmark leave the scan: a filter of fixed size, built from the
 benchmark's windows, is sent to the tasks; the join after it is exact.
 
 Defined cases: null and empty texts match nothing. Items shorter than a window are one window
-of their own length; items with fewer than five literal words match nothing. Repeated rows of
+of their own length; items with fewer than five literal words, names counted, match nothing. Repeated rows of
 documents or items each count. An empty benchmark leaves all documents.
 """
 
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odqa_spark.llm.frames import KeySketch, list_array, map_slices, materialize
-from odqa_spark.llm.tokens import among, hash_word, mix, words
+from odqa_spark.llm.tokens import Words, among, hash_word, mix, words
 
 WINDOW = 8
 LITERALS = 5
@@ -42,6 +47,8 @@ NUMBERS = (
 _ROOT = 0x9E3779B97F4A7C15 | 1
 #: Bytes after which a capital opens a sentence: text or line start, ! . : ?
 _BREAK = np.isin(np.arange(256), [0, 10, 33, 46, 58, 63])
+#: Readings of names: literal words, slots inside a sentence, slots at its start as well.
+LITERAL, INSIDE, ANYWHERE = READINGS = (0, 1, 2)
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -58,8 +65,8 @@ def _flag(size: int, at: np.ndarray) -> np.ndarray:
 class Templates:
     """Template words of a block of texts: code, text row and byte range of each."""
 
-    def __init__(self, texts: list[str | None]):
-        w = words(texts, cased=True)
+    def __init__(self, w: Words, reading: int = ANYWHERE):
+        self.reading = reading
         buf, low = w.cased, w.buffer
         start, end, doc, code = w.start, w.end, w.doc, w.hash.copy()
         self.buffer, self.n_texts = buf, w.n_texts
@@ -77,7 +84,15 @@ class Templates:
         before = np.concatenate([[0], end[:-1]])
         opens = (breaks[start] > breaks[before]) | (np.arange(len(start)) == 0)
         head = raised[np.minimum(start + 2, end)] > raised[start]
-        name = head & (raised[end] - raised[start] == 1) & (end - start > 1) & ~opens & ~number & ~unit
+        like_name = head & (raised[end] - raised[start] == 1) & (end - start > 1) & ~number & ~unit
+        name = like_name & ~opens if reading != LITERAL else np.zeros(len(start), bool)
+        if reading == ANYWHERE and name.any():
+            with np.errstate(over="ignore"):
+                of_text = mix(code + mix(doc.astype(np.uint64) + np.uint64(1)))
+            named = np.unique(of_text[name])
+            small = among(of_text, named) & (raised[end] == raised[start])
+            named = np.setdiff1d(named, of_text[small])
+            name |= like_name & among(of_text, named)
         kind = np.select([number, unit, name], [1, 2, 3], 0).astype(np.int8)
         code[number], code[unit], code[name] = NUMBER, UNIT, NAME
         # a run of names, and the parts of a number, are one slot
@@ -93,7 +108,7 @@ class Templates:
         if size <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         with np.errstate(over="ignore"):
-            h, power = np.full(size, np.uint64(n), np.uint64), np.uint64(1)
+            h, power = np.full(size, np.uint64(n + (self.reading << 32)), np.uint64), np.uint64(1)
             for i in range(n):
                 power = power * np.uint64(_ROOT)
                 h += self.code[i : i + size] * power
@@ -126,33 +141,43 @@ def _emit(t: Templates, batch: pa.RecordBatch, found: list[tuple[np.ndarray, np.
     take = pa.array(row)
     keep = [batch.column(i).take(take) for i in range(1, batch.num_columns)]
     place = pa.array(at - t.first_of_text()[row])
-    return pa.RecordBatch.from_arrays(keep + [place, pa.array(keys), list_array(flat, np.array([len(s) for s in slots]))], names)
+    reading = pa.array(np.full(len(at), t.reading, np.int32))
+    return pa.RecordBatch.from_arrays(keep + [reading, place, pa.array(keys), list_array(flat, np.array([len(s) for s in slots]))], names)
+
+
+def _joined(batches: list[pa.RecordBatch | None]) -> pa.RecordBatch | None:
+    some = [b for b in batches if b is not None]
+    return pa.Table.from_batches(some).combine_chunks().to_batches()[0] if some else None
 
 
 def _item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
-    """(size, total, item, ipos, key, islots): the windows of the benchmark; total is their number in the item's text."""
+    """(size, total, item, reading, ipos, key, islots): the windows of the benchmark; total is their number in the item's text."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        t = Templates(batch.column(0).to_pylist())
+    def read(w: Words, reading: int, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        t = Templates(w, reading)
         n = t.counts()
         found = []
         for size in sorted({min(window, int(c)) for c in n if c >= LITERALS}):
             at, key = t.windows(size)
             whole = (n[t.doc[at]] == size) if size < window else np.ones(len(at), bool)
             found.append((at[whole], key[whole], size))
-        out = _emit(t, batch, found, ["item", "ipos", "key", "islots"]) if found else None
+        out = _emit(t, batch, found, ["item", "reading", "ipos", "key", "islots"]) if found else None
         if out is None:
             return None
         sizes = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
         row = t.doc[np.concatenate([f[0] for f in found])]
         total = np.bincount(row)[row]
         return pa.RecordBatch.from_arrays(
-            [pa.array(sizes.astype(np.int32)), pa.array(total.astype(np.int32)), *out.columns], ["size", "total", "item", "ipos", "key", "islots"]
+            [pa.array(sizes.astype(np.int32)), pa.array(total.astype(np.int32)), *out.columns], ["size", "total", *out.schema.names]
         )
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        w = words(batch.column(0).to_pylist(), cased=True)
+        return _joined([read(w, r, batch) for r in READINGS])
+
     kind = items.schema[item_id].dataType.simpleString()
     rows = items.select(F.col(text).cast("string").alias("text"), F.col(item_id).alias("item"))
-    return map_slices(rows, "text", run, f"size int, total int, item {kind}, ipos bigint, key bigint, islots array<string>")
+    return map_slices(rows, "text", run, f"size int, total int, item {kind}, reading int, ipos bigint, key bigint, islots array<string>")
 
 
 def leaks(
@@ -170,26 +195,32 @@ def leaks(
     mark is the hash of the document's text.
     """
     items = materialize(_item_windows(benchmark, item_id, item_text, window), "benchmark-windows")
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most ``window`` values
+    # at most ``window`` values for each reading
+    sizes = [(r["reading"], r["size"]) for r in items.select("reading", "size").distinct().collect()]
     sketch = KeySketch.of(items, "key")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        t = Templates(batch.column(0).to_pylist())
+    def read(w: Words, reading: int, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        t = Templates(w, reading)
         found = []
-        for size in sizes:
-            at, key = t.windows(size)
-            may = sketch.may_hold(key)
-            found.append((at[may], key[may], size))
-        return _emit(t, batch, found, ["id", "mark", "pos", "key", "slots"]) if found else None
+        for of, size in sizes:
+            if of == reading:
+                at, key = t.windows(size)
+                may = sketch.may_hold(key)
+                found.append((at[may], key[may], size))
+        return _emit(t, batch, found, ["id", "mark", "reading", "pos", "key", "slots"]) if found else None
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        w = words(batch.column(0).to_pylist(), cased=True)
+        return _joined([read(w, r, batch) for r in READINGS])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"))
-    seen = map_slices(rows, "text", run, f"id {kind}, mark bigint, pos bigint, key bigint, slots array<string>")
-    hits = seen.join(items.drop("size"), "key")
+    seen = map_slices(rows, "text", run, f"id {kind}, mark bigint, reading int, pos bigint, key bigint, slots array<string>")
+    hits = seen.join(items.drop("size"), ["reading", "key"])
     pair = F.transform(F.arrays_zip("islots", "slots"), lambda p: F.struct(p["islots"].alias("i"), p["slots"].alias("d")))
     aligned = (
         hits.withColumn("pair", pair)
-        .groupBy("id", "mark", "item", (F.col("pos") - F.col("ipos")).alias("diagonal"))
+        .groupBy("id", "mark", "item", "reading", (F.col("pos") - F.col("ipos")).alias("diagonal"))
         .agg(F.min("total").alias("total"), F.size(F.collect_set("ipos")).alias("windows"), F.array_distinct(F.flatten(F.collect_set("pair"))).alias("pairs"))
     )
     consistent = F.size("pairs") == F.size(F.array_distinct("pairs.i"))
@@ -212,7 +243,7 @@ def template(text: Column) -> Column:
     def show(values):
         out = []
         for v in values:
-            t = Templates([v])
+            t = Templates(words([v], cased=True))
             names = {1: "<NUMBER>", 2: "<UNIT>", 3: "<NAME>"}
             out.append(" ".join(names.get(int(k)) or t.buffer[a:b].tobytes().decode("utf-8", "replace").lower() for k, a, b in zip(t.kind, t.start, t.end)))
         return type(values)(out, dtype=object)

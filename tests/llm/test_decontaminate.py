@@ -82,3 +82,20 @@ def test_query_matches_brute_force(spark, sf):
     items = [tuple(r) for r in table(spark, sf, "benchmark").select("item_id", "text").collect()]
     got = {(r.doc_id, r.item_id) for r in queries.op2_template_decontamination(spark, sf).collect()}
     assert got == _brute(docs, items) and got
+
+
+OPENERS = "Tom has 5 red apples. Tom buys 3 green apples. Tom gives 2 apples to Ann. How many apples does Tom have now?"
+
+
+def test_names_in_any_case_and_at_the_start_of_a_sentence(spark):
+    tail = " And then how the rest goes on is of no matter to anybody here."
+    docs = [
+        (1, ITEM.upper()),
+        (2, ITEM.lower()),
+        (3, OPENERS.replace("Tom", "Sam")),
+        (4, OPENERS.replace("Tom", "Sam").replace("Ann", "Eve").replace("5", "9") + tail),
+        (5, OPENERS.lower()),
+        (6, tail),
+    ]
+    got = _found(spark, docs, [(1, ITEM), (2, OPENERS)])
+    assert got == [(1, 1, True), (2, 1, True), (3, 2, False), (4, 2, False), (5, 2, True)]
