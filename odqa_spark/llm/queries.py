@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odqa_spark.llm import chat, decontaminate, hyperlang, linelog, ordinal, packing, simhash, toxicity, voronoi, warc
+from odqa_spark.llm import audit, chat, decontaminate, hyperlang, linelog, ordinal, packing, simhash, sketches, toxicity, voronoi, warc, whitening
 from odqa_spark.llm.frames import fold, table
 from odqa_spark.session import spread
 
@@ -81,6 +81,18 @@ def op10_prefix_target_chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digests(chat.format_chat(rows.unionByName(extra)))
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.interaction_audit(_documents(spark, sf), table(spark, sf, "labels"))
+
+
+def op12_paragraph_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.document_fingerprints(table(spark, sf, "documents"))
+
+
+def op13_chebyshev_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 ALL = [
     op1_voronoi_knn_join,
     op2_template_decontamination,
@@ -92,6 +104,9 @@ ALL = [
     op8_crf_toxicity,
     op9_ordinal_quality,
     op10_prefix_target_chat,
+    op11_filter_audit,
+    op12_paragraph_sketches,
+    op13_chebyshev_whitening,
 ]
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -144,8 +159,45 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)::INT AS mask
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask
+), f AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(f, bit)
+), o AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS fs, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+  SELECT array_to_string(fs, '') AS filter_order, step, bits[step] AS bit,
+    coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM o, (SELECT unnest(range(1, 6))::INT AS step)
+)
+SELECT part, filter_order, step::INT AS step,
+  coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (mask & bit > 0), 0)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step, bit, before
+"""
+
 ORACLES = {
     op1_voronoi_knn_join.__name__: _OP1,
     op4_splittable_warc.__name__: _OP4,
     op10_prefix_target_chat.__name__: _OP10,
+    op11_filter_audit.__name__: _OP11,
 }
