@@ -56,8 +56,8 @@ class KeySketch:
     """A Bloom filter of 64-bit keys with a fixed number of bits.
 
     Its size does not depend on the data, so it may be sent to every task. It has no false
-    negatives; what passes is joined exactly afterwards. With more keys than it is made for,
-    more rows pass, never fewer.
+    negatives; what passes is to be joined exactly afterwards. With more keys than it is made for,
+    more rows pass, never fewer, so nothing may be concluded from a row that passes.
     """
 
     PROBES = 3

@@ -24,6 +24,8 @@ from odqa_spark.llm.frames import SLICE_BYTES, map_slices, slices
 DIMENSIONS = 1024
 ORDER = 3
 MAX_PROFILE_BYTES = 64 << 20
+PIECE_CHARS = 1 << 18
+GRAMS = 1024  # vectors held at once
 _SPACE = 0x20
 _END = 0x0A  # never a letter: between documents
 _LETTER = np.zeros(0, bool)
@@ -41,17 +43,27 @@ def _letter_vector(code: int, dims: int) -> np.ndarray:
     return np.where(np.random.Generator(np.random.PCG64(code)).random(dims) < 0.5, -1, 1).astype(np.int8)
 
 
-@lru_cache(maxsize=65536)
-def _gram_vector(codes: tuple[int, ...], dims: int) -> np.ndarray:
-    out = np.ones(dims, np.int8)
-    for place, code in enumerate(codes):
-        out = out * np.roll(_letter_vector(code, dims), place)
-    return out
-
+def _pieces(text: str | None, order: int) -> Iterator[str]:
+    """A text in lower case between two spaces, long ones in pieces that hold each of its n-grams once.
 
-def _grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    A piece ends where letters stand on both sides, so that gaps stay whole, and goes on into the
+    next one by the letters of an n-gram that begins before the cut.
+    """
+    t = "\x20" + (text or "").lower() + "\x20"
+    at = 0
+    while len(t) - at > PIECE_CHARS + order:
+        cut = at + PIECE_CHARS
+        while cut + order < len(t) and not t[cut - 1 : cut + order - 2].isalpha():
+            cut += 1
+        if cut + order >= len(t):
+            break
+        yield t[at : cut + order - 1]
+        at = cut
+    yield t[at:]
+
+
+def _grams(raw: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes of the distinct n-grams, row per n-gram occurrence, index of its distinct n-gram)."""
-    raw = ["\x20" + (t or "").lower() + "\x20" for t in texts]
     codes = np.frombuffer("\x0a".join(raw).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(r) + 1 for r in raw], np.int64)
     row = np.repeat(np.arange(len(raw)), sizes)[: len(codes)]
@@ -97,9 +109,52 @@ def _grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _vectors(grams: np.ndarray, dims: int) -> np.ndarray:
-    out = np.empty((len(grams), dims), np.float32)
-    for i, g in enumerate(grams.tolist()):
-        out[i] = _gram_vector(tuple(g), dims)
+    """The product of each n-gram's letter vectors, each rotated by its place."""
+    letters, at = np.unique(grams, return_inverse=True)
+    at = at.reshape(grams.shape)
+    table = np.stack([_letter_vector(int(c), dims) for c in letters])
+    out = np.ones((len(grams), dims), np.int8)
+    for place in range(grams.shape[1]):
+        out *= np.roll(table, place, axis=1)[at[:, place]]
+    return out.astype(np.float32)
+
+
+def _bundles(texts: list[str | None], which: np.ndarray, n: int, dims: int, order: int) -> np.ndarray:
+    """``n`` profiles: the n-gram vectors of all texts, each added to the profile ``which`` of its text.
+
+    Texts go in pieces, and n-grams in blocks, so that memory is bounded for any text and alphabet.
+    """
+    out = np.zeros((n, dims))
+    held: list[str] = []
+    rows: list[int] = []
+
+    def add() -> None:
+        grams, row, index = _grams(held, order)
+        if not len(grams):
+            return
+        to = np.array(rows)[row]
+        by_gram = np.argsort(index, kind="stable")
+        to, index = to[by_gram], index[by_gram]
+        for a in range(0, len(grams), GRAMS):
+            b = min(a + GRAMS, len(grams))
+            lo, hi = np.searchsorted(index, [a, b])
+            used, place = np.unique(to[lo:hi], return_inverse=True)
+            counts = np.bincount(place * (b - a) + index[lo:hi] - a, minlength=len(used) * (b - a))
+            out[used] += counts.reshape(len(used), b - a).astype(np.float32) @ _vectors(grams[a:b], dims)
+
+    size = 0
+    for text, row in zip(texts, which.tolist()):
+        for piece in _pieces(text, order):
+            held.append(piece)
+            rows.append(row)
+            size += len(piece)
+            if size > PIECE_CHARS:
+                add()
+                held.clear()
+                rows.clear()
+                size = 0
+    if held:
+        add()
     return out
 
 
@@ -117,11 +172,7 @@ def language_profiles(train: DataFrame, text: str = "text", lang: str = "lang",
                 piece = batch.slice(a, b - a)
                 langs = np.array(piece.column(1).to_pylist(), object)
                 names, which = np.unique(langs.astype(str), return_inverse=True)
-                grams, row, index = _grams(piece.column(0).to_pylist(), order)
-                if not len(grams):
-                    continue
-                counts = np.bincount(which[row] * len(grams) + index, minlength=len(names) * len(grams))
-                sums = counts.reshape(len(names), -1).astype(np.float64) @ _vectors(grams, dims)
+                sums = _bundles(piece.column(0).to_pylist(), which, len(names), dims, order)
                 for name, v in zip(names, sums):
                     total[name] = total.get(name, 0) + v
         if total:
@@ -147,30 +198,18 @@ def language_profiles(train: DataFrame, text: str = "text", lang: str = "lang",
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text: str = "text", dims: int = DIMENSIONS, order: int = ORDER) -> DataFrame:
     """(id_col, lang_pred, score): the language whose profile has the largest cosine with the text's."""
     names = list(profiles)
-    matrix = np.stack([v / max(np.linalg.norm(v), 1e-30) for v in profiles.values()]).astype(np.float32) if names else None
+    matrix = np.stack([v / max(np.linalg.norm(v), 1e-30) for v in profiles.values()]) if names else None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         best, score = np.full(n, -1), np.zeros(n)
-        grams, row, index = _grams(batch.column(1).to_pylist(), order)
-        if len(grams) and names:
-            basis = _vectors(grams, dims)
-            near = basis @ matrix.T
-            # rows with letters, a bounded number of counters at a time
-            step = max(1, (1 << 21) // len(grams))
-            for a in range(0, n, step):
-                b = min(n, a + step)
-                lo, hi = np.searchsorted(row, [a, b])
-                if lo == hi:
-                    continue
-                counts = np.bincount((row[lo:hi] - a) * len(grams) + index[lo:hi], minlength=(b - a) * len(grams))
-                counts = counts.reshape(b - a, -1).astype(np.float32)
-                some = np.flatnonzero(counts.any(1))
-                size = np.linalg.norm(counts[some] @ basis, axis=1)
-                cosine = (counts[some] @ near).astype(np.float64) / np.maximum(size, 1e-30)[:, None]
-                pick = cosine.argmax(1)
-                best[a + some] = pick
-                score[a + some] = np.clip(cosine[np.arange(len(pick)), pick], 0.0, 1.0)
+        if names:
+            own = _bundles(batch.column(1).to_pylist(), np.arange(n), n, dims, order)
+            size = np.linalg.norm(own, axis=1)
+            some = np.flatnonzero(size)
+            cosine = (own[some] / size[some, None]) @ matrix.T
+            best[some] = cosine.argmax(1)
+            score[some] = np.clip(cosine.max(1, initial=-1.0), 0.0, 1.0)
         pred = pa.array([names[i] if i >= 0 else "und" for i in best.tolist()], pa.string())
         return pa.RecordBatch.from_arrays([batch.column(0), pred, pa.array(score)], [id_col, "lang_pred", "score"])
 

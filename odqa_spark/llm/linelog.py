@@ -13,7 +13,9 @@ from lines that are in no candidate template. Only where these are less than a f
 document, as in copies, all its other lines give the marks.
 
 Words of lines that need no look (all but those in leaves with enough documents) never leave
-the scan: a filter of fixed size holds the leaves, and the joins after it are exact.
+the scan: a filter of fixed size holds the leaves, another the lines of templates, and the joins
+after them are exact. A line that only the filter takes for a candidate is known by the join; its
+windows then count among the document's own, so the size of the filters changes no result.
 
 Defined cases: null texts stay null. Lines with fewer than three words, blank ones included,
 stay. A text of which all lines go becomes empty. Repeated rows are documents of their own.
@@ -36,6 +38,7 @@ MIN_WORDS = 3
 MIN_CONSTANT = 0.5
 MARKS = 8
 MIN_OWN = 0.2
+FILTER_BITS = 1 << 24
 WILD = np.uint64(0x2A)
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,33 +97,39 @@ def _firsts(ls: Lines) -> np.ndarray:
     return first
 
 
-def _marks(ls: Lines, first: np.ndarray, candidate: np.ndarray) -> np.ndarray:
-    """For each candidate line the ``MARKS`` marks of its document."""
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Unsigned values as longs of the same order."""
+    return (x ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _marks(ls: Lines, first: np.ndarray, candidate: np.ndarray) -> dict[str, np.ndarray]:
+    """For each candidate line: its windows, those of all and of sure own lines of the document, and
+    under each of the ``MARKS`` seeds the smallest hash of the line, of the sure own lines, and of all other lines."""
     n = int(ls.doc.max()) + 1
     windows = np.where(first, ls.size - 2, 0)
     own = np.bincount(ls.doc, np.where(candidate, 0, windows), minlength=n)
     every = np.bincount(ls.doc, windows, minlength=n)
     at = np.flatnonzero(candidate)
     doc = ls.doc[at]
-    by_own = own[doc] >= MIN_OWN * np.maximum(every[doc] - (ls.size[at] - 2), 1)
     none = np.uint64(np.iinfo(np.uint64).max)
     rows = np.flatnonzero(first)
-    out = np.empty((len(at), MARKS), np.uint64)
+    low, least, other = (np.empty((len(at), MARKS), np.uint64) for _ in range(3))
     for seed in range(MARKS):
-        low = ls.low(seed)
-        least = np.full(n, none)
-        np.minimum.at(least, ls.doc[~candidate], low[~candidate])
+        value = ls.low(seed)
+        sure = np.full(n, none)
+        np.minimum.at(sure, ls.doc[~candidate], value[~candidate])
         # the two smallest of all different lines: the second where the first is the line's own
-        order = rows[np.lexsort((low[rows], ls.doc[rows]))]
+        order = rows[np.lexsort((value[rows], ls.doc[rows]))]
         d = ls.doc[order]
         head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
         one, two = np.full(n, none), np.full(n, none)
-        one[d[head]] = low[order[head]]
+        one[d[head]] = value[order[head]]
         more = head[np.flatnonzero(np.diff(np.concatenate([head, [len(d)]])) > 1)] + 1
-        two[d[more]] = low[order[more]]
-        other = np.where(low[at] == one[doc], two[doc], one[doc])
-        out[:, seed] = np.where(by_own, least[doc], other)
-    return out
+        two[d[more]] = value[order[more]]
+        low[:, seed], least[:, seed] = value[at], sure[doc]
+        other[:, seed] = np.where(value[at] == one[doc], two[doc], one[doc])
+    counts = {"windows": ls.size[at] - 2, "every": every[doc], "own": own[doc]}
+    return {k: v.astype(np.int64) for k, v in counts.items()} | {"low": _ordered(low), "least": _ordered(least), "other": _ordered(other)}
 
 
 def recurring_lines(
@@ -129,6 +138,7 @@ def recurring_lines(
     text: str = "text",
     min_docs: int = MIN_DOCS,
     min_constant: float = MIN_CONSTANT,
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """(id, mark, lines): the line numbers, from 0, that belong to recurring templates; mark is the text's hash."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -142,7 +152,7 @@ def recurring_lines(
     firsts = map_slices(rows.select("text"), "text", filed, "leaf bigint, masked bigint")
     known = materialize(firsts.groupBy("leaf", "masked").agg(F.count("*").alias("docs")), "masked-lines")
     leaves = materialize(known.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    sketch = KeySketch.of(leaves, "leaf")
+    sketch = KeySketch.of(leaves, "leaf", filter_bits)
 
     def spelled(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ls = Lines(batch.column(0).to_pylist())
@@ -166,7 +176,7 @@ def recurring_lines(
     )
     # written first: with plain exchanges on both sides Spark can split a line that many documents have
     templates = materialize(templates, "templates")
-    candidates = KeySketch.of(templates, "masked")
+    candidates = KeySketch.of(templates, "masked", filter_bits)
 
     def marked(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ls = Lines(batch.column(0).to_pylist())
@@ -174,23 +184,35 @@ def recurring_lines(
         if not candidate.any():
             return None
         first = _firsts(ls)
-        marks = _marks(ls, first, candidate)
+        known = _marks(ls, first, candidate)
         take = pa.array(ls.doc[candidate])
         columns = [batch.column(1).take(take), batch.column(2).take(take), pa.array(ls.line[candidate].astype(np.int32))]
         columns += [pa.array(x[candidate]) for x in (ls.leaf, ls.masked, first)]
-        return pa.RecordBatch.from_arrays(
-            [*columns, list_array(pa.array(marks.view(np.int64).ravel()), np.full(len(marks), MARKS))],
-            ["id", "mark", "line", "leaf", "masked", "first", "marks"],
-        )
-
-    schema = f"id {kind}, mark bigint, line int, leaf bigint, masked bigint, first boolean, marks array<bigint>"
+        columns += [pa.array(known[c]) for c in ("windows", "every", "own")]
+        each = np.full(int(candidate.sum()), MARKS)
+        columns += [list_array(pa.array(known[c].ravel()), each) for c in ("low", "least", "other")]
+        names = ["id", "mark", "line", "leaf", "masked", "first", "windows", "every", "own", "low", "least", "other"]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"id {kind}, mark bigint, line int, leaf bigint, masked bigint, first boolean, windows bigint, every bigint, own bigint, "
+    schema += "low array<bigint>, least array<bigint>, other array<bigint>"
     found = materialize(map_slices(rows, "text", marked, schema), "candidate-lines")
-    used = materialize(found.join(templates, ["leaf", "masked"]).select("id", "mark", "line", "first", "marks", "template"), "template-lines")
+    found = materialize(found.join(templates, ["leaf", "masked"], "left").drop("leaf"), "template-lines")
+    # lines that the filter let pass but no template has are the document's own
+    own = found.where("first and template is null").groupBy("id", "mark", "masked").agg(F.first("windows").alias("windows"), F.first("low").alias("low"))
+    own = own.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.sum("windows").alias("more"), F.array(*[F.min(F.get("low", F.lit(i))) for i in range(MARKS)]).alias("lower")
+    )
+    used = found.where("template is not null").join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    by_own = F.col("own") + F.coalesce("more", F.lit(0)) >= F.greatest(F.col("every") - F.col("windows"), F.lit(1)) * MIN_OWN
+    of_own = F.when(F.col("lower").isNull(), F.col("least")).otherwise(F.zip_with("least", "lower", lambda a, b: F.least(a, b)))
+    used = used.select("id", "mark", "line", "first", "template", F.when(by_own, of_own).otherwise(F.col("other")).alias("marks"))
     holders = used.where("first").groupBy("template", F.xxhash64("id", "mark").alias("doc")).agg(F.min("marks").alias("marks"))
     leads = holders.select("template", "doc", F.posexplode("marks").alias("slot", "value")).groupBy("template", "slot", "value").agg(F.min("doc").alias("doc"))
     alone = leads.groupBy("template", "doc").agg(F.count("*").alias("n")).where(F.col("n") == MARKS)
     recurring = alone.groupBy("template").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= min_docs).select("template")
-    return used.join(materialize(recurring, "recurring"), "template", "left_semi").groupBy("id", "mark").agg(F.collect_set("line").alias("lines"))
+    lines = found.where("template is not null").select("id", "mark", "line", "template")
+    return lines.join(materialize(recurring, "recurring"), "template", "left_semi").groupBy("id", "mark").agg(F.collect_set("line").alias("lines"))
 
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

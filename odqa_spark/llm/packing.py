@@ -6,8 +6,8 @@ opened in the size that costs least per token it can still be filled with, given
 to pack; the cost of a bin is its length plus a fixed overhead. At the end each bin shrinks to
 the smallest permitted length that holds its contents.
 
-Rows are dealt in rounds to shards of equal size, whatever their keys are, and each shard is
-packed on its own; a shard holds lengths and ids only.
+Pieces are counted, then dealt in rounds to shards of equal size, whatever their keys are, and each
+shard is packed on its own; a shard holds lengths and ids only.
 
 Defined cases: texts without tokens get one row with bin null; ids may be null or repeat, each
 row is packed for itself. Empty input: no rows.
@@ -95,7 +95,8 @@ def best_fit_packing(
     rows = docs.select(F.col(id_col).alias("id"), count.cast("bigint").alias("n"))
     cuts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(largest).cast("bigint")))
     pieces = rows.select("id", "n", cuts.alias("token_start")).select("id", "token_start", F.least(F.col("n") - F.col("token_start"), F.lit(largest)).alias("n_tokens"))
-    shards = max(1, -(-docs.count() // shard_rows))
+    n_pieces = rows.agg(F.sum(F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("n") / largest))).alias("n")).first()["n"] or 0
+    shards = max(1, -(-n_pieces // shard_rows))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

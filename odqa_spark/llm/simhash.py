@@ -11,12 +11,6 @@ Equal fingerprints are one node. Cells with many nodes are cut into blocks that
 pair, and each pair of blocks gives only a spanning forest of its links; components come from
 alternating star operations on the links, all in Spark.
 
-Documents alike by the exact Jaccard similarity of their word shingles are another matter: at 0.8
-one fingerprint of all shingles differs in about ten bits. So ``similar_groups`` takes several
-fingerprints, each of the three shingles that a seed puts first; a cell is the whole count vector.
-Two texts meet in a cell with about the cube of their similarity, 0.51 for 0.8, so twelve seeds
-miss two pairs in 10,000 at 0.8 and fewer above. Every link is verified on the shingle sets.
-
 Defined cases: null and wordless texts have fingerprint zero and link like others. Rows with a
 null id have a fingerprint and the component of their fingerprint's group; a group without any
 id has none. Repeated rows are rows like others.
@@ -30,21 +24,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odqa_spark.llm.frames import KeySketch, list_array, map_slices, materialize
-from odqa_spark.llm.tokens import mix, text_of
+from odqa_spark.llm.frames import map_slices, materialize
+from odqa_spark.llm.tokens import text_of
 
 SHINGLE = 3
 DISTANCE = 3
 SEED = 42
 CELL_ROWS = 32
 BLOCK_ROWS = 1024
-#: Of ``similar_groups``: words of a shingle, least similarity, seeded fingerprints of a text.
-WIDE_SHINGLE = 5
-SIMILAR = 0.8
-SEEDS = 12
 _PAIRS = 0x5555555555555555
 #: The primes of XXH64.
 _PRIMES = tuple(
@@ -260,126 +250,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return prints.join(materialize(group, "groups"), "fp").select(id_col, "mark", "fp", "root", "component_id")
 
 
-def _sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted shingle hashes of all texts in turn, text row of each, set size and set hash of each text)."""
-    hashes, of = _shingles(texts, n)
-    hashes = hashes[np.lexsort((hashes, of))]
-    new = np.concatenate([[True], (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])]) if len(of) else np.zeros(0, bool)
-    hashes, of = hashes[new], of[new]
-    size = np.bincount(of, minlength=len(texts))
-    total = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(size)
-    with np.errstate(over="ignore"):
-        if len(some):
-            total[some] = np.add.reduceat(mix(hashes), (np.cumsum(size) - size)[some])
-        return hashes, of, size, mix(total + size.astype(np.uint64)).view(np.int64)
-
-
-def seeded_fingerprints(hashes: np.ndarray, of: np.ndarray, size: np.ndarray, seeds: int = SEEDS) -> np.ndarray:
-    """One row per text that has shingles: for each seed the SimHash of the three shingles that the seed puts first."""
-    some = size[size > 0]
-    head = np.cumsum(some) - some
-    out = np.zeros((len(some), seeds), np.uint64)
-    last = np.uint64(np.iinfo(np.uint64).max)
-    with np.errstate(over="ignore"):
-        for s in range(seeds if len(some) else 0):
-            rank = mix(hashes + mix(np.full(1, s + 1, np.uint64)))
-            first = []
-            for _ in range(3):
-                least = np.minimum.reduceat(rank, head)
-                first.append(mix(~least))
-                rank[rank == np.repeat(least, some)] = last
-            a, b, c = first
-            # of two shingles the bits both have, of one its own
-            c = np.where(some > 2, c, np.uint64(0))
-            b, c = np.where(some > 1, b, a), np.where(some > 1, c, a)
-            out[:, s] = (a & b) | (a & c) | (b & c)
-    return out
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b) of ``pairs`` whose shingle sets have Jaccard similarity ``least`` or more."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}"))
-    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-    both = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
-    return both.where(F.col("common") / (F.col("n") - F.col("common")) >= least).select("a", "b")
-
-
-def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WIDE_SHINGLE, least: float = SIMILAR, seeds: int = SEEDS
-) -> DataFrame:
-    """(id_col, mark, root) for every row: texts linked by Jaccard similarity ``least`` or more of their word shingles have one root.
-
-    In each cell neighbours in order are verified first; only what is then still in different
-    components and meets in a cell is verified pair by pair. Texts with the same shingles are one node.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("mark"))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row per group of near copies (``simhash_components``): that with the smallest id.
 
-    def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, of, size, node = _sets(batch.column(1).to_pylist(), n)
-        prints = seeded_fingerprints(hashes, of, size, seeds).view(np.int64)
-        per_text = np.where(size > 0, seeds, 0)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(node), pa.array(size.astype(np.int32)), list_array(pa.array(prints.ravel()), per_text)],
-            [id_col, "mark", "node", "n", "prints"],
-        )
-
-    schema = f"`{id_col}` {kind}, mark bigint, node bigint, n int, prints array<bigint>"
-    marks = materialize(map_slices(rows, "text", sketched, schema), "similar-prints")
-    nodes = marks.groupBy("node").agg(F.first("n").alias("n"), F.first("prints").alias("prints"))
-    cells = nodes.select("node", "n", F.posexplode("prints").alias("seed", "fp")).select("seed", _counts(F.col("fp")).alias("cell"), "node", "n")
-    here = Window.partitionBy("seed", "cell").orderBy("node")
-    chain = cells.select("*", F.lag("node").over(here).alias("before"), F.lag("n").over(here).alias("n_before"), F.lead("node").over(here).alias("after"))
-    # only cells where something meets are kept
-    cells = materialize(chain.where("before is not null or after is not null").drop("after"), "similar-cells")
-    # sets of sizes too far apart cannot be alike
-    sizes = lambda x, y: F.least(x, y) / F.greatest(x, y) >= least
-    pairs = cells.where(sizes(F.col("n"), F.col("n_before"))).select(F.col("before").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialize(pairs, "similar-pairs")
-
-    meeting = cells.select("node").distinct()
-    sketch = KeySketch.of(meeting, "node")
-
-    def spelled(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        hashes, _, size, node = _sets(batch.column(0).to_pylist(), n)
-        kept = sketch.may_hold(node) & (size > 0)
-        kept[np.setdiff1d(np.arange(len(node)), np.unique(node, return_index=True)[1])] = False
-        values = hashes[np.repeat(kept, size)].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(node[kept]), list_array(pa.array(values), size[kept])], ["node", "shingles"])
-
-    sets = map_slices(rows.select("text"), "text", spelled, "node bigint, shingles array<bigint>")
-    sets = materialize(sets.join(meeting, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
-    linked = materialize(_verified(pairs, sets, least), "similar-links")
-    near = components(linked)
-    # what meets in a cell and is in different components yet
-    rooted = cells.select("seed", "cell", "node", "n").join(near.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialize(rooted, "similar-rooted")
-    mixed = rooted.groupBy("seed", "cell").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("seed", "cell")
-    mixed = materialize(rooted.join(mixed, ["seed", "cell"], "left_semi"), "similar-mixed")
-    other = mixed.select("seed", "cell", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    apart = mixed.withColumnRenamed("node", "a").join(other.hint("merge"), ["seed", "cell"]).where("a < b and root <> root_b")
-    apart = apart.where(sizes(F.col("n"), F.col("n_b"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    late = materialize(_verified(materialize(apart, "similar-apart"), sets, least), "similar-late")
-    if not late.isEmpty():
-        near = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
-    group = materialize(near, "similar-roots")
-    return marks.join(group, "node", "left").select(id_col, "mark", F.coalesce("root", "node").alias("root"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row per group of near copies (``similar_groups``): that with the smallest id.
-
-    Rows with a null id cannot be named as copies and stay.
+    Of rows of that id in one group the text with the smallest hash stays, once. Rows with a null id
+    cannot be named as copies and stay.
     """
-    same = materialize(similar_groups(docs, id_col, text).where(F.col(id_col).isNotNull()), "similar-groups")
-    best = same.groupBy("root").agg(F.min(F.struct(id_col, "mark")).alias("best"))
-    rows = same.groupBy(id_col, "mark", "root").agg(F.count("*").alias("_llm_n")).join(best, "root")
-    loses = F.struct(id_col, "mark") != F.col("best")
+    same = materialize(simhash_components(docs, id_col, text, n, distance).where(F.col(id_col).isNotNull()), "near-copies")
+    rows = same.groupBy(F.col(id_col).alias("_llm_id"), F.col("mark").alias("_llm_mark"), "root", "component_id").agg(F.count("*").alias("_llm_n"))
+    heads = rows.where("_llm_id = component_id")
+    first = heads.groupBy("root").agg(F.min("_llm_mark").alias("first"))
+    heads = heads.join(first, "root").withColumn("_llm_loses", F.col("_llm_mark") != F.col("first"))
     # only rows that go, or that stand there twice, are joined back to the texts
-    known = rows.select(F.col(id_col).alias("_llm_id"), F.col("mark").alias("_llm_mark"), "_llm_n", loses.alias("_llm_loses")).where("_llm_loses or _llm_n > 1")
+    known = rows.where("_llm_id <> component_id").withColumn("_llm_loses", F.lit(True)).unionByName(heads.drop("first"))
+    known = known.where("_llm_loses or _llm_n > 1").select("_llm_id", "_llm_mark", "_llm_n", "_llm_loses")
     at = (F.col(id_col) == F.col("_llm_id")) & (F.xxhash64(F.col(text)) == F.col("_llm_mark"))
     joined = docs.join(known, at, "left")
     single = joined.where("_llm_n is null").select(*docs.columns)
-    double = joined.where("_llm_n > 1 and not _llm_loses").dropDuplicates(["_llm_id"]).select(*docs.columns)
+    double = joined.where("_llm_n > 1 and not _llm_loses").dropDuplicates(["_llm_id", "_llm_mark"]).select(*docs.columns)
     return single.unionByName(double)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odqa_spark.llm.frames import list_array, map_slices, slices
+from odqa_spark.llm.frames import list_array, map_slices, materialize, slices
 from odqa_spark.llm.labelled import labelled_sample
 from odqa_spark.llm.tokens import Words, hash_cut, hash_prefix, mix, words
 
@@ -219,8 +219,11 @@ def _lexicon(sample: DataFrame, lexicon: int) -> tuple[np.ndarray, np.ndarray]:
     return key[order], top["e"].to_numpy(float)[order]
 
 
-def _training_chains(sample: DataFrame, keys: np.ndarray, evidence: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(feature columns, labels, chain lengths): per sampled text its chains with evidence and one without."""
+def _training_chains(sample: DataFrame, keys: np.ndarray, evidence: np.ndarray, per_class: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(feature columns, labels, chain lengths): per sampled text its chains with evidence and one without.
+
+    Of the chains from texts of each class ``per_class`` at most, those with the smallest hash.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         c = _Chains(batch.column(0).to_pylist(), keys, evidence)
@@ -241,11 +244,12 @@ def _training_chains(sample: DataFrame, keys: np.ndarray, evidence: np.ndarray)
         values["gold"] = gold[kept]
         counts = np.bincount(c.row[kept], minlength=c.rows)
         ends = np.cumsum(counts[counts > 0])
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(values, ends[:-1])], pa.binary())], ["chain"])
+        chains = pa.array([x.tobytes() for x in np.split(values, ends[:-1])], pa.binary())
+        return pa.RecordBatch.from_arrays([chains, pa.array(y[text_of[counts > 0]].astype(np.int32))], ["chain", "y"])
 
-    limit = 2 * PER_CLASS  # chains; those of other texts are like them
-    rows = map_slices(sample.select("text", "y"), "text", run, "chain binary")
-    chains = rows.orderBy(F.xxhash64("chain")).limit(limit).toArrow().column(0).to_pylist()
+    rows = materialize(map_slices(sample.select("text", "y"), "text", run, "chain binary, y int"), "chains")
+    picked = [rows.where(F.col("y") == y).orderBy(F.xxhash64("chain"), "chain").limit(per_class) for y in (0, 1)]
+    chains = picked[0].unionByName(picked[1]).select("chain").toArrow().column(0).to_pylist()
     lengths = np.array([len(x) for x in chains], np.int64) // _TOKEN.itemsize
     flat = np.frombuffer(b"".join(chains), _TOKEN)
     return [flat["lex"], *flat["f"].T], flat["gold"], lengths
@@ -297,9 +301,13 @@ def _fit_link(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", id_col: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, lexicon: int = LEXICON
+    docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", id_col: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, lexicon: int = LEXICON,
+    chains_per_class: int | None = None,
 ) -> ToxicModel:
-    """A model from at most ``per_class`` labelled rows of each class (label 1: toxic, others: clean)."""
+    """A model from at most ``per_class`` labelled rows of each class (label 1: toxic, others: clean).
+
+    The field is fitted on at most ``chains_per_class`` chains from the texts of each class, by default as many as rows.
+    """
     flags = labels.select(F.col(id_col), (F.col(label) == 1).cast("int").alias("_llm_y"), usable.alias("_llm_use"))
     sample, counts = labelled_sample(docs, flags, "_llm_y", per_class, F.col("_llm_use"), id_col, text)
     none = np.zeros(0, np.uint64)
@@ -308,7 +316,7 @@ def fit_toxicity(
         share = counts.get(1, 0.0) / total if total else 0.0
         return ToxicModel(none, np.zeros(0), np.zeros(0), np.zeros(_FEATURES), np.zeros((2, 2)), np.zeros(4), share)
     keys, evidence = _lexicon(sample, lexicon)
-    features, gold, lengths = _training_chains(sample, keys, evidence)
+    features, gold, lengths = _training_chains(sample, keys, evidence, chains_per_class or per_class)
     word_w, w, trans = _fit_field(features, gold, lengths, len(keys)) if len(lengths) else (np.zeros(len(keys)), np.zeros(_FEATURES), np.zeros((2, 2)))
     model = ToxicModel(keys, evidence, word_w, w, trans, np.zeros(4))
 

@@ -3,7 +3,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from odqa_spark.llm import packing
+from odqa_spark.llm import packing, queries
+from odqa_spark.llm.frames import table
 
 SCHEMA = "doc_id bigint, text string, n string, bin_id string, id string"
 
@@ -53,3 +54,39 @@ def test_word_count(spark):
     rows = [(None, 0), ("", 0), ("  ", 0), ("a", 1), (" a\n\nb\t c ", 3)]
     df = spark.createDataFrame(rows, "text string, n int")
     assert df.where(packing.word_count(F.col("text")) != F.col("n")).count() == 0
+
+
+def test_shards_are_counted_in_pieces(spark):
+    # few texts of many pieces: a shard is bounded by what it holds, not by texts
+    df = spark.createDataFrame([(i, "w " * 5000) for i in range(8)], "doc_id bigint, text string")
+    got = packing.best_fit_packing(df, sizes=(16, 64), shard_rows=100)
+    per_shard = got.groupBy(F.shiftright("bin_id", 32).alias("shard")).agg(F.count("*").alias("n")).collect()
+    assert len(per_shard) == 7 and max(r.n for r in per_shard) <= 100
+
+
+def test_query_against_plain_best_fit(spark, sf):
+    """Bins of the whole table by the rule written out, one shard."""
+    rows = [(r.doc_id, len((r.text or "").split())) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+    largest, sizes, overhead = max(packing.SIZES), sorted(packing.SIZES), packing.OVERHEAD
+    pieces = [(min(n - at, largest), i, at) for i, n in rows for at in range(0, n, largest)]
+    pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
+    bins = []
+    for k, (need, _, _) in enumerate(pieces):
+        # of bins with the same room the one that got it last
+        fitting = [b for b in bins if b[0] - sum(b[1]) >= need]
+        if fitting:
+            b = min(fitting, key=lambda b: (b[0] - sum(b[1]), -b[2]))
+            b[1].append(need)
+            b[2] = k
+            continue
+        cost = {}
+        for size in (s for s in sizes if s >= need):
+            fill = need + min(size - need, sum(n for n, _, _ in pieces[k + 1 :] if n <= size - need))
+            cost.setdefault((size + overhead) / fill, size)
+        bins.append([cost[min(cost)], [need], k])
+    want = sorted((min(s for s in sizes if s >= sum(held)), sorted(held)) for _, held, _ in bins)
+    got = {}
+    for r in queries.op6_best_fit_packing(spark, sf).collect():
+        if r.bin_id is not None:
+            got.setdefault((r.bin_id, r.bin_size), []).append(r.n_tokens)
+    assert sorted((s, sorted(v)) for (_, s), v in got.items()) == want

@@ -96,56 +96,18 @@ def test_query_matches_brute_force(spark, sf):
     assert sorted(tuple(r) for r in queries.op5_simhash_segments(spark, sf).collect()) == want
 
 
-def brute_similar(docs, n=5, least=0.8):
-    """{id: smallest id of its group}: groups linked by Jaccard similarity of word shingles, pair by pair."""
-    sets = {}
-    for i, t in docs:
-        w = (t or "").encode().lower().split()
-        sets[i] = {b" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
-    left, root = set(sets), {}
-    holders = {}
-    for i, s in sets.items():
-        for x in s or {b""}:
-            holders.setdefault(x, set()).add(i)
-    while left:
-        group, todo = set(), [left.pop()]
-        while todo:
-            a = todo.pop()
-            group.add(a)
-            met = set().union(*(holders[x] for x in sets[a] or {b""})) & left
-            near = {b for b in met if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
-            left -= near
-            todo += near
-        root |= {a: min(group) for a in group}
-    return root
+def test_one_of_each_keeps_the_smallest_id(spark, sf):
+    docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+    prints = {i: brute_fingerprint(t) for i, t in docs}
+    root = brute_components(set(prints.values()))
+    first = {}
+    for i, p in prints.items():
+        first[root[p]] = min(i, first.get(root[p], i))
+    assert len(first) < len(docs)
+    assert sorted(r.doc_id for r in simhash.one_of_each(table(spark, sf, "documents")).collect()) == sorted(first.values())
 
 
-def _near_copy_texts():
-    rng = random.Random(11)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    docs = []
-    for g in range(40):
-        w = [word() for _ in range(rng.choice([9, 60, 150, 400]))]
-        docs.append(w)
-        for _ in range(4):
-            c = list(w)
-            # every changed word takes five shingles away: similarities from 0.6 to 0.97
-            for at in rng.sample(range(len(c)), max(1, round(len(c) * rng.choice([0.005, 0.015, 0.022, 0.03, 0.05])))):
-                c[at] = word()
-            docs.append(c)
-        docs.append(w[:-1])
-    rng.shuffle(docs)
-    return [(i, " ".join(w)) for i, w in enumerate(docs)]
-
-
-def test_one_of_each_matches_brute_force_jaccard(spark):
-    docs = _near_copy_texts()
-    df = spark.createDataFrame([(i, t, "x", "x", "x") for i, t in docs], SCHEMA)
-    root = brute_similar(docs)
-    assert len(docs) > len(set(root.values())) > 40
-    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(set(root.values()))
-
-
-def test_one_of_each_on_documents(spark, sf):
-    docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
-    assert sorted(r.doc_id for r in simhash.one_of_each(table(spark, sf, "documents")).collect()) == sorted(set(brute_similar(docs).values()))
+def test_one_of_each_with_a_repeated_id_in_two_groups(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "quite other words in here"), (1, "quite other words in here"), (4, "A b c d")]
+    df = spark.createDataFrame([(i, t, "x", "x", "x") for i, t in rows], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(df).collect()) == [(1, "a b c d"), (1, "quite other words in here")]
