@@ -422,6 +422,7 @@ def all_sql() -> dict[str, str]:
     chars = histogram("length(text)", CHAR_EDGES)
     token_hist = histogram(DOC_TOKENS, TOKEN_EDGES)
     verdicts = f"WITH {RUNS}, {judged()}"
+    stream_index = f"SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, CAST({EMBEDDING_DIM} AS INTEGER) AS dim, CAST(length(text) AS INTEGER) AS n_chars, CASE WHEN length(text) <= {SHORT_TEXT} THEN 'accepted' ELSE 'text' END AS status FROM documents"
     return {
         "token_stats": f"WITH {ARTICLES} SELECT id, title, text, {token_count('title || chr(10) || text')} AS token_length, "
         "CAST(length(text) AS BIGINT) AS text_length FROM a",
@@ -511,7 +512,7 @@ FROM runs LEFT JOIN readings ON k = row_idx""",
         "qa_metrics": QA_METRICS,
         "stream_chunks": TOKEN_CHUNKS,
         "stream_histogram": token_hist,
-        "stream_index": f"SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, CAST({EMBEDDING_DIM} AS INTEGER) AS dim, CAST(length(text) AS INTEGER) AS n_chars, CASE WHEN length(text) <= {SHORT_TEXT} THEN 'accepted' ELSE 'text' END AS status FROM documents",
+        "stream_index": stream_index,
         "stream_qa": STREAM_QA,
         "stream_files": TOKEN_CHUNKS,
         "stream_running_histogram": chars,
@@ -520,6 +521,25 @@ FROM runs LEFT JOIN readings ON k = row_idx""",
 SELECT row_idx, CAST((SELECT count(*) FROM top WHERE q_id = row_idx) AS INTEGER) AS n_psgs, ctx.retrieved FROM runs JOIN ctx ON q_id = row_idx""",
         "index_load": f"""SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN length(text) > {SHORT_TEXT} THEN 'text' ELSE 'accepted' END AS status,
   CAST({EMBEDDING_DIM} AS INTEGER) AS dim FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i >= {INDEX_START}""",
+        "knn_block_join": knn(),
+        "reduced_context": f"WITH {PAIRS}, {searched('p', 'row_idx', 'question', 3)} SELECT q_id, retrieved FROM ctx",
+        "resumed_completion": f"""WITH {RUNS}, q AS (SELECT row_idx, {READER_PROMPT} retrieved AS t FROM runs)
+SELECT row_idx, CASE WHEN length(t) % 5 = 0 THEN '' ELSE length(t) || ' characters' END AS completion,
+  CASE WHEN length(t) % 5 = 0 THEN 'ValueError: no luck' END AS error,
+  CAST((SELECT count(DISTINCT t) FROM q) AS INTEGER) AS first_calls, CAST(0 AS INTEGER) AS second_calls FROM q""",
+        "index_counts": f"""WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, length(text) <= {SHORT_TEXT} AS ok, e.embedding IS NULL AS absent
+  FROM documents LEFT JOIN embeddings e ON vec_id = doc_id
+), l AS (
+  SELECT 1 AS load, true AS fresh, * FROM d WHERE i >= {INDEX_START} UNION ALL SELECT 2, i < {INDEX_START}, * FROM d
+), c AS (
+  SELECT load, unnest(['rows', 'held', 'embedded', 'accepted', 'rejected', 'duplicate']) AS what,
+    unnest([count(*), count(*) FILTER (NOT fresh), count(*) FILTER (fresh AND absent), count(*) FILTER (fresh AND ok),
+      count(*) FILTER (fresh AND NOT ok), 0]) AS n FROM l GROUP BY load
+  UNION ALL SELECT 0, CASE WHEN ok THEN 'accepted' ELSE 'rejected' END, count(*) FROM d GROUP BY ok
+) SELECT CAST(load AS INTEGER) AS load, what, CAST(n AS BIGINT) AS n FROM c""",
+        "stream_state": stream_index,
+        "paced_chunks": f"SELECT *, CAST(4 AS INTEGER) AS batches, true AS paced FROM ({TOKEN_CHUNKS})",
         "qa_published": QA_METRICS.replace("'k3_sum' AS config", "unnest(['db.docs.3_third.1_reader', 'db.docs.3_third.1_reader^2']) AS config"),
         "qa_grouped_prompts": GROUPED_PROMPTS,
         "json_lines_scan": f"""SELECT CAST(doc_id AS VARCHAR) AS example_id, text AS document_text, array_to_string(string_split(text, ' ')[1:5], ' ') AS question_text,

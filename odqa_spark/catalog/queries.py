@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from odqa_spark.catalog import fixtures as fx
 from odqa_spark.functions import prompts, scoring, text, vectors
 from odqa_spark.functions.tokens import default_tokenizer
-from odqa_spark.operators import annotations, chunk, evaluate, knn, models, profile, retrieval, rows, spans, vector_table
+from odqa_spark.operators import annotations, chunk, completion, evaluate, knn, models, profile, retrieval, rows, spans, vector_table
 from odqa_spark.plans import corpus, indexing, qa, summaries
 from odqa_spark.session import materialize, scratch_path
 from odqa_spark.sources import run_keys, tables
@@ -164,6 +164,14 @@ def knn_join(spark, sf):
     return knn.topk_join(q, p, TOP_K, dim=EMBEDDING_DIM).select("q_id", "p_id", _r6("score").alias("score"), "rank")
 
 
+def knn_block_join(spark, sf):
+    """The same search with a question set beyond the bound: both sides in about twenty blocks."""
+    q, p = _vector_sides(spark, sf)
+    block = 8 * EMBEDDING_DIM * max(1, p.count() // 20)
+    found = knn.topk_join(q, p, TOP_K, dim=EMBEDDING_DIM, broadcast_bytes=block)
+    return found.select("q_id", "p_id", _r6("score").alias("score"), "rank")
+
+
 def knn_mips_l2(spark, sf):
     q, p = _vector_sides(spark, sf)
     found = knn.topk_join_l2(q, p, TOP_K, dim=EMBEDDING_DIM)
@@ -198,9 +206,20 @@ def masked_mean_pool(spark, sf):
     return e.select("vec_id", F.posexplode(pooled).alias("pos", "x")).select("vec_id", "pos", _r6("x").alias("x"))
 
 
-def retrieved_context(spark, sf):
+def _question_vectors(spark, sf):
     q = fx.qa_pairs(spark, sf).select(F.col("row_idx").alias("q_id"), models.embed(F.col("question")).alias("q_vec"))
-    return retrieval.collect_context(retrieval.retrieve(q, fx.passages(spark, sf), 3, dim=models.HASH_DIM)).select("q_id", "retrieved")
+    return materialize(q, "question-vectors")
+
+
+def retrieved_context(spark, sf):
+    found = retrieval.retrieve(_question_vectors(spark, sf), fx.passages(spark, sf), 3, dim=models.HASH_DIM)
+    return retrieval.collect_context(found).select("q_id", "retrieved")
+
+
+def reduced_context(spark, sf):
+    """The same contexts where the ranked ids are too many to be broadcast."""
+    found = retrieval.retrieve(_question_vectors(spark, sf), fx.passages(spark, sf), 3, block_bytes=0, dim=models.HASH_DIM)
+    return retrieval.collect_context(found).select("q_id", "retrieved")
 
 
 def hashed_embed(spark, sf):
@@ -353,6 +372,32 @@ def prompt_completion(spark, sf):
     return done.select("row_idx", F.col("done.text").alias("completion"), F.col("done.error").alias("error"))
 
 
+def resumed_completion(spark, sf):
+    """Completions asked for twice: the second time all answers are there, and the model is not called."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted():
+        reply = _length_model()
+
+        def call(prompt: str) -> str:
+            calls.add(1)
+            return reply(prompt)
+
+        return call
+
+    store = scratch_path(spark, "completions")
+    r = fx.qa_runs(spark, sf).select("row_idx", "question", "retrieved")
+    prompt = prompts.reader_prompt(F.col("question"), F.col("retrieved"))
+    made = []
+    for _ in range(2):
+        done = completion.complete_stored(r, prompt, counted, store, "stand-in", retry_failed=False)
+        made.append(calls.value)
+    return done.select(
+        "row_idx", F.col("text").alias("completion"), "error", F.lit(made[0]).alias("first_calls"),
+        F.lit(made[1] - made[0]).alias("second_calls"),
+    )
+
+
 def training_pairs(spark, sf):
     """Failed, missing and written summaries by label; two tables as one."""
     raw = annotations.add_answer_texts(annotations.with_short_answer(fx.nq_raw(spark, sf)))
@@ -370,9 +415,9 @@ def training_pairs(spark, sf):
 
 
 def row_range(spark, sf):
-    d = rows.with_row_idx(fx.table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id")
+    d = rows.numbered_rows(fx.table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id")
     name, start, end = rows.split_range("train[100:]")
-    return rows.row_slice(d, start, end).select("row_idx", "doc_id", "lang")
+    return d.slice(start, end).select("row_idx", "doc_id", "lang")
 
 
 def row_range_counts(spark, sf):
@@ -463,10 +508,15 @@ def wide_context(spark, sf):
     return found.select("row_idx", F.size("psgs").alias("n_psgs"), "retrieved")
 
 
+def _numbered_articles(spark, sf):
+    stored = _checkable_rows(spark, sf).withColumnRenamed("vec", "embeddings")
+    return rows.numbered_rows(stored.withColumn("doc_id", F.col("id").cast("bigint")), "doc_id")
+
+
 def index_load(spark, sf):
     """A range of rows loaded twice; embeddings that are not stored are computed."""
     name = "vectors_" + scratch_path(spark, "index").rsplit("-", 1)[1]
-    rows_ = rows.with_row_idx(_checkable_rows(spark, sf).withColumnRenamed("vec", "embeddings").withColumn("doc_id", F.col("id").cast("bigint")), "doc_id")
+    rows_ = _numbered_articles(spark, sf)
     for _ in range(2):
         indexing.load_index(rows_, name, scratch_path(spark, "index"), INDEX_START, None, dim=EMBEDDING_DIM, max_text=SHORT_TEXT)
     kept, lost = spark.table(name), spark.table(f"{name}_rejected")
@@ -475,6 +525,16 @@ def index_load(spark, sf):
     )
 
 
+def index_counts(spark, sf):
+    """What the passes of two loads counted: a range of rows, then all rows."""
+    name, path = "vectors_" + scratch_path(spark, "index").rsplit("-", 1)[1], scratch_path(spark, "index")
+    rows_ = _numbered_articles(spark, sf)
+    loads = [indexing.load_index(rows_, name, path, start, None, dim=EMBEDDING_DIM, max_text=SHORT_TEXT) for start in (INDEX_START, 0)]
+    counted = [(i + 1, what, n) for i, seen in enumerate(loads) for what, n in seen.items()]
+    stored = spark.table(f"{name}_rows").groupBy(F.lit(0).alias("load"), F.col("status").alias("what")).agg(F.count("*").alias("n"))
+    return spark.createDataFrame(counted, "load int, what string, n bigint").unionByName(stored)
+
+
 def qa_published(spark, sf):
     """Two runs of one configuration: named, versioned, published, scored from what is stored."""
     root = scratch_path(spark, "published")
@@ -593,11 +653,40 @@ def stream_index(spark, sf):
     name, _ = _new_table(spark)
     state = scratch_path(spark, "state")
     _finish(jobs.stream_index(fx.as_articles(_stream(spark, sf)), name, state, dim=EMBEDDING_DIM, max_text=SHORT_TEXT, partitions=_cores(spark)))
+    return _stored_articles(spark, name)
+
+
+def _stored_articles(spark, name):
     shown = ["id", "title", F.size("vec").alias("dim"), F.length("text").alias("n_chars")]
     kept = spark.table(name).select(*shown, F.lit("accepted").alias("status"))
     return kept.unionByName(spark.table(f"{name}_rejected").select(*shown, F.col("reject_reason").alias("status")))
 
 
+def stream_state(spark, sf):
+    """Four files with repeated ids, a restart after the second: each article is stored once, by keyed state."""
+    name, _ = _new_table(spark)
+    source, state = scratch_path(spark, "files"), scratch_path(spark, "state")
+    d = fx.table(spark, sf, "documents")
+    schema = fx.as_articles(d).schema
+    for start in range(2):
+        arriving = d.where((F.col("doc_id") % 2 == start) | (F.col("doc_id") % 3 == 0))
+        again = arriving.where("doc_id % 5 = 0")
+        fx.as_articles(arriving.unionByName(again)).repartition(2).write.mode("append").parquet(source)
+        articles = tables.stream_parquet(spark, source, schema, max_files=1)
+        _finish(jobs.stream_new_articles(articles, name, state, dim=EMBEDDING_DIM, max_text=SHORT_TEXT, partitions=_cores(spark)))
+    return _stored_articles(spark, name)
+
+
+def paced_chunks(spark, sf):
+    """Four files, a batch each second, ended after the last; how many batches there were, and whether each waited for a second of its own."""
+    source, out, state = (scratch_path(spark, x) for x in ("files", "chunks", "state"))
+    fx.as_articles(fx.table(spark, sf, "documents")).repartition(4, "id").write.parquet(source)
+    articles = tables.stream_parquet(spark, source, spark.read.parquet(source).schema, max_files=1)
+    batches = jobs.drained(jobs.stream_chunks(articles, out, state, period="1 second", partitions=_cores(spark)))
+    seconds = {b["start"][:19] for b in batches}
+    return spark.read.parquet(out).withColumns({"batches": F.lit(len(batches)), "paced": F.lit(len(seconds) == len(batches))})
+
+
 def stream_qa(spark, sf):
     """User turns as arriving questions, keyed by conversation and turn."""
     out, state = scratch_path(spark, "qa"), scratch_path(spark, "state")
@@ -621,4 +710,5 @@ ALL = [
     published_configs, resummarize_join, extractive_condense, grouped_condense, lexical_read, qa_rows, qa_metrics,
     stream_chunks, stream_histogram, stream_index, stream_qa, stream_files, stream_running_histogram, knn_wide_ids,
     wide_context, index_load, qa_published, qa_grouped_prompts, json_lines_scan, parquet_write, summary_table, corpus_profile, squad_v2_f1,
+    knn_block_join, reduced_context, resumed_completion, index_counts, stream_state, paced_chunks,
 ]

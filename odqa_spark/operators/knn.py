@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from odqa_spark.functions.vectors import as_double, finite, squared_norm, with_aux_dim
 from odqa_spark.session import materialize
 
-BROADCAST_BYTES = 64 << 20  # question matrices are sent to every executor in blocks up to this size
+BROADCAST_BYTES = 64 << 20  # question matrices up to this size are sent to every executor; blocks of larger joins have it too
 BLOCK_BYTES = 64 << 20  # largest score matrix or product held at once inside a task
+NORM_CLASSES = 16  # passages are cut into blocks within so many classes of their norm
+ROUND_GROWTH = 8  # each round of blocks is so many times the one before
+SLACK = 1e-9  # relative; rounding of norms and scores stays far below it
 MERGE_PARTS = 64  # task winners of one question meet in so many places before they meet in one
 
 
@@ -41,9 +44,9 @@ def _exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _TopK:
     """Running best ``k`` passages of every question, ties to the lower passage id."""
 
-    def __init__(self, questions: np.ndarray, k: int, metric: str):
+    def __init__(self, questions: np.ndarray, k: int, metric: str, floor: np.ndarray | None = None):
         self.q, self.k, self.metric = questions, k, metric
-        self.floor = np.full(len(questions), -np.inf)
+        self.floor = np.full(len(questions), -np.inf) if floor is None else floor.copy()
         self.best: pd.DataFrame | None = None  # the first batch sets the type of the ids
         self.q_sq = (questions**2).sum(axis=1)
         self.q_max = self.q_sq[np.isfinite(self.q_sq)].max(initial=0.0)
@@ -127,12 +130,13 @@ def topk_join(
     ``metric`` is ``ip`` (larger is better) or ``l2`` (score is the negated distance).
     ``dim``, if known, saves a look at the first question.
 
-    Passage vectors are never shuffled, whatever the number of questions: every
-    task multiplies its Arrow batches with a block of the question matrix and
-    emits its own ``k`` best per question. Blocks stay under ``broadcast_bytes``;
-    more of them mean more scans of the passages, which are then written to the
-    shared folder first, so that computed vectors are computed once. Task winners
-    are ranked in two steps, first among the tasks of a part, then by question.
+    A question matrix of up to ``broadcast_bytes`` is sent to every executor: passage
+    vectors are not shuffled then, every task multiplies its Arrow batches with the
+    matrix and emits its own ``k`` best per question. Task winners are ranked in two
+    steps, first among the tasks of a part, then by question. More questions meet the
+    passages in blocks (``_block_join``); the driver then gets counts and norms of blocks,
+    never a question. Both sides are read more than once, so computed vectors should be
+    stored before.
     """
     if metric not in ("ip", "l2"):
         raise ValueError(f"metric must be 'ip' or 'l2', not {metric!r}")
@@ -142,23 +146,114 @@ def topk_join(
         T.StructField("p_id", p.schema["p_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    # one row more than fits shows that the matrix is over the limit, without fetching the rest
+    # counting stops at one row more than fits
     max_rows = max(1, broadcast_bytes // (8 * (dim or _dimension(q))))
-    head = q.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        partial = _block_topk(head, p, k, metric, schema)
-    else:
-        q, p = materialize(q, "questions"), materialize(p, "vectors")
-        blocks = 2 * (-(-q.count() // max_rows))  # hashed rows spread unevenly over blocks
-        own = F.pmod(F.xxhash64("q_id"), F.lit(blocks))
-        partial = reduce(
-            DataFrame.unionByName, (_block_topk(q.where(own == b).toArrow(), p, k, metric, schema) for b in range(blocks))
-        )
+    if q.limit(max_rows + 1).count() > max_rows:
+        return _block_join(q, p, k, metric, schema, max_rows)
+    return _merged(_block_topk(q.toArrow(), p, k, metric, schema), k)
+
+
+def _merged(partial: DataFrame, k: int) -> DataFrame:
     part = F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS))
     some = _best(partial.withColumn("_part", part), k, "q_id", "_part").drop("_part", "rank")
     return _best(some, k, "q_id")
 
 
+def _in_blocks(p: DataFrame, block_rows: int) -> tuple[Column, list[dict]]:
+    """(block of a passage, ``block, low, high`` of every block): classes of falling norm, each cut by hash."""
+    steps = [i / NORM_CLASSES for i in range(1, NORM_CLASSES)]
+    cuts = sorted(set(p.agg(F.percentile_approx("norm", steps, 10_000)).first()[0] or []), reverse=True)
+    kind = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("norm") < c)) if cuts else F.lit(0)
+    sizes = {r["c"]: r["n"] for r in p.groupBy(kind.alias("c")).agg(F.count("*").alias("n")).collect()}
+    counts = [-(-sizes.get(c, 0) // block_rows) for c in range(len(cuts) + 1)]
+    first = [sum(counts[:c]) for c in range(len(counts))]
+    place = F.pmod(F.xxhash64("p_id"), F.greatest(F.get(F.array(*map(F.lit, counts)), kind), F.lit(1)))
+    block = (F.get(F.array(*map(F.lit, first)), kind) + place).cast("int")
+    norms = p.groupBy(block.alias("block")).agg(F.min("norm").alias("low"), F.max("norm").alias("high")).orderBy("block").collect()
+    return block, [r.asDict() for r in norms]
+
+
+def _hopeless(metric: str, block: Column) -> Column:
+    """Whether no passage of a block can be among the best of a question with ``norm`` and ``floor``."""
+    q, floor = F.col("norm"), F.col("floor")
+    if metric == "ip":
+        out = q * block["high"] * (1 + SLACK) < floor - F.abs(floor) * SLACK
+    else:
+        gap = F.greatest(block["low"] - q, q - block["high"], F.lit(0.0)) - (q + block["high"]) * SLACK
+        out = ~F.isnan(gap) & (gap < float("inf")) & (gap > -floor * (1 + SLACK))
+    return F.coalesce(out, F.lit(False))
+
+
+def _block_join(q: DataFrame, p: DataFrame, k: int, metric: str, schema: T.StructType, block_rows: int) -> DataFrame:
+    """The search where the question matrix is too large to be sent to every executor.
+
+    Passages are cut into blocks of about ``block_rows``, largest norms first. Questions are
+    sent to the blocks in rounds, each ``ROUND_GROWTH`` times as many blocks as the one before: after
+    a round every question knows the score of its ``k`` best so far, and it is sent only to
+    blocks whose norms allow a better one. In a block's task the passages come first and
+    stay, the questions stream past in batches and leave with what reaches their score. Every
+    passage is shuffled once, every question once per block that it needs.
+    """
+    norm = lambda vec: F.sqrt(squared_norm(as_double(F.col(vec))))
+    same = q.schema["q_vec"].dataType == p.schema["p_vec"].dataType
+    vector = lambda vec: F.col(vec) if same else as_double(F.col(vec))
+    q = materialize(q.select("q_id", vector("q_vec").alias("vec"), norm("q_vec").alias("norm")), "questions")
+    p = materialize(p.select("p_id", vector("p_vec").alias("vec"), norm("p_vec").alias("norm")), "vectors")
+    block, blocks = _in_blocks(p, block_rows)
+    none = lambda name: F.lit(None).cast(schema[name].dataType).alias(name)
+    best = q.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+    at, size = 0, 1
+    while at < len(blocks):
+        now, at, size = blocks[at : at + size], at + size, size * ROUND_GROWTH
+        asking = q.join(best.where(F.col("rank") == k).select("q_id", F.col("score").alias("floor")), "q_id", "left")
+        if metric == "ip":
+            # blocks that no question needs are not read
+            least = F.when(F.col("norm") > 0, F.col("floor") / F.col("norm"))
+            reach = asking.agg(F.min(F.coalesce(least, F.lit(float("-inf"))))).first()[0]
+            now = [b for b in now if reach is None or not b["high"] * (1 + SLACK) < reach - abs(reach) * SLACK]
+        if not now:
+            continue
+        spans = F.from_json(F.lit(json.dumps(now)), "array<struct<block int, low double, high double>>", {"allowNonNumericNumbers": "true"})
+        needed = F.explode(F.filter(spans, lambda b: ~_hopeless(metric, b)))
+        asked = asking.select("q_id", "vec", "floor", needed.alias("b"))
+        sides = (
+            p.select(block.alias("block"), F.lit(0).alias("side"), "p_id", none("q_id"), "vec", F.lit(None).cast("double").alias("floor"))
+            .where(F.col("block").isin([b["block"] for b in now]))
+            .unionByName(asked.select("b.block", F.lit(1).alias("side"), none("p_id"), "q_id", "vec", "floor"))
+        )
+        met = sides.repartition("block").sortWithinPartitions("block", "side").mapInArrow(_solver(k, metric, schema), schema)
+        best = materialize(_merged(met.unionByName(best.drop("rank")), k), "ranked-round")
+    return best
+
+
+def _solver(k: int, metric: str, schema: T.StructType):
+    arrow = _arrow_schema(schema)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, matrices = None, [], []
+        for batch in batches:
+            block, side = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(side) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(block)]):
+                part = batch.slice(a, b - a)
+                if part.num_rows == 0:
+                    continue
+                if side[a] == 0:
+                    if held != block[a]:
+                        held, ids, matrices = block[a], [], []
+                    ids.append(_ids(part.column(2)))
+                    matrices.append(_matrix(part.column(4)))
+                elif held == block[a]:
+                    if len(ids) > 1:
+                        ids, matrices = [np.concatenate(ids)], [np.concatenate(matrices)]
+                    floor = part.column(5).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                    top = _TopK(_matrix(part.column(4)), k, metric, floor)
+                    top.add(ids[0], matrices[0])
+                    yield from _result(top, part.column(3), arrow).to_batches()
+
+    return solve
+
+
 def _best(found: DataFrame, k: int, *keys: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("p_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -14,7 +14,8 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +23,12 @@ from odqa_spark.functions.binding import let, pinned
 from odqa_spark.functions.prompts import default_instructions, summarizer_prompt
 from odqa_spark.functions.text import clean_answer
 from odqa_spark.operators.chunk import ratio_groups, seeded_order
+from odqa_spark.session import settings
 
 MAX_ANSWER_WORDS = 8  # fixed value: longest answer of the reader
 MAX_IN_FLIGHT = 200  # fixed value: completion requests running at once
 HASH_DIM = 64
+_EXCLUDED = "spark.sql.adaptive.optimizer.excludedRules"
 
 ModelFn = Callable[..., list]
 
@@ -55,6 +58,32 @@ def model_column(make_fn: Callable[[], ModelFn], return_type: T.DataType, *input
     return F.arrow_udf(run_one if len(inputs) == 1 else run, return_type).asNondeterministic()(*inputs)
 
 
+class Counters:
+    """Counters of a pass over a frame, filled by the action that runs it."""
+
+    def __init__(self, **counters: Column):
+        self._seen, self._columns = Observation(), counters
+
+    def on(self, df: DataFrame) -> DataFrame:
+        """``df``, counted where it passes here."""
+        return df.observe(self._seen, *[c.alias(name) for name, c in self._columns.items()])
+
+    @property
+    def counts(self) -> dict[str, int]:
+        """The values after the action; 0 where Spark saw before running that no row can pass."""
+        try:
+            found = self._seen.get
+        except Py4JJavaError:
+            found = {}
+        return {name: found.get(name, 0) for name in self._columns}
+
+
+def counted(spark: SparkSession):
+    """Keeps counters alive while an action runs: a stage that gave no row is otherwise cut out together with them."""
+    rules = [spark.conf.get(_EXCLUDED, ""), "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"]
+    return settings(spark, **{_EXCLUDED: ",".join(r for r in rules if r)})
+
+
 def model_over_array(
     make_fn: Callable[[], ModelFn], item_type: T.DataType, question: Column, texts: Column, batch_size: int = 32
 ) -> Column:
@@ -109,18 +138,58 @@ def hashed_words(dim: int = HASH_DIM) -> Callable[[], ModelFn]:
     return make
 
 
-def embed(text: Column, make_fn: Callable[[], ModelFn] | None = None, batch_size: int = 1024) -> Column:
-    """Vectors of texts, ``array<double>``."""
-    return model_column(make_fn or hashed_words(), T.ArrayType(T.DoubleType()), text, batch_size=batch_size)
+def within_tokens(make_fn: Callable[[], ModelFn], max_tokens: int, count: Callable[[str], int] | None = None) -> Callable[[], ModelFn]:
+    """The model function called on batches of bounded size: rows times the tokens of the longest, at most ``max_tokens``.
+
+    Of the texts it is given, each different one is passed on once, shortest first, so that texts of a
+    batch are about as long; results come back in the order of the texts. A text that is too
+    long on its own is a batch of its own. ``count`` tells the tokens of a text, by default its words.
+    """
+    tokens = count or (lambda text: len(text.split()))
+
+    def make() -> ModelFn:
+        fn = make_fn()
+
+        def batched(texts: list) -> list:
+            sizes = {t: max(1, tokens(t)) if t is not None else 1 for t in dict.fromkeys(texts)}
+            done: dict = {}
+            batch: list = []
+            for t in sorted(sizes, key=lambda t: sizes[t]):
+                # sizes rise, so the text at hand is the longest of its batch
+                if batch and (len(batch) + 1) * sizes[t] > max_tokens:
+                    done |= zip(batch, fn(batch))
+                    batch = []
+                batch.append(t)
+            if batch:
+                done |= zip(batch, fn(batch))
+            return [done[t] for t in texts]
+
+        return batched
+
+    return make
+
+
+def embed(text: Column, make_fn: Callable[[], ModelFn] | None = None, batch_size: int = 1024, max_tokens: int | None = None) -> Column:
+    """Vectors of texts, ``array<double>``.
 
+    With ``max_tokens`` the model is called on batches of bounded tokens (``within_tokens``), taken
+    from ``batch_size`` rows at a time.
+    """
+    make = make_fn or hashed_words()
+    if max_tokens is not None:
+        make = within_tokens(make, max_tokens)
+    return model_column(make, T.ArrayType(T.DoubleType()), text, batch_size=batch_size)
 
-def embed_if_missing(df: DataFrame, text: Column, make_fn=None, column: str = "embeddings", out: str = "vec") -> DataFrame:
+
+def embed_if_missing(
+    df: DataFrame, text: Column, make_fn=None, column: str = "embeddings", out: str = "vec", max_tokens: int | None = None
+) -> DataFrame:
     """Reuse stored vectors; compute the others (all of them if the column is absent)."""
     if column not in df.columns:
-        return df.withColumn(out, embed(text, make_fn))
+        return df.withColumn(out, embed(text, make_fn, max_tokens=max_tokens))
     stored = F.col(column).cast("array<double>")
     # rows that have a vector send null text, so the model sees only the rest
-    computed = embed(F.when(stored.isNull(), text), make_fn)
+    computed = embed(F.when(stored.isNull(), text), make_fn, max_tokens=max_tokens)
     return df.withColumn(out, F.coalesce(stored, computed))
 
 
@@ -303,7 +372,8 @@ def complete(
     each task has one request at least. Errors in ``retry_on``
     are retried at most ``retries`` times; a prompt that still fails gets text
     ``''`` and the error, and never fails the job. Write the result before using it
-    twice: a lost executor repeats only the unwritten calls.
+    twice: a lost executor repeats only the unwritten calls. ``completion.complete_stored``
+    keeps results over runs, and its bound holds when the number of executors changes.
     """
     make, threads = _completer(make_fn, max_in_flight, parallel_tasks, retries, retry_on, wait)
     inputs = [prompt] if system is None else [prompt, system]

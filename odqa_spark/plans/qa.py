@@ -10,6 +10,7 @@ from odqa_spark.operators.evaluate import run_metrics
 from odqa_spark.operators.models import best_answer, complete, condense_by_prompt, condense_passages, embed, read_answer, read_each
 from odqa_spark.operators.retrieval import collect_context, passage_limit, retrieve
 from odqa_spark.operators.rows import join_by_position
+from odqa_spark.session import materialize
 from odqa_spark.sources.run_keys import next_version, run_key
 from odqa_spark.sources.tables import list_configs, publish
 
@@ -19,6 +20,7 @@ READERS = ("passages", "context", "completion")
 def contexts(questions: DataFrame, passages: DataFrame, limit: int, embed_fn=None, **options) -> DataFrame:
     """Questions with ``psgs`` and ``retrieved``. Passages come as ``p_id, p_vec, title, text``."""
     vectors = questions.select(F.col("row_idx").alias("q_id"), embed(F.col("question"), embed_fn).alias("q_vec"))
+    vectors = materialize(vectors, "question-vectors")
     found = collect_context(retrieve(vectors, passages, limit, **options))
     joined = questions.join(found.withColumnRenamed("q_id", "row_idx"), "row_idx", "left")
     return joined.withColumns({

@@ -85,6 +85,23 @@ def scratch_scope(spark: SparkSession):
             fs.delete(path, True)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for what is planned or started inside; ``__`` stands for dots."""
+    named = {key.replace("__", "."): value for key, value in values.items()}
+    before = {key: spark.conf.get(key, None) for key in named}
+    for key, value in named.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path: for listing and deleting in any store Spark writes to."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -44,10 +44,13 @@ def read_parquet_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_parquet(
-    spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None, pattern: str | None = None
+    spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None, pattern: str | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Parquet files as a stream; ``max_files`` per trigger throttles it."""
+    """Parquet files as a stream; ``max_files`` or ``max_bytes`` (one of them) per trigger throttles it."""
     reader = spark.readStream.schema(schema)
+    if max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if pattern is not None:

@@ -1,22 +1,27 @@
 """The batch operators on unbounded input.
 
-Every job runs what is available, then stops, unless a ``period`` is given.
+Every job runs what is available, then stops, unless a ``period`` is given: then a batch starts
+each period, and ``drained`` ends the query when its source is empty.
 ``partitions`` spreads micro-batches of few files over more tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from odqa_spark.functions.tokens import Tokenizer
 from odqa_spark.operators.chunk import token_chunks
 from odqa_spark.operators.profile import histogram_row, token_stats
-from odqa_spark.operators.vector_table import append_passages, fresh_rows, once_per_id
-from odqa_spark.plans.indexing import vector_rows
+from odqa_spark.operators.vector_table import FATE, append_passages, early_reason
+from odqa_spark.plans.indexing import append_articles, vector_rows
 from odqa_spark.plans.qa import qa_run
 from odqa_spark.schemas import TEXT_MAX, VECTOR_DIM
-from odqa_spark.session import hadoop_path, scratch_scope
+from odqa_spark.session import hadoop_path, scratch_scope, settings
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _start(writer, checkpoint: str, period: str | None) -> StreamingQuery:
@@ -72,15 +77,63 @@ def stream_index(
     articles: DataFrame, table: str, checkpoint: str, prefix: str = "", make_fn=None, dim: int = VECTOR_DIM,
     max_text: int = TEXT_MAX, period: str | None = None, partitions: int | None = None,
 ) -> StreamingQuery:
-    """Append to the vector table. A repeated batch finds its ids present: it embeds and adds nothing."""
+    """Append to the vector table. A repeated batch finds its ids present: it embeds and adds nothing.
+
+    A batch of few ids reads only the buckets of the table that can hold them.
+    """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        fresh = once_per_id(fresh_rows(_spread(batch, partitions), table, max_text), "title", "text")
-        append_passages(vector_rows(fresh, prefix, make_fn), table, dim, max_text)
+        with scratch_scope(batch.sparkSession):
+            append_articles(_spread(batch, partitions), table, prefix, make_fn, dim, max_text)
 
     return _start(articles.writeStream.foreachBatch(load), checkpoint, period)
 
 
+def stream_new_articles(
+    articles: DataFrame, table: str, checkpoint: str, prefix: str = "", make_fn=None, dim: int = VECTOR_DIM,
+    max_text: int = TEXT_MAX, period: str | None = None, partitions: int | None = None,
+) -> StreamingQuery:
+    """Append to a vector table that only this stream writes, told apart by keyed state instead of the table.
+
+    The ids that the stream has passed on are its state, in RocksDB and in the checkpoint, so a batch is
+    not compared with the table: an id is embedded once, whatever the table's size, over batches and
+    restarts. An article that a limit rejects is passed on once per limit, so that a later
+    version with the same id can still be accepted. The first batch after a start may be one that
+    was written but not committed; it alone is compared with the table.
+    """
+    # rows without id are told apart by their content
+    own = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("\u0000"), F.xxhash64("title", "text").cast("string")))
+    known = articles.withColumns({"_own": own, "_limit": early_reason(max_text)}).dropDuplicates(["_own", "_limit"]).drop("_own", "_limit")
+    first = []
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            rows = _spread(batch, partitions)
+            if first:
+                rows = rows.withColumns({flag: F.lit(False) for flag in FATE})
+                append_passages(vector_rows(rows, prefix, make_fn), table, dim, max_text, "append_all")
+            else:
+                append_articles(rows, table, prefix, make_fn, dim, max_text)
+        first.append(batch_id)
+
+    # a started query keeps the settings it has seen
+    with settings(articles.sparkSession, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+        return _start(known.writeStream.foreachBatch(load), checkpoint, period)
+
+
+def drained(query: StreamingQuery) -> list[dict]:
+    """Stop a paced query once all its source had at hand is processed: number, rows and start of its batches."""
+    try:
+        query.processAllAvailable()
+        return [
+            {"batch": p["batchId"], "rows": p["numInputRows"], "start": p["timestamp"]}
+            for p in query.recentProgress
+            if p["numInputRows"] > 0
+        ]
+    finally:
+        query.stop()
+
+
 def stream_qa(
     questions: DataFrame, passages: DataFrame, out: str, checkpoint: str, config: str, period: str | None = None, **options
 ) -> StreamingQuery:

@@ -160,3 +160,56 @@ def test_requests_of_all_tasks_share_one_cap(spark):
     spans = [tuple(map(float, r.c.text.split())) for r in df.select(models.complete(F.col("p"), make, max_in_flight=8).alias("c")).collect()]
     at_once = max(sum(a <= t < b for a, b in spans) for t, _ in spans)
     assert 2 <= at_once <= 8
+
+
+def test_batches_of_bounded_tokens(spark):
+    """Rows times the longest text stay within the bound, each different text is passed once, order is kept."""
+    batches = []
+
+    def make():
+        def fn(texts):
+            batches.append(list(texts))
+            return [[float(len(t or ""))] for t in texts]
+
+        return fn
+
+    texts = [" ".join("w" * 1 for _ in range(n % 37 + 1)) for n in range(300)] + [None, "", "x " * 500, None]
+    got = models.within_tokens(make, 64)()(texts)
+    assert got == [[float(len(t or ""))] for t in texts]
+    size = lambda b: len(b) * max(len(t.split()) if t else 1 for t in b)
+    assert all(size(b) <= 64 or len(b) == 1 for b in batches)
+    assert sorted(map(str, (t for b in batches for t in b))) == sorted(map(str, set(texts)))
+    # far fewer calls than texts, and texts of a batch about as long
+    assert len(batches) < 40 and models.within_tokens(make, 64)()([]) == []
+
+
+def test_embedding_in_token_batches_changes_nothing(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i % 50))) for i in range(400)], "id int, t string")
+    plain = {r.id: r.v for r in df.select("id", models.embed(F.col("t")).alias("v")).collect()}
+    got = {r.id: r.v for r in df.select("id", models.embed(F.col("t"), max_tokens=100).alias("v")).collect()}
+    assert got == plain
+
+
+def test_counters_come_with_the_pass(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def fn(texts):
+            calls.add(len(texts))
+            return [[1.0] for _ in texts]
+
+        return fn
+
+    df = spark.range(50).select("id", F.col("id").cast("string").alias("t"))
+    seen = models.Counters(rows=F.count(F.lit(1)), even=F.count_if(F.col("id") % 2 == 0))
+    seen.on(df.withColumn("v", models.embed(F.col("t"), make))).write.parquet(str(tmp_path / "o"))
+    assert seen.counts == {"rows": 50, "even": 25} and calls.value == 50
+    # rows that do not come out, or an exchange of none, are counted all the same
+    seen = models.Counters(rows=F.count(F.lit(1)))
+    with models.counted(spark):
+        seen.on(spark.range(70).repartition(3)).where("id < 0").repartition(4, "id").write.parquet(str(tmp_path / "p"))
+    assert seen.counts == {"rows": 70}
+    seen = models.Counters(rows=F.count(F.lit(1)))
+    seen.on(spark.range(0)).write.parquet(str(tmp_path / "q"))
+    assert seen.counts == {"rows": 0}
+    assert spark.conf.get(models._EXCLUDED, "") == ""

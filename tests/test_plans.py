@@ -153,6 +153,19 @@ def test_summaries_of_a_range(spark, sf, tmp_path):
     assert path.endswith("chatgpt-nq_1-5.parquet")
     got = spark.read.parquet(path)
     assert got.count() == 5 and got.where("summarization_text = '' or error is not null").count() == 0
+    # overlapping ranges of one store: a chunk is summarised once
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted():
+        def call(prompt):
+            calls.add(1)
+            return f"{len(prompt)}"
+
+        return call
+
+    for start, end in ((1, 5), (3, 8)):
+        path = summaries.summarize_range(numbered, start, end, str(tmp_path / "kept"), counted, store=str(tmp_path / "store"))
+    assert spark.read.parquet(path).schema == got.schema and calls.value == 8
 
 
 def test_stream_files_one_at_a_time_equal_the_batch(spark, sf, tmp_path):
@@ -187,6 +200,54 @@ def test_stream_index_twice_adds_nothing(spark, sf, tmp_path):
     assert spark.table("stream_vt").count() == spark.read.parquet(source).count()
 
 
+def test_stream_state_over_batches_and_restarts(spark, sf, tmp_path):
+    """Each id is embedded once by keyed state; a version that a limit rejects can come again."""
+    from odqa_spark.operators.vector_table import create_if_absent
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def fn(texts):
+            calls.add(len(texts))
+            return [[1.0, 2.0] for _ in texts]
+
+        return fn
+
+    source = str(tmp_path / "in")
+    create_if_absent(spark, "state_vt", str(tmp_path / "vt"))
+    schema = "id string, title string, url string, text string"
+    ids = [(str(i), "t", "u", "x" * (99 if i == 7 else 5)) for i in range(20)]
+    steps = [[ids[:12], ids[6:15]], [ids[10:20], [("7", "t", "u", "short"), *ids[:3], (None, "t", "u", "a"), (None, "t", "u", "b")]]]
+    for step in steps:
+        for rows in step:
+            spark.createDataFrame(rows * 2, schema).coalesce(1).write.mode("append").parquet(source)
+        s = tables.stream_parquet(spark, source, spark.read.parquet(source).schema, max_files=1)
+        jobs.stream_new_articles(s, "state_vt", str(tmp_path / "state"), make_fn=make, dim=2, max_text=50).awaitTermination()
+    assert sorted(int(r.id) for r in spark.table("state_vt").collect()) == list(range(20))
+    lost = sorted((str(r.id), r.reject_reason, r.text[:1]) for r in spark.table("state_vt_rejected").collect())
+    assert lost == [("7", "text", "x"), ("None", "id", "a"), ("None", "id", "b")]
+    assert calls.value == 23
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != jobs.ROCKSDB
+    states = {f.suffix for f in (tmp_path / "state" / "state").rglob("*") if f.is_file()}
+    assert ".zip" in states or ".changelog" in states
+
+
+def test_paced_batches(spark, sf, tmp_path):
+    import datetime
+
+    source = str(tmp_path / "in")
+    fx.articles(spark, sf).repartition(3).write.parquet(source)
+    batch = spark.read.parquet(source)
+    s = tables.stream_parquet(spark, source, batch.schema, max_bytes=1)
+    query = jobs.stream_chunks(s, str(tmp_path / "out"), str(tmp_path / "state"), period="2 seconds")
+    seen = jobs.drained(query)
+    assert not query.isActive and len(seen) == 3 and sum(b["rows"] for b in seen) == batch.count()
+    at = [datetime.datetime.fromisoformat(b["start"].replace("Z", "+00:00")) for b in seen]
+    # triggers lie at multiples of the period: no two batches start in the same
+    assert len({int(a.timestamp()) // 2 for a in at}) == 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == chunk.token_chunks(batch, 256).count()
+
+
 def test_stream_questions(spark, qa_tables, tmp_path):
     q, p = qa_tables
     source = str(tmp_path / "in")

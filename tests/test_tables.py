@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,8 +7,8 @@ from pyspark.sql import functions as F
 from odqa_spark import schemas
 from odqa_spark.catalog import fixtures as fx
 from odqa_spark.operators import annotations
-from odqa_spark.operators.rows import join_by_position, row_range_inclusive, row_slice, split_range, with_row_idx
-from odqa_spark.session import build_session, shared_dir
+from odqa_spark.operators.rows import join_by_position, numbered_rows, row_range_inclusive, row_slice, split_range, with_row_idx
+from odqa_spark.session import build_session, settings, shared_dir
 from odqa_spark.sources import run_keys, tables
 
 
@@ -82,6 +83,35 @@ def test_row_idx_is_dense_and_ordered_with_a_hot_key(spark):
     assert [(r.a, r.b) for r in got] == sorted((r.a, r.b) for r in rows.collect())
 
 
+@pytest.mark.parametrize("bounds", [(None, None), (0, 0), (0, 1), (700, 2100), (2999, None), (3000, None), (None, 5), (100, 90), (-5, 20)])
+def test_numbered_rows_read_only_the_partitions_of_a_range(spark, bounds):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("a"), F.col("id").alias("b"))
+    if not hasattr(test_numbered_rows_read_only_the_partitions_of_a_range, "kept"):
+        with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+            test_numbered_rows_read_only_the_partitions_of_a_range.kept = numbered_rows(rows, "a", "b")
+    numbered = test_numbered_rows_read_only_the_partitions_of_a_range.kept
+    start, end = bounds
+    order = sorted((r.a, r.b) for r in rows.collect())
+    want = [(i, *order[i]) for i in range(max(start or 0, 0), min(3000, 3000 if end is None else end))]
+    got = numbered.slice(start, end)
+    assert sorted((r.row_idx, r.a, r.b) for r in got.collect()) == want
+    offsets = numbered._offsets()
+    assert sum(n for _, _, n in offsets) == 3000 and len(offsets) == 4
+    # the scan lists the partitions that hold a row of the range, and no other
+    if not want:
+        return
+    scan = next(line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line)
+    listed = scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    for p, at, n in offsets:
+        hit = at < want[-1][0] + 1 and at + n > want[0][0]
+        assert hit == bool(re.search(rf"\b{p}\b", re.sub(r"_part#\d+|\[plan_id=\d+\]", "", listed))) or len(want) == 3000
+
+
+def test_numbered_rows_of_an_empty_table(spark):
+    numbered = numbered_rows(spark.range(0), "id")
+    assert numbered.frame().columns == ["id", "row_idx"] and numbered.slice(5, 9).count() == 0
+
+
 def test_row_slices(spark):
     df = spark.range(10).withColumnRenamed("id", "row_idx")
 

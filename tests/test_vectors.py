@@ -6,6 +6,7 @@ from odqa_spark.functions import vectors
 from odqa_spark.operators import knn, retrieval, vector_table
 from odqa_spark.plans import indexing
 from odqa_spark.operators.rows import with_row_idx
+from odqa_spark.session import materialize
 
 VEC = "array<float>"
 
@@ -48,17 +49,65 @@ def test_topk_matches_brute_force(spark, tied, k):
     assert _collect(knn.topk_join(left, right, k)) == _brute(q_ids, q, p_ids, p, k)
 
 
-def test_question_blocks_give_the_same_rows_without_moving_vectors(spark, tied):
+def _no_rows_on_the_driver(monkeypatch):
+    """Fails if a frame with ids of questions or passages, or with vectors, is fetched."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def guarded(name):
+        own = getattr(DataFrame, name)
+
+        def fetch(self, *args, **kw):
+            assert not {"q_id", "p_id", "vec", "q_vec", "p_vec"} & set(self.columns), self.columns
+            return own(self, *args, **kw)
+
+        return fetch
+
+    for name in ("collect", "toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(DataFrame, name, guarded(name))
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+@pytest.mark.parametrize("k", [1, 7, 200])
+def test_question_blocks_give_the_same_rows(spark, tied, monkeypatch, metric, k):
     q_ids, q, p_ids, p = tied
-    left, right = _table(spark, "q", q_ids, q), _table(spark, "p", p_ids, p)
-    got = knn.topk_join(left, right, 7, broadcast_bytes=6 * 8 * 3)
-    assert _collect(got) == _brute(q_ids, q, p_ids, p, 7)
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "CoGroup" not in plan and plan.count("MapInArrow") > 3
-    # every exchange lies above the search: what is scanned below holds the vectors
-    text = got._jdf.queryExecution().executedPlan().toString()
-    below = [line for line in text.splitlines() if "Exchange" in line and "p_vec" in line]
-    assert not below
+    left, right = _table(spark, "q", q_ids, q), _table(spark, "p", p_ids, p).repartition(5)
+    want = _collect(knn.topk_join(left, right, k, metric))
+    with monkeypatch.context() as m:
+        _no_rows_on_the_driver(m)
+        # blocks of three vectors: thirty and more of passages, in four rounds
+        got = knn.topk_join(left, right, k, metric, dim=6, broadcast_bytes=6 * 8 * 3)
+    assert _collect(got) == want
+
+
+def test_blocks_without_hope_are_not_met(spark, monkeypatch):
+    """Norms that fall off: later rounds neither read the small passages nor send questions to them."""
+    rng = np.random.default_rng(4)
+    direction = rng.normal(size=(400, 6)).astype(np.float32)
+    p = (direction / np.linalg.norm(direction, axis=1, keepdims=True) * np.geomspace(100, 0.001, 400)[:, None]).astype(np.float32)
+    q = np.abs(rng.normal(size=(30, 6))).astype(np.float32)
+    left, right = _table(spark, "q", range(30), q), _table(spark, "p", range(400), p)
+    rounds = []
+    dumps = knn.json.dumps
+
+    def seen(value, *args, **kw):
+        if isinstance(value, list) and value and "high" in value[0]:
+            rounds.append(len(value))
+        return dumps(value, *args, **kw)
+
+    monkeypatch.setattr(knn.json, "dumps", seen)
+    got = knn.topk_join(left, right, 3, dim=6, broadcast_bytes=6 * 8 * 8)
+    assert _collect(got) == _brute(range(30), q, range(400), p, 3)
+    # of sixty and more blocks those of large norms only
+    assert sum(rounds) < 40
+
+
+def test_equal_norms_are_cut_by_hash(spark):
+    """One norm for all passages, as with normalised vectors: blocks stay bounded."""
+    p = np.tile(np.eye(4, dtype=np.float32), (100, 1))
+    right = _table(spark, "p", range(400), p).select("p_id", F.lit(1.0).alias("norm"))
+    block, blocks = knn._in_blocks(right, 20)
+    sizes = [r.n for r in right.groupBy(block.alias("b")).agg(F.count("*").alias("n")).collect()]
+    assert len(blocks) == len(sizes) >= 18 and max(sizes) < 60 and sum(sizes) == 400
 
 
 @pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 8 * 3}])
@@ -190,19 +239,75 @@ def test_index_load_of_a_row_range(spark, sf, tmp_path):
     assert spark.table("vt_range").select(F.min(F.size("vec")), F.max(F.size("vec"))).head()[:] == (64, 64)
 
 
-def test_texts_are_fetched_in_blocks_and_never_moved(spark, tied):
+def test_texts_are_fetched_by_either_join(spark, tied):
     q_ids, q, p_ids, p = tied
     left = _table(spark, "q", q_ids, q)
     right = _table(spark, "p", p_ids, p).select("*", F.lit("t").alias("title"), F.concat(F.lit("x"), "p_id").alias("text"))
-    small = sorted(tuple(r) for r in retrieval.retrieve(left, right, 9).select("q_id", "rank", "p_id", "text").collect())
-    found = retrieval.retrieve(left, right, 9, block_bytes=1000)
-    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    stored = materialize(right, "texts")
+    small = sorted(tuple(r) for r in retrieval.retrieve(left, stored, 9).select("q_id", "rank", "p_id", "text").collect())
+    found = retrieval.retrieve(left, stored, 9, block_bytes=1000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # one scan of the texts, reduced by the filter, however many ids were ranked
+    assert plan.count("title#") and sum("Relation" in line and "text#" in line for line in plan.splitlines()) == 1
+    assert "getbit" in plan and "scalar-subquery" in plan
     large = sorted(tuple(r) for r in found.select("q_id", "rank", "p_id", "text").collect())
     assert small == large and len(small) == 9 * len(q_ids)
     # every question retrieves copies of the same hot passage; none is dropped
     assert all(text == f"x{p_id}" for _, _, p_id, text in small)
 
 
+def test_filter_of_ranked_ids(spark):
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "p_id")
+    keys = spark.range(30000).withColumnRenamed("id", "p_id")
+    kept = keys.where(retrieval.may_hold(ids, "p_id", F.col("p_id"), 1 << 14))
+    assert kept.join(ids, "p_id").count() == 1000 and kept.count() < 3000
+    # a filter that is full lets all pass
+    assert keys.where(retrieval.may_hold(ids, "p_id", F.col("p_id"), 64)).count() == 30000
+    assert keys.where(retrieval.may_hold(ids.limit(0), "p_id", F.col("p_id"), 64)).count() == 0
+
+
+def test_loads_join_the_table_in_place(spark, tmp_path, monkeypatch):
+    """The table's ids are neither moved nor, for a small load, all read."""
+    monkeypatch.setattr(vector_table, "LITERAL_IDS", 10)
+    vector_table.create_if_absent(spark, "vt_buckets", str(tmp_path / "b"), n_buckets=16)
+    rows = spark.range(200).select(F.col("id").cast("string").alias("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vec"), F.lit("t").alias("title"), F.lit("x").alias("text"))
+    vector_table.append_passages(rows, "vt_buckets", dim=2)
+    assert vector_table.buckets(spark, "vt_buckets") == 16
+    held = vector_table.held_ids(spark, "vt_buckets")
+    load = materialize(rows.select(F.col("id").alias("_id")), "ids")
+    plan = load.repartition(16, "_id").join(held.hint("merge"), "_id")._jdf.queryExecution().executedPlan().toString()
+    table_side = plan[plan.index("vt_buckets") - 2000 :]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in table_side
+    few = vector_table.held_ids(spark, "vt_buckets", ["3", "77"])._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 2 out of 16" in few or "SelectedBucketsCount: 1 out of 16" in few
+    vector_table.append_passages(rows.limit(5), "vt_buckets", dim=2)
+    vector_table.append_passages(rows, "vt_buckets", dim=2)
+    assert spark.table("vt_buckets").count() == 200
+
+
+def test_hot_ids_and_rows_without_id(spark, tmp_path):
+    """Ids and nulls that a third of a load has: one row of each id is taken, every other row is kept as rejected."""
+    rows = [("hot", "t", f"text {k % 7}") for k in range(60)] + [(None, "t", f"no id {k}") for k in range(60)]
+    rows += [("twin", "a", "same")] * 9 + [(f"id{k}", "t", "x") for k in range(20)]
+    df = spark.createDataFrame([(i, [1.0, 2.0], t, x) for i, t, x in rows], "id string, vec array<double>, title string, text string")
+    vector_table.create_if_absent(spark, "vt_hot", str(tmp_path / "h"), n_buckets=8)
+    vector_table.append_passages(df, "vt_hot", dim=2)
+    kept = sorted((r.id, r.text) for r in spark.table("vt_hot").collect())
+    assert kept == sorted([("hot", "text 0"), ("twin", "same"), *((f"id{k}", "x") for k in range(20))])
+    lost = [(r.id, r.reject_reason) for r in spark.table("vt_hot_rejected").collect()]
+    assert {x: lost.count(x) for x in set(lost)} == {("hot", "duplicate"): 59, ("twin", "duplicate"): 8, (None, "id"): 60}
+    # again: rows without id cannot be known, all others are
+    vector_table.append_passages(df, "vt_hot", dim=2)
+    assert spark.table("vt_hot").count() == 22 and spark.table("vt_hot_rejected").where("id is not null").count() == 67
+
+
+def test_a_load_reads_its_source_twice(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), "text")
+    vector_table.create_if_absent(spark, "vt_plan", str(tmp_path / "p"))
+    plan = indexing.vector_rows(vector_table.left_to_load(vector_table.with_fate(docs, "vt_plan")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Relation") == 2 and "Aggregate" not in plan
+
+
 def test_index_load_embeds_new_rows_only(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 
