@@ -10,7 +10,7 @@ from odqa_spark.functions import prompts, scoring, text, vectors
 from odqa_spark.functions.tokens import default_tokenizer
 from odqa_spark.operators import annotations, chunk, completion, evaluate, knn, models, profile, retrieval, rows, spans, vector_table
 from odqa_spark.plans import corpus, indexing, qa, summaries
-from odqa_spark.session import materialize, scratch_path
+from odqa_spark.session import hadoop_path, materialize, scratch_path
 from odqa_spark.sources import run_keys, tables
 from odqa_spark.streaming import jobs
 
@@ -606,7 +606,11 @@ def corpus_profile(spark, sf):
 
 
 def _stream(spark, sf, name="documents"):
+    """A table as arriving files, whether it is one file or a folder of them."""
     schema = fx.table(spark, sf, name).schema
+    fs, path = hadoop_path(spark, f"{sf}/{name}.parquet")
+    if fs.getFileStatus(path).isDirectory():
+        return tables.stream_parquet(spark, f"{sf}/{name}.parquet", schema, max_files=1)
     return tables.stream_parquet(spark, sf, schema, max_files=1, pattern=f"{name}.parquet")
 
 
