@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odqa_spark.llm.frames import SLICE_BYTES, map_slices, slices
+from odqa_spark.llm.tokens import mix
 
 DIMENSIONS = 1024
 ORDER = 3
 MAX_PROFILE_BYTES = 64 << 20
 PIECE_CHARS = 1 << 18
-GRAMS = 1024  # vectors held at once
+GRAMS = 1024  # vectors multiplied at once
+KEPT_BYTES = 64 << 20  # of vectors that a worker keeps for its next texts
 _SPACE = 0x20
 _END = 0x0A  # never a letter: between documents
 _LETTER = np.zeros(0, bool)
@@ -38,7 +40,7 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1 << 16)
 def _letter_vector(code: int, dims: int) -> np.ndarray:
     return np.where(np.random.Generator(np.random.PCG64(code)).random(dims) < 0.5, -1, 1).astype(np.int8)
 
@@ -108,7 +110,7 @@ def _grams(raw: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return grams, row, index
 
 
-def _vectors(grams: np.ndarray, dims: int) -> np.ndarray:
+def _made(grams: np.ndarray, dims: int) -> np.ndarray:
     """The product of each n-gram's letter vectors, each rotated by its place."""
     letters, at = np.unique(grams, return_inverse=True)
     at = at.reshape(grams.shape)
@@ -116,7 +118,34 @@ def _vectors(grams: np.ndarray, dims: int) -> np.ndarray:
     out = np.ones((len(grams), dims), np.int8)
     for place in range(grams.shape[1]):
         out *= np.roll(table, place, axis=1)[at[:, place]]
-    return out.astype(np.float32)
+    return out
+
+
+class _Kept:
+    """Vectors of the n-grams met last, one for each of a fixed number of slots."""
+
+    def __init__(self, dims: int, order: int):
+        slots = KEPT_BYTES // dims
+        self.grams = np.full((slots, order), np.iinfo(np.uint32).max, np.uint32)
+        self.vectors = np.zeros((slots, dims), np.int8)
+
+    def vectors_of(self, grams: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(grams), np.uint64)
+        with np.errstate(over="ignore"):
+            for place in range(grams.shape[1]):
+                key = mix(key * np.uint64(31) + grams[:, place])
+        slot = (key % np.uint64(len(self.grams))).astype(np.int64)
+        out = self.vectors[slot]
+        new = np.flatnonzero((self.grams[slot] != grams).any(axis=1))
+        if len(new):
+            out[new] = _made(grams[new], out.shape[1])
+            self.grams[slot[new]], self.vectors[slot[new]] = grams[new], out[new]
+        return out.astype(np.float32)
+
+
+@lru_cache(maxsize=1)
+def _kept(dims: int, order: int) -> _Kept:
+    return _Kept(dims, order)
 
 
 def _bundles(texts: list[str | None], which: np.ndarray, n: int, dims: int, order: int) -> np.ndarray:
@@ -125,6 +154,7 @@ def _bundles(texts: list[str | None], which: np.ndarray, n: int, dims: int, orde
     Texts go in pieces, and n-grams in blocks, so that memory is bounded for any text and alphabet.
     """
     out = np.zeros((n, dims))
+    kept = _kept(dims, order)
     held: list[str] = []
     rows: list[int] = []
 
@@ -132,15 +162,16 @@ def _bundles(texts: list[str | None], which: np.ndarray, n: int, dims: int, orde
         grams, row, index = _grams(held, order)
         if not len(grams):
             return
-        to = np.array(rows)[row]
-        by_gram = np.argsort(index, kind="stable")
-        to, index = to[by_gram], index[by_gram]
+        # sixteen bits, where they do, are sorted much faster
+        by_gram = np.argsort(index.astype(np.uint16) if len(grams) <= 1 << 16 else index, kind="stable")
+        row, index = row[by_gram], index[by_gram]
+        own = np.zeros((len(held), dims), np.float64)
         for a in range(0, len(grams), GRAMS):
             b = min(a + GRAMS, len(grams))
             lo, hi = np.searchsorted(index, [a, b])
-            used, place = np.unique(to[lo:hi], return_inverse=True)
-            counts = np.bincount(place * (b - a) + index[lo:hi] - a, minlength=len(used) * (b - a))
-            out[used] += counts.reshape(len(used), b - a).astype(np.float32) @ _vectors(grams[a:b], dims)
+            counts = np.bincount(row[lo:hi] * (b - a) + index[lo:hi] - a, minlength=len(held) * (b - a))
+            own += counts.reshape(len(held), b - a).astype(np.float32) @ kept.vectors_of(grams[a:b])
+        np.add.at(out, rows, own)
 
     size = 0
     for text, row in zip(texts, which.tolist()):
