@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odqa_spark.llm.frames import materialize
+
 SIZES = (512, 1024, 2048, 4096)
 OVERHEAD = 64
 SHARD_ROWS = 100_000
@@ -92,7 +94,8 @@ def best_fit_packing(
     """(id_col, piece, token_start, n_tokens, bin_id, bin_size, bin_offset): one row per piece."""
     count = word_count(F.col(text)) if tokens is None else tokens
     largest = max(sizes)
-    rows = docs.select(F.col(id_col).alias("id"), count.cast("bigint").alias("n"))
+    # tokens are counted once, for the number of pieces and for the pieces
+    rows = materialize(docs.select(F.col(id_col).alias("id"), count.cast("bigint").alias("n")), "lengths")
     cuts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(largest).cast("bigint")))
     pieces = rows.select("id", "n", cuts.alias("token_start")).select("id", "token_start", F.least(F.col("n") - F.col("token_start"), F.lit(largest)).alias("n_tokens"))
     n_pieces = rows.agg(F.sum(F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("n") / largest))).alias("n")).first()["n"] or 0
