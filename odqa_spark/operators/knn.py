@@ -17,6 +17,11 @@ from odqa_spark.session import materialize
 
 BROADCAST_BYTES = 64 << 20  # question matrices up to this size are sent to every executor; blocks of larger joins have it too
 BLOCK_BYTES = 64 << 20  # largest score matrix or product held at once inside a task
+TILE = (256, 1024)  # questions and passages scored at once: their scores stay in a core's cache
+GROUP = 4096  # questions whose candidates are ranked together
+PENDING = 1 << 17  # candidates of a group that wait to be ranked
+TASKS_PER_CORE = 2  # of a round of blocks
+ROWS_OUT = 1 << 16  # of an Arrow batch of winners
 NORM_CLASSES = 16  # passages are cut into blocks within so many classes of their norm
 ROUND_GROWTH = 8  # each round of blocks is so many times the one before
 SLACK = 1e-9  # relative; rounding of norms and scores stays far below it
@@ -28,7 +33,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         column = column.combine_chunks()
     if len(column) == 0:
         return np.empty((0, 0))
-    flat = np.asarray(column.flatten(), dtype=np.float64)
+    flat = np.asarray(column.flatten())
+    flat = flat if flat.dtype == np.float32 else flat.astype(np.float64, copy=False)
     if flat.size % len(column):
         raise ValueError("vectors must all have the same length")
     return flat.reshape(len(column), -1)
@@ -36,6 +42,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def _exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Scores of aligned rows, summed from the left: the same on any batch or block layout."""
+    a, b = a.astype(np.float64, copy=False), b.astype(np.float64, copy=False)
     terms = a * b if metric == "ip" else (a - b) ** 2
     total = np.cumsum(terms, axis=1)[:, -1]
     return total if metric == "ip" else -np.sqrt(total)
@@ -47,15 +54,31 @@ class _TopK:
     def __init__(self, questions: np.ndarray, k: int, metric: str, floor: np.ndarray | None = None):
         self.q, self.k, self.metric = questions, k, metric
         self.floor = np.full(len(questions), -np.inf) if floor is None else floor.copy()
-        self.best: pd.DataFrame | None = None  # the first batch sets the type of the ids
-        self.q_sq = (questions**2).sum(axis=1)
+        # question, score, passage, by group; the first batch sets the type of the ids
+        self.groups: list[tuple[np.ndarray, ...] | None] = [None] * -(-len(questions) // GROUP)
+        self.q_sq = np.square(questions, dtype=np.float64).sum(axis=1)
         self.q_max = self.q_sq[np.isfinite(self.q_sq)].max(initial=0.0)
+        self.seen = 0
+        self._cast = questions
+
+    @property
+    def held(self) -> tuple[np.ndarray, ...] | None:
+        found = [g for g in self.groups if g is not None]
+        return tuple(np.concatenate(c) for c in zip(*found)) if found else None
+
+    @property
+    def best(self) -> pd.DataFrame | None:
+        held = self.held
+        if held is None:
+            return None
+        q, score, p = held
+        order = np.lexsort((_order(p), -score, q))
+        return pd.DataFrame({"q": q[order], "score": score[order], "p": p[order]})
 
     def add(self, ids: np.ndarray, passages: np.ndarray) -> None:
         if not len(ids) or not len(self.q):
             return
-        found = []
-        p_sq = (passages**2).sum(axis=1)
+        p_sq = np.square(passages, dtype=np.float64).sum(axis=1)
         if not np.isfinite(p_sq).all():
             finite = np.isfinite(p_sq)
             return self.add(ids[finite], passages[finite])
@@ -66,46 +89,86 @@ class _TopK:
         kind = np.float32 if single else np.float64
         scale = q_max * p_max if self.metric == "ip" else (q_max + p_max) ** 2
         margin = 4.0 * (passages.shape[1] + 4) * np.finfo(kind).eps * scale + np.finfo(kind).tiny
-        cast = passages.astype(kind, copy=False).T
-        step = max(1, BLOCK_BYTES // (8 * len(ids)))
-        pairs = max(1, BLOCK_BYTES // (16 * passages.shape[1]))
-        for lo in range(0, len(self.q), step):
-            block = self.q[lo : lo + step]
-            near = block.astype(kind, copy=False) @ cast
-            floor = self.floor[lo : lo + step]
-            if self.metric == "l2":
-                near = 2 * near - self.q_sq[lo : lo + step, None] - p_sq
-                floor = np.where(np.isfinite(floor), -(floor**2), floor)
-            if len(ids) > self.k:
-                floor = np.maximum(floor, np.partition(near, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
-            qi, pi = np.nonzero(near >= (floor[:, None] - margin).astype(kind))
-            for at in range(0, len(qi), pairs):
-                qs, ps = qi[at : at + pairs], pi[at : at + pairs]
-                score = _exact(self.metric, block[qs], passages[ps])
-                found.append(self._keep(pd.DataFrame({"q": qs + lo, "score": score, "p": ids[ps]})))
-        if self.best is not None:
-            found.insert(0, self.best)
+        if self._cast.dtype != kind:
+            self._cast = self.q.astype(kind, copy=False)
+        cast = passages.astype(kind, copy=False)
+        # Scores of a part rank before the next one, so that few of its passages reach the score of
+        # the best so far; parts grow with what was seen, so they are few.
+        for group in range(len(self.groups)):
+            at = 0
+            while at < len(ids):
+                part = slice(at, at + max(TILE[1], 4 * self.k, 3 * (self.seen + at)))
+                self._add_part(group, ids[part], passages[part], cast[part], p_sq[part], margin)
+                at = part.stop
+        self.seen += len(ids)
+
+    def _add_part(self, group: int, ids: np.ndarray, passages: np.ndarray, cast: np.ndarray, p_sq: np.ndarray, margin: float) -> None:
+        wide = min(len(ids), max(TILE[1], 4 * self.k))
+        high = max(1, min(TILE[0], BLOCK_BYTES // (8 * wide)))
+        found, pending = [], 0
+        end = min(len(self.q), (group + 1) * GROUP)
+        for left in range(0, len(ids), wide):
+            some = cast[left : left + wide].T
+            for lo in range(group * GROUP, end, high):
+                tile = slice(lo, min(lo + high, end))
+                near = self._cast[tile] @ some
+                floor = self.floor[tile]
+                if self.metric == "l2":
+                    near = 2 * near - self.q_sq[tile, None] - p_sq[left : left + wide]
+                    floor = np.where(np.isfinite(floor), -(floor**2), floor)
+                if near.shape[1] > self.k and np.isneginf(floor).any():
+                    floor = np.maximum(floor, np.partition(near, near.shape[1] - self.k, axis=1)[:, near.shape[1] - self.k])
+                hits = np.flatnonzero(near >= (floor[:, None] - margin).astype(near.dtype))
+                if len(hits):
+                    qi, pi = np.divmod(hits, near.shape[1])
+                    found.append((qi + lo, pi + left))
+                    pending += len(hits)
+                if pending >= PENDING:
+                    self._rank(group, found, ids, passages)
+                    found, pending = [], 0
+        self._rank(group, found, ids, passages)
+
+    def _rank(self, group: int, found: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, passages: np.ndarray) -> None:
+        """Score candidates exactly and rank them among what their questions have."""
         if not found:
             return
-        self.best = self._keep(pd.concat(found, ignore_index=True))
-        full = self.best.groupby("q")["score"].agg(["size", "min"])
-        full = full[full["size"] >= self.k]
-        self.floor[full.index] = full["min"]
-
-    def _keep(self, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["q", "score", "p"], ascending=[True, False, True], kind="stable")
-        return rows.groupby("q", sort=False).head(self.k)
+        q, at = (np.concatenate(c) for c in zip(*found))
+        pairs = max(1, BLOCK_BYTES // (16 * passages.shape[1]))
+        score = np.concatenate([
+            _exact(self.metric, self.q[q[lo : lo + pairs]], passages[at[lo : lo + pairs]]) for lo in range(0, len(q), pairs)
+        ])
+        p, rest, held = ids[at], None, self.groups[group]
+        if held is not None:
+            asked = np.zeros(GROUP, bool)
+            asked[q - group * GROUP] = True
+            again = asked[held[0] - group * GROUP]
+            rest = [c[~again] for c in held]
+            q, score, p = (np.concatenate([c[again], new]) for c, new in zip(held, (q, score, p)))
+        order = np.lexsort((_order(p), -score, q))
+        q, score, p = q[order], score[order], p[order]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
+        last, keep = rank == self.k - 1, rank < self.k
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], score[last])
+        kept = (q[keep], score[keep], p[keep])
+        self.groups[group] = kept if rest is None else tuple(np.concatenate(c) for c in zip(rest, kept))
+
+
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the ids."""
+    return pd.factorize(ids, sort=True)[0] if ids.dtype == object else ids
 
 
 def _result(top: _TopK, q_ids: pa.Array, schema: pa.Schema) -> pa.Table:
-    best = top.best
-    if best is None:
+    held = top.held
+    if held is None:
         return schema.empty_table()
+    q, score, p = held
     return pa.table(
         [
-            q_ids.take(pa.array(best["q"].to_numpy(), pa.int64())).cast(schema.field(0).type),
-            pa.array(best["p"].tolist(), schema.field(1).type),
-            pa.array(best["score"].to_numpy(), pa.float64()),
+            q_ids.take(pa.array(q, pa.int64())).cast(schema.field(0).type),
+            pa.array(p.tolist() if p.dtype == object else p).cast(schema.field(1).type),
+            pa.array(score, pa.float64()),
         ],
         schema=schema,
     )
@@ -190,9 +253,10 @@ def _block_join(q: DataFrame, p: DataFrame, k: int, metric: str, schema: T.Struc
     Passages are cut into blocks of about ``block_rows``, largest norms first. Questions are
     sent to the blocks in rounds, each ``ROUND_GROWTH`` times as many blocks as the one before: after
     a round every question knows the score of its ``k`` best so far, and it is sent only to
-    blocks whose norms allow a better one. In a block's task the passages come first and
+    blocks whose norms allow a better one. A round of few blocks deals the questions of each to
+    several tasks, so that all cores have work. In a task the passages of its block come first and
     stay, the questions stream past in batches and leave with what reaches their score. Every
-    passage is shuffled once, every question once per block that it needs.
+    passage is shuffled once per task of its block, every question once per block that it needs.
     """
     norm = lambda vec: F.sqrt(squared_norm(as_double(F.col(vec))))
     same = q.schema["q_vec"].dataType == p.schema["p_vec"].dataType
@@ -213,15 +277,21 @@ def _block_join(q: DataFrame, p: DataFrame, k: int, metric: str, schema: T.Struc
             now = [b for b in now if reach is None or not b["high"] * (1 + SLACK) < reach - abs(reach) * SLACK]
         if not now:
             continue
-        spans = F.from_json(F.lit(json.dumps(now)), "array<struct<block int, low double, high double>>", {"allowNonNumericNumbers": "true"})
+        slices = -(-TASKS_PER_CORE * q.sparkSession.sparkContext.defaultParallelism // len(now))
+        now = [{**b, "task": i * slices} for i, b in enumerate(now)]
+        spans = F.from_json(F.lit(json.dumps(now)), "array<struct<block int, low double, high double, task int>>", {"allowNonNumericNumbers": "true"})
         needed = F.explode(F.filter(spans, lambda b: ~_hopeless(metric, b)))
         asked = asking.select("q_id", "vec", "floor", needed.alias("b"))
+        # tasks of a block are numbered one after another
+        first = ((F.array_position(F.array(*[F.lit(b["block"]) for b in now]), block) - 1) * slices).cast("int")
+        tasks = F.explode(F.sequence(first, first + F.lit(slices - 1)))
+        dealt = F.col("b.task") + F.pmod(F.xxhash64("q_id"), F.lit(slices)).cast("int")
         sides = (
-            p.select(block.alias("block"), F.lit(0).alias("side"), "p_id", none("q_id"), "vec", F.lit(None).cast("double").alias("floor"))
-            .where(F.col("block").isin([b["block"] for b in now]))
-            .unionByName(asked.select("b.block", F.lit(1).alias("side"), none("p_id"), "q_id", "vec", "floor"))
+            p.where(block.isin([b["block"] for b in now]))
+            .select(tasks.alias("task"), F.lit(0).alias("side"), "p_id", none("q_id"), "vec", F.lit(None).cast("double").alias("floor"))
+            .unionByName(asked.select(dealt.alias("task"), F.lit(1).alias("side"), none("p_id"), "q_id", "vec", "floor"))
         )
-        met = sides.repartition("block").sortWithinPartitions("block", "side").mapInArrow(_solver(k, metric, schema), schema)
+        met = sides.repartitionById(len(now) * slices, F.col("task")).sortWithinPartitions("task", "side").mapInArrow(_solver(k, metric, schema), schema)
         best = materialize(_merged(met.unionByName(best.drop("rank")), k), "ranked-round")
     return best
 
@@ -232,24 +302,24 @@ def _solver(k: int, metric: str, schema: T.StructType):
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, matrices = None, [], []
         for batch in batches:
-            block, side = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(side) != 0)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(block)]):
+            task, side = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            edges = np.flatnonzero((np.diff(task) != 0) | (np.diff(side) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(task)]):
                 part = batch.slice(a, b - a)
                 if part.num_rows == 0:
                     continue
                 if side[a] == 0:
-                    if held != block[a]:
-                        held, ids, matrices = block[a], [], []
+                    if held != task[a]:
+                        held, ids, matrices = task[a], [], []
                     ids.append(_ids(part.column(2)))
                     matrices.append(_matrix(part.column(4)))
-                elif held == block[a]:
+                elif held == task[a]:
                     if len(ids) > 1:
                         ids, matrices = [np.concatenate(ids)], [np.concatenate(matrices)]
                     floor = part.column(5).fill_null(-np.inf).to_numpy(zero_copy_only=False)
                     top = _TopK(_matrix(part.column(4)), k, metric, floor)
                     top.add(ids[0], matrices[0])
-                    yield from _result(top, part.column(3), arrow).to_batches()
+                    yield from _result(top, part.column(3), arrow).to_batches(ROWS_OUT)
 
     return solve
 
@@ -288,7 +358,7 @@ def _block_topk(head: pa.Table, p: DataFrame, k: int, metric: str, schema: T.Str
         top = _TopK(matrix, k, metric)
         for batch in batches:
             top.add(_ids(batch.column(0)), _matrix(batch.column(1)))
-        yield from _result(top, q_ids, arrow).to_batches()
+        yield from _result(top, q_ids, arrow).to_batches(ROWS_OUT)
 
     return p.mapInArrow(best_of_task, schema)
 

@@ -138,6 +138,21 @@ def test_small_blocks_give_the_same_rows(spark, tied, monkeypatch):
     assert got == _brute(q_ids, q, p_ids, p, 7)
 
 
+def test_a_task_holds_tiles_and_candidates_of_few_questions():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    q, p = rng.normal(size=(20_000, 8)), rng.normal(size=(3_000, 8))
+    top = knn._TopK(q, 3, "ip")
+    tracemalloc.start()
+    top.add(np.arange(3_000), p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {i: list(zip(g["p"], g["score"])) for i, g in top.best[top.best["q"] < 20].groupby("q")}
+    assert got == _brute(range(20), q[:20], range(3_000), p, 3)
+    assert peak < 32 << 20
+
+
 def test_topk_with_text_ids_and_missing_vectors(spark):
     left = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], f"q_id string, q_vec {VEC}")
     right = spark.createDataFrame([("z", [1.0, 0.0]), ("y", [1.0, 0.0]), ("x", None)], f"p_id string, p_vec {VEC}")
