@@ -614,22 +614,29 @@ def _stream(spark, sf, name="documents"):
     return tables.stream_parquet(spark, sf, schema, max_files=1, pattern=f"{name}.parquet")
 
 
+def _as_files(rows: DataFrame, batches: int, path: str) -> int:
+    """Append ``rows`` to a folder in ``batches`` times as many files as keep a file no larger than a part of their scan; how many make a batch."""
+    files = max(1, -(-rows.rdd.getNumPartitions() // batches))
+    rows.repartition(batches * files).write.mode("append").parquet(path)
+    return files
+
+
 def stream_files(spark, sf):
-    """Four files, one per batch, with a repeated start from the same state."""
+    """Four equal arrivals, one per batch, with a repeated start from the same state."""
     source, out, state = (scratch_path(spark, x) for x in ("files", "chunks", "state"))
-    fx.as_articles(fx.table(spark, sf, "documents")).repartition(4, "id").write.parquet(source)
+    files = _as_files(fx.as_articles(fx.table(spark, sf, "documents")), 4, source)
     schema = spark.read.parquet(source).schema
     for _ in range(2):
-        _finish(jobs.stream_chunks(tables.stream_parquet(spark, source, schema, max_files=1), out, state, partitions=_cores(spark)))
+        _finish(jobs.stream_chunks(tables.stream_parquet(spark, source, schema, max_files=files), out, state, partitions=max(_cores(spark), files)))
     return spark.read.parquet(out)
 
 
 def stream_running_histogram(spark, sf):
     """A running state over four batches."""
     source, out, state = (scratch_path(spark, x) for x in ("files", "histogram", "state"))
-    fx.as_articles(fx.table(spark, sf, "documents")).repartition(4, "id").write.parquet(source)
+    files = _as_files(fx.as_articles(fx.table(spark, sf, "documents")), 4, source)
     schema = spark.read.parquet(source).schema
-    _finish(jobs.stream_histogram(tables.stream_parquet(spark, source, schema, max_files=1), out, state, partitions=_cores(spark)))
+    _finish(jobs.stream_histogram(tables.stream_parquet(spark, source, schema, max_files=files), out, state, partitions=max(_cores(spark), files)))
     return profile.histogram_table(jobs.newest_state(spark, out), "char_counts", profile.CHAR_EDGES)
 
 
@@ -667,7 +674,7 @@ def _stored_articles(spark, name):
 
 
 def stream_state(spark, sf):
-    """Four files with repeated ids, a restart after the second: each article is stored once, by keyed state."""
+    """Four arrivals with repeated ids, a restart after the second: each article is stored once, by keyed state."""
     name, _ = _new_table(spark)
     source, state = scratch_path(spark, "files"), scratch_path(spark, "state")
     d = fx.table(spark, sf, "documents")
@@ -675,18 +682,18 @@ def stream_state(spark, sf):
     for start in range(2):
         arriving = d.where((F.col("doc_id") % 2 == start) | (F.col("doc_id") % 3 == 0))
         again = arriving.where("doc_id % 5 = 0")
-        fx.as_articles(arriving.unionByName(again)).repartition(2).write.mode("append").parquet(source)
-        articles = tables.stream_parquet(spark, source, schema, max_files=1)
-        _finish(jobs.stream_new_articles(articles, name, state, dim=EMBEDDING_DIM, max_text=SHORT_TEXT, partitions=_cores(spark)))
+        files = _as_files(fx.as_articles(arriving.unionByName(again)), 2, source)
+        articles = tables.stream_parquet(spark, source, schema, max_files=files)
+        _finish(jobs.stream_new_articles(articles, name, state, dim=EMBEDDING_DIM, max_text=SHORT_TEXT, partitions=max(_cores(spark), files)))
     return _stored_articles(spark, name)
 
 
 def paced_chunks(spark, sf):
-    """Four files, a batch each second, ended after the last; how many batches there were, and whether each waited for a second of its own."""
+    """Four arrivals, a batch each second, ended after the last; how many batches there were, and whether each waited for a second of its own."""
     source, out, state = (scratch_path(spark, x) for x in ("files", "chunks", "state"))
-    fx.as_articles(fx.table(spark, sf, "documents")).repartition(4, "id").write.parquet(source)
-    articles = tables.stream_parquet(spark, source, spark.read.parquet(source).schema, max_files=1)
-    batches = jobs.drained(jobs.stream_chunks(articles, out, state, period="1 second", partitions=_cores(spark)))
+    files = _as_files(fx.as_articles(fx.table(spark, sf, "documents")), 4, source)
+    articles = tables.stream_parquet(spark, source, spark.read.parquet(source).schema, max_files=files)
+    batches = jobs.drained(jobs.stream_chunks(articles, out, state, period="1 second", partitions=max(_cores(spark), files)))
     seconds = {b["start"][:19] for b in batches}
     return spark.read.parquet(out).withColumns({"batches": F.lit(len(batches)), "paced": F.lit(len(seconds) == len(batches))})
 

@@ -168,6 +168,17 @@ def test_summaries_of_a_range(spark, sf, tmp_path):
     assert spark.read.parquet(path).schema == got.schema and calls.value == 8
 
 
+def test_arrivals_of_a_large_table_are_many_files_in_four_batches(spark, tmp_path):
+    rows = spark.range(0, 800, 1, 16).selectExpr("CAST(id AS STRING) AS id", "'t' AS title", "'u' AS url", "CONCAT('word ', id) AS text")
+    source, out, state = (str(tmp_path / x) for x in ("files", "out", "state"))
+    files = queries._as_files(rows, 4, source)
+    written = list((tmp_path / "files").glob("*.parquet"))
+    assert (files, len(written)) == (4, 16)
+    assert max(spark.read.parquet(str(w)).count() for w in written) <= 60
+    batches = jobs.drained(jobs.stream_chunks(tables.stream_parquet(spark, source, rows.schema, max_files=files), out, state, period="0 seconds"))
+    assert len(batches) == 4 and spark.read.parquet(out).count() == 800
+
+
 def test_stream_files_one_at_a_time_equal_the_batch(spark, sf, tmp_path):
     source = str(tmp_path / "in")
     fx.articles(spark, sf).repartition(4).write.parquet(source)
