@@ -538,9 +538,11 @@ def index_counts(spark, sf):
 def qa_published(spark, sf):
     """Two runs of one configuration: named, versioned, published, scored from what is stored."""
     root = scratch_path(spark, "published")
+    # every run reads both more than once
+    questions, stored = materialize(_questions(spark, sf), "questions"), materialize(fx.passages(spark, sf), "passages")
     scored = [
         qa.run_and_publish(
-            _questions(spark, sf), fx.passages(spark, sf), root, "db", "docs", "me/reader", top_k=3, summarize=True,
+            questions, stored, root, "db", "docs", "me/reader", top_k=3, summarize=True,
             summarizer_name="me/third", dim=models.HASH_DIM,
         )[1]
         for _ in range(2)

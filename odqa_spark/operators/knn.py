@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +18,13 @@ from odqa_spark.session import materialize
 
 BROADCAST_BYTES = 64 << 20  # question matrices up to this size are sent to every executor; blocks of larger joins have it too
 BLOCK_BYTES = 64 << 20  # largest score matrix or product held at once inside a task
-TILE = (256, 1024)  # questions and passages scored at once: their scores stay in a core's cache
+TILE = (256, 512)  # questions and passages scored at once: their scores stay in a core's cache
 GROUP = 4096  # questions whose candidates are ranked together
 PENDING = 1 << 17  # candidates of a group that wait to be ranked
 TASKS_PER_CORE = 2  # of a round of blocks
 ROWS_OUT = 1 << 16  # of an Arrow batch of winners
+FLOOR_QUESTIONS = 4096  # from so many on, a share of the passages is searched first
+FLOOR_SHARE = 16  # one in so many passages
 NORM_CLASSES = 16  # passages are cut into blocks within so many classes of their norm
 ROUND_GROWTH = 8  # each round of blocks is so many times the one before
 SLACK = 1e-9  # relative; rounding of norms and scores stays far below it
@@ -105,23 +108,27 @@ class _TopK:
     def _add_part(self, group: int, ids: np.ndarray, passages: np.ndarray, cast: np.ndarray, p_sq: np.ndarray, margin: float) -> None:
         wide = min(len(ids), max(TILE[1], 4 * self.k))
         high = max(1, min(TILE[0], BLOCK_BYTES // (8 * wide)))
+        scores = np.empty((high, wide), self._cast.dtype)
         found, pending = [], 0
         end = min(len(self.q), (group + 1) * GROUP)
         for left in range(0, len(ids), wide):
             some = cast[left : left + wide].T
             for lo in range(group * GROUP, end, high):
                 tile = slice(lo, min(lo + high, end))
-                near = self._cast[tile] @ some
+                near = np.matmul(self._cast[tile], some, out=scores[: tile.stop - lo, : some.shape[1]])
                 floor = self.floor[tile]
                 if self.metric == "l2":
                     near = 2 * near - self.q_sq[tile, None] - p_sq[left : left + wide]
                     floor = np.where(np.isfinite(floor), -(floor**2), floor)
                 if near.shape[1] > self.k and np.isneginf(floor).any():
                     floor = np.maximum(floor, np.partition(near, near.shape[1] - self.k, axis=1)[:, near.shape[1] - self.k])
-                hits = np.flatnonzero(near >= (floor[:, None] - margin).astype(near.dtype))
+                # the best of a tile's passages tells for most questions that none reaches the floor
+                least = (floor - margin).astype(near.dtype)
+                some_q = np.flatnonzero(~(near.max(axis=1) < least))
+                hits = np.flatnonzero(near[some_q] >= least[some_q, None])
                 if len(hits):
                     qi, pi = np.divmod(hits, near.shape[1])
-                    found.append((qi + lo, pi + left))
+                    found.append((some_q[qi] + lo, pi + left))
                     pending += len(hits)
                 if pending >= PENDING:
                     self._rank(group, found, ids, passages)
@@ -196,7 +203,9 @@ def topk_join(
     A question matrix of up to ``broadcast_bytes`` is sent to every executor: passage
     vectors are not shuffled then, every task multiplies its Arrow batches with the
     matrix and emits its own ``k`` best per question. Task winners are ranked in two
-    steps, first among the tasks of a part, then by question. More questions meet the
+    steps, first among the tasks of a part, then by question. Many questions are searched for
+    in a share of the passages first: the score of their ``k`` best there is known to
+    all tasks, which then rank only what reaches it. More questions meet the
     passages in blocks (``_block_join``); the driver then gets counts and norms of blocks,
     never a question. Both sides are read more than once, so computed vectors should be
     stored before.
@@ -213,7 +222,20 @@ def topk_join(
     max_rows = max(1, broadcast_bytes // (8 * (dim or _dimension(q))))
     if q.limit(max_rows + 1).count() > max_rows:
         return _block_join(q, p, k, metric, schema, max_rows)
-    return _merged(_block_topk(q.toArrow(), p, k, metric, schema), k)
+    head, floor = q.toArrow(), None
+    if head.num_rows >= FLOOR_QUESTIONS:
+        p = materialize(p, "vectors")
+        floor = _floors(head, p, k, metric, schema)
+    return _merged(_block_topk(head, p, k, metric, schema, floor), k)
+
+
+def _floors(head: pa.Table, p: DataFrame, k: int, metric: str, schema: T.StructType) -> np.ndarray:
+    """A score that ``k`` passages reach for every question, from a share of the passages; the driver has the questions and gets a number for each."""
+    share = p.where(F.pmod(F.xxhash64("p_id"), F.lit(FLOOR_SHARE)) == 0)
+    found = _merged(_block_topk(head, share, k, metric, schema), k).where((F.col("rank") == k) & ~F.isnan("score"))
+    found = found.select("q_id", "score").toArrow()
+    at = pc.index_in(head.column("q_id").combine_chunks(), value_set=found.column("q_id").combine_chunks())
+    return found.column("score").combine_chunks().take(at).fill_null(-np.inf).to_numpy(zero_copy_only=False)
 
 
 def _merged(partial: DataFrame, k: int) -> DataFrame:
@@ -347,15 +369,15 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _block_topk(head: pa.Table, p: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
+def _block_topk(head: pa.Table, p: DataFrame, k: int, metric: str, schema: T.StructType, floor: np.ndarray | None = None) -> DataFrame:
     arrow = _arrow_schema(schema)
     shared = p.sparkSession.sparkContext.broadcast(
-        (head.column("q_id").combine_chunks(), _matrix(head.column("q_vec")))
+        (head.column("q_id").combine_chunks(), _matrix(head.column("q_vec")), floor)
     )
 
     def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, matrix = shared.value
-        top = _TopK(matrix, k, metric)
+        q_ids, matrix, floor = shared.value
+        top = _TopK(matrix, k, metric, floor)
         for batch in batches:
             top.add(_ids(batch.column(0)), _matrix(batch.column(1)))
         yield from _result(top, q_ids, arrow).to_batches(ROWS_OUT)

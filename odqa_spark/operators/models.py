@@ -8,11 +8,11 @@ batches cut to ``batch_size``.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -28,6 +28,7 @@ from odqa_spark.session import settings
 MAX_ANSWER_WORDS = 8  # fixed value: longest answer of the reader
 MAX_IN_FLIGHT = 200  # fixed value: completion requests running at once
 HASH_DIM = 64
+WORDS_AT_ONCE = 1 << 14  # that the default embedder digests: their blocks stay in a core's cache
 _EXCLUDED = "spark.sql.adaptive.optimizer.excludedRules"
 
 ModelFn = Callable[..., list]
@@ -109,6 +110,60 @@ def model_over_array(
 # --- embedding -----------------------------------------------------------------------------------
 
 
+# MD5 (RFC 1321): the words of a message are taken in turn by four rounds
+_MD5_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_TURNS = [turn for turns in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for turn in turns * 4]
+_MD5_STEPS = [(1, 0), (5, 1), (3, 5), (7, 0)]
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_ONE_BLOCK = 55  # most bytes of a word that is one block with its length
+
+
+def _md5_heads(text: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first four bytes, last one highest, of the MD5 of every word of at most ``_ONE_BLOCK`` bytes, all words at once."""
+    u4 = np.uint32
+    text, starts = text[starts[0] : starts[-1] + sizes[-1]], starts - starts[0]
+    padded = np.frombuffer(text + bytes(_ONE_BLOCK + 5), np.uint8).astype(u4)
+    four = padded[:-3] | padded[1:-2] << u4(8) | padded[2:-1] << u4(16) | padded[3:] << u4(24)
+    kept = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], u4)
+    message: list = [None] * 16  # parts that are 0 for all words add nothing
+    for j in range(int(sizes.max(initial=0)) // 4 + 1):
+        left = sizes - 4 * j
+        end = np.where((left >= 0) & (left < 4), u4(0x80) << (left.astype(u4) % u4(4) * u4(8)), u4(0))
+        message[j] = (four[starts + 4 * j] & kept[np.clip(left, 0, 4)]) | end
+    message[14] = (sizes * 8).astype(u4)
+    a, b, c, d = (np.full(len(starts), x, u4) for x in _MD5_START)
+    for i in range(64):
+        if i < 16:
+            mixed = d ^ (b & (c ^ d))
+        elif i < 32:
+            mixed = c ^ (d & (b ^ c))
+        elif i < 48:
+            mixed = b ^ c ^ d
+        else:
+            mixed = c ^ (b | ~d)
+        step, first = _MD5_STEPS[i // 16]
+        part = message[(step * i + first) % 16]
+        mixed += a
+        mixed += u4(_MD5_SINES[i])
+        if part is not None:
+            mixed += part
+        turn = _MD5_TURNS[i]
+        a, d, c, b = d, c, b, b + (mixed << u4(turn) | mixed >> u4(32 - turn))
+    return a + u4(_MD5_START[0])
+
+
+def _words(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in one, and text number, start and size of their words: what stands between spaces, if anything."""
+    joined = [t.encode() for t in texts]
+    whole = b" ".join(joined)
+    spaces = np.flatnonzero(np.frombuffer(whole, np.uint8) == ord(" "))
+    starts = np.concatenate([[0], spaces + 1])
+    sizes = np.diff(starts, append=len(whole) + 1) - 1
+    starts, sizes = starts[sizes > 0], sizes[sizes > 0]
+    ends = np.cumsum([len(t) + 1 for t in joined])
+    return whole, np.searchsorted(ends, starts, "right"), starts, sizes
+
+
 def hashed_words(dim: int = HASH_DIM) -> Callable[[], ModelFn]:
     """Default embedder: signed hashed bag of lower-case words, L2-normalised.
 
@@ -117,19 +172,20 @@ def hashed_words(dim: int = HASH_DIM) -> Callable[[], ModelFn]:
     """
 
     def make() -> ModelFn:
-        def slot(word: str) -> int:
-            h = hashlib.md5(word.encode()).hexdigest()
-            return int(h[:4], 16) % dim * 2 + (int(h[4], 16) & 1)
-
         def embed(texts: list) -> list:
-            lists = [[w for w in (t or "").lower().replace("\n", " ").split(" ") if w] for t in texts]
-            flat = np.array([w for ws in lists for w in ws], dtype=object)
-            row = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
-            codes, uniques = pd.factorize(flat)
-            slots = np.fromiter((slot(w) for w in uniques), np.int64, len(uniques))[codes]
+            whole, row, starts, sizes = _words([(t or "").lower().replace("\n", " ") for t in texts])
+            head = np.empty(len(starts), np.uint32)
+            fits = np.flatnonzero(sizes <= _ONE_BLOCK)
+            for lo in range(0, len(fits), WORDS_AT_ONCE):
+                some = fits[lo : lo + WORDS_AT_ONCE]
+                head[some] = _md5_heads(whole, starts[some], sizes[some])
+            for i in np.flatnonzero(sizes > _ONE_BLOCK).tolist():
+                head[i] = int.from_bytes(hashlib.md5(whole[starts[i] : starts[i] + sizes[i]]).digest()[:4], "little")
+            # hex digits stand for the bytes in their order
+            place = ((head & 0xFF) << 8 | head >> 8 & 0xFF).astype(np.int64) % dim
             counts = np.bincount(
-                row * dim + slots // 2, weights=1.0 - 2.0 * (slots % 2), minlength=len(lists) * dim
-            ).reshape(len(lists), dim)
+                row * dim + place, weights=1.0 - 2.0 * (head >> 20 & 1), minlength=len(texts) * dim
+            ).reshape(len(texts), dim)
             norms = np.maximum(np.sqrt((counts**2).sum(axis=1)), 1e-12)
             return list(counts / norms[:, None])
 

@@ -36,6 +36,32 @@ def test_default_embedding(spark):
     assert v[1] == v[2] == [0.0] * models.HASH_DIM
 
 
+def test_words_are_digested_all_at_once(monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    def by_word(text):
+        v = np.zeros(models.HASH_DIM)
+        for w in (text or "").lower().replace("\n", " ").split(" "):
+            if w:
+                h = hashlib.md5(w.encode()).hexdigest()
+                v[int(h[:4], 16) % models.HASH_DIM] += 1 - 2 * (int(h[4], 16) & 1)
+        return v / max(np.sqrt((v**2).sum()), 1e-12)
+
+    # every length up to two blocks, in one and in more bytes a letter; a word told from its beginning by what follows a NUL
+    texts = [" ".join(c * n for n in range(1, 130)) for c in "aZé€😀"] + ["a\x00b A\x00C a", "", " \n ", None, "  x\r\ty ", "İ Σς ß"]
+    asked = []
+    monkeypatch.setattr(models.hashlib, "md5", lambda b, f=hashlib.md5: asked.append(b) or f(b))
+    got = models.hashed_words()()(texts)
+    assert all(len(w) > 55 for w in asked) and len(asked) > 0
+    monkeypatch.undo()
+    assert (np.array(got) == np.array([by_word(t) for t in texts])).all()
+    monkeypatch.setattr(models, "WORDS_AT_ONCE", 7)
+    assert (np.array(models.hashed_words()()(texts)) == np.array(got)).all()
+    assert models.hashed_words()()([]) == []
+
+
 def test_embed_if_missing_asks_only_for_missing_rows(spark):
     def make():
         def fn(texts):

@@ -269,6 +269,28 @@ def test_stream_questions(spark, qa_tables, tmp_path):
     assert got == sorted((r.row_idx, r.retrieved, r.predicted) for r in qa.qa_run(q, p, "k2", 2).collect())
 
 
+def _tables(spark, folder):
+    """Questions in eight small files, and documents."""
+    turns = spark.range(16).selectExpr("id AS conv_id", "explode(array(0, 1)) AS turn")
+    turns = turns.selectExpr("conv_id", "turn", "IF(turn = 0, 'user', 'assistant') AS role", "concat('what does word', conv_id, ' mean') AS text")
+    turns.repartition(8, "conv_id").sortWithinPartitions("conv_id").write.option("maxRecordsPerFile", 4).parquet(f"{folder}/conversations.parquet")
+    docs = spark.range(20).selectExpr("id AS doc_id", "concat('The word', id, ' means ', id, '. More.') AS text", "'en' AS lang", "'src1' AS source", "20L AS n_chars")
+    docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_published_runs_embed_the_passages_once(spark, tmp_path, monkeypatch):
+    sf = _tables(spark, tmp_path / "sf")
+    seen = []
+    publish = qa.run_and_publish
+    monkeypatch.setattr(qa, "run_and_publish", lambda q, p, *a, **k: seen.append((q, p)) or publish(q, p, *a, **k))
+    assert queries.qa_published(spark, sf).count() == 2
+    assert len(seen) == 2
+    for q, p in seen:
+        assert "Python" not in p._jdf.queryExecution().executedPlan().toString()
+        assert len(p.inputFiles()) > 0 and "passages" in p.inputFiles()[0] and "questions" in q.inputFiles()[0]
+
+
 def test_plans_have_no_cross_join(spark, sf):
     for name in ("knn_join", "knn_mips_l2", "retrieved_context", "qa_metrics", "eval_run_metrics", "error_samples"):
         plan = getattr(queries, name)(spark, sf)._jdf.queryExecution().executedPlan().toString()

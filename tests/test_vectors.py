@@ -49,6 +49,45 @@ def test_topk_matches_brute_force(spark, tied, k):
     assert _collect(knn.topk_join(left, right, k)) == _brute(q_ids, q, p_ids, p, k)
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+@pytest.mark.parametrize("k", [1, 5, 40, 200])
+def test_floors_from_a_share_give_the_same_rows(spark, tied, monkeypatch, metric, k):
+    q_ids, q, p_ids, p = tied
+    left, right = _table(spark, "q", q_ids, q), _table(spark, "p", p_ids, p).repartition(5)
+    want = _collect(knn.topk_join(left, right, k, metric))
+    known = []
+    search = knn._block_topk
+    monkeypatch.setattr(knn, "FLOOR_QUESTIONS", 1)
+    monkeypatch.setattr(knn, "FLOOR_SHARE", 2)
+    monkeypatch.setattr(knn, "_block_topk", lambda *a: known.append(a[5] if len(a) > 5 else None) or search(*a))
+    assert _collect(knn.topk_join(left, right, k, metric)) == want
+    assert known[0] is None and len(known[1]) == len(q)
+    assert np.isfinite(known[1]).all() == (k < 200)
+    # ids that repeat or are missing: their rows rank together, with or without floors
+    odd = left.select(F.when(F.col("q_id") > 2, F.col("q_id") % 2).alias("q_id"), "q_vec")
+    with_floors = knn.topk_join(odd, right, k, metric).drop("p_id").collect()
+    monkeypatch.setattr(knn, "FLOOR_QUESTIONS", 1 << 30)
+    assert sorted(map(str, with_floors)) == sorted(map(str, knn.topk_join(odd, right, k, metric).drop("p_id").collect()))
+
+
+def test_a_task_that_knows_floors_ranks_few_candidates(monkeypatch):
+    rng = np.random.default_rng(4)
+    q, p = rng.normal(size=(300, 16)), rng.normal(size=(20_000, 16))
+    ranked = []
+    exact = knn._exact
+    monkeypatch.setattr(knn, "_exact", lambda m, a, b: ranked.append(len(a)) or exact(m, a, b))
+    first = knn._TopK(q, 3, "ip")
+    first.add(np.arange(0, 20_000, 16), p[::16])
+    for floor, most in ((None, 1 << 30), (first.floor, 300 * 3 * 16 * 2)):
+        ranked.clear()
+        top = knn._TopK(q, 3, "ip", floor)
+        for lo in range(0, 20_000, 1_000):
+            top.add(np.arange(lo, lo + 1_000), p[lo : lo + 1_000])
+        got = {i: list(zip(g["p"], g["score"])) for i, g in top.best[top.best["q"] < 10].groupby("q")}
+        assert got == _brute(range(10), q[:10], range(20_000), p, 3)
+        assert sum(ranked) <= most
+
+
 def _no_rows_on_the_driver(monkeypatch):
     """Fails if a frame with ids of questions or passages, or with vectors, is fetched."""
     from pyspark.sql.classic.dataframe import DataFrame
