@@ -21,6 +21,7 @@ EMBEDDING_DIM = 64
 SHORT_TEXT = 3000  # text limit of the vector-table queries, so that some documents break it
 PACK_LENGTH = 64
 PAD, CLS, SEP = 0, 101, 102
+ARRIVED_BYTES = 64 << 20  # of the files of a batch of questions
 
 
 def _r6(c):
@@ -607,13 +608,13 @@ def corpus_profile(spark, sf):
 # --- streams ---
 
 
-def _stream(spark, sf, name="documents"):
-    """A table as arriving files, whether it is one file or a folder of them."""
-    schema = fx.table(spark, sf, name).schema
+def _stream(spark, sf, name="documents", **throttle):
+    """A table as arriving files, whether it is one file or a folder of them; one per batch unless a ``throttle`` is given."""
+    schema, throttle = fx.table(spark, sf, name).schema, throttle or {"max_files": 1}
     fs, path = hadoop_path(spark, f"{sf}/{name}.parquet")
     if fs.getFileStatus(path).isDirectory():
-        return tables.stream_parquet(spark, f"{sf}/{name}.parquet", schema, max_files=1)
-    return tables.stream_parquet(spark, sf, schema, max_files=1, pattern=f"{name}.parquet")
+        return tables.stream_parquet(spark, f"{sf}/{name}.parquet", schema, **throttle)
+    return tables.stream_parquet(spark, sf, schema, pattern=f"{name}.parquet", **throttle)
 
 
 def _as_files(rows: DataFrame, batches: int, path: str) -> int:
@@ -701,9 +702,12 @@ def paced_chunks(spark, sf):
 
 
 def stream_qa(spark, sf):
-    """User turns as arriving questions, keyed by conversation and turn."""
+    """User turns as arriving questions, keyed by conversation and turn.
+
+    A batch reads all passages, so it takes what has arrived, up to ``ARRIVED_BYTES``, and not a single file.
+    """
     out, state = scratch_path(spark, "qa"), scratch_path(spark, "state")
-    questions = _stream(spark, sf, "conversations").where("role = 'user'").select(
+    questions = _stream(spark, sf, "conversations", max_bytes=ARRIVED_BYTES).where("role = 'user'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_idx"),
         F.col("text").alias("question"),
         F.array("role").alias("answer"),

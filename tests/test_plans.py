@@ -279,6 +279,20 @@ def _tables(spark, folder):
     return str(folder)
 
 
+def test_a_batch_of_questions_takes_what_has_arrived(spark, tmp_path, monkeypatch):
+    sf = _tables(spark, tmp_path / "sf")
+    files = len(list((tmp_path / "sf" / "conversations.parquet").glob("*.parquet")))
+    sizes, run = [], jobs.qa_run
+    monkeypatch.setattr(jobs, "qa_run", lambda batch, *a, **k: sizes.append(batch.count()) or run(batch, *a, **k))
+    got = sorted(map(tuple, queries.stream_qa(spark, sf).collect()))
+    assert sizes == [16] and len(got) == 16
+    # a batch is bounded: it holds one file at least and no more than the bytes allow
+    sizes.clear()
+    monkeypatch.setattr(queries, "ARRIVED_BYTES", 1)
+    assert sorted(map(tuple, queries.stream_qa(spark, sf).collect())) == got
+    assert files > 1 and len(sizes) == files and sum(sizes) == 16
+
+
 def test_published_runs_embed_the_passages_once(spark, tmp_path, monkeypatch):
     sf = _tables(spark, tmp_path / "sf")
     seen = []
